@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import mixing, sharding
+from docloom.llm import lang, mixing, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang.predict_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digest(tokens.tokenize_documents(_table(spark, sf_dir, "documents")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +30,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op5_token_ids": op5_token_ids,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
 }
