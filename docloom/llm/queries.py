@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import lang, mixing, sharding, tokens
+from docloom.llm import lang, media, mixing, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.predict_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(tokens.tokenize_documents(_table(spark, sf_dir, "documents")))
 
@@ -30,7 +38,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op3_language_id": op3_language_id,
+    "op4_simhash": op4_simhash,
     "op5_token_ids": op5_token_ids,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
