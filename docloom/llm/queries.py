@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import lang, media, mixing, sharding, simhash, tokens
+from docloom.llm import decontam, lang, media, mixing, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang.predict_documents(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op5_token_ids": op5_token_ids,
