@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, html_text, lang, media, mixing, sharding, simhash, tokens, toxicity
+from docloom.llm import decontam, html_text, lang, media, mixing, sharding, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(tokens.tokenize_documents(_table(spark, sf_dir, "documents")))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedupe_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op5_token_ids": op5_token_ids,
+    "op6_substrings": op6_substrings,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
