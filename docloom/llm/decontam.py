@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import written
+
 SEED = 3
 RARE = 1e-8
 MIN_SCORE = 0.5
@@ -245,5 +247,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
     """docs without the documents that hold a copy of a test item; documents without id are judged by their text."""
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select(key.alias("doc_id"), "text")
-    bad = contaminated(keyed, benchmark, min_score).select(F.col("doc_id").alias("_k")).distinct()
+    bad = written(contaminated(keyed, benchmark, min_score).select(F.col("doc_id").alias("_k")).distinct(), "leaks")
     return docs.withColumn("_k", key).join(bad, "_k", "left_anti").drop("_k")

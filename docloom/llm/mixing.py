@@ -16,10 +16,14 @@ one and being equal, any order of theirs is the same result; an empty table give
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import n_words
+from docloom.llm.common import WORD, n_words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -36,9 +40,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, pa
     t = t.withColumn("_capped", F.sum("_cap").over(fullest) - F.col("_cap"))
     t = t.withColumn("_weights", F.sum("weight").over(every) - (F.sum("weight").over(fullest) - F.col("weight")))
     t = t.withColumn("_theta", (F.sum("source_size").over(every) * float(share) - F.col("_capped")) / F.col("_weights"))
-    t = t.withColumn("theta", F.min(F.when(F.col("_cap") / F.col("weight") > F.col("_theta"), F.col("_theta"))).over(every))
-    target = F.when(F.col("theta").isNull() | (F.col("_cap") <= F.col("weight") * F.col("theta")), F.col("_cap")).otherwise(F.col("weight") * F.col("theta"))
-    return t.withColumn("target", target.cast("double")).select("source", "source_size", "weight", "target")
+    # capping the fullest sources first raises theta as long as they are over it, and lowers it after that
+    t = t.withColumn("theta", F.max("_theta").over(every))
+    return t.withColumn("target", F.least("_cap", F.col("weight") * F.col("theta"))).select("source", "source_size", "weight", "target")
 
 
 def schedule(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 7) -> DataFrame:
@@ -58,13 +62,23 @@ def schedule(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, pa
     return d.withColumn("takes", takes).drop("_key", "_range", "_inside", "_s", "_r", "_offset", "weight", "_before")
 
 
+def _first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
+    """The first words of each text, with the white space between them; null stays null."""
+    def cut(text: str | None, n: int) -> str | None:
+        if text is None:
+            return None
+        return next((text[: m.end()] for m in islice(re.finditer(WORD, text), int(n) - 1, None)), text)
+
+    return pd.Series([cut(t, n) for t, n in zip(texts, words)], dtype=object)
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix: one row for each served copy in the order of virtual finish time, range-sorted over all partitions.
 
     pass, words and finish are added; the copy that the cut goes through keeps its first `words` words, others are whole."""
     s = schedule(docs, **how).withColumn("_t", F.explode("takes")).where("_t.words > 0")
-    cut = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){', cast(_t.words - 1 as string), '}[^\\x20\\x09-\\x0D]+'), 0)")
-    out = s.withColumns({"text": F.when(F.col("_t.words") < F.col("size"), cut).otherwise(F.col("text")), "pass": F.col("_t.pass"), "words": F.col("_t.words"), "finish": F.col("_t.finish")})
+    begun = F.pandas_udf(_first_words, "string")(F.when(F.col("_t.words") < F.col("size"), F.col("text")), F.col("_t.words"))
+    out = s.withColumns({"text": F.coalesce(begun, "text"), "pass": F.col("_t.pass"), "words": F.col("_t.words"), "finish": F.col("_t.finish")})
     return out.drop("takes", "_t").repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
 
 
@@ -86,8 +100,8 @@ f as (select *, sum(cap) over o - cap as capped, sum(weight) over () - (sum(weig
       sum(source_size) over () * 1.5::double as budget from w
       window o as (order by cap / weight, source asc nulls last)),
 g as (select *, (budget - capped) / weights as theta_here from f),
-h as (select *, min(case when cap / weight > theta_here then theta_here end) over () as theta from g),
-t as (select source, source_size, case when theta is null or cap <= weight * theta then cap else weight * theta end as target from h),
+h as (select *, max(theta_here) over () as theta from g),
+t as (select source, source_size, least(cap, weight * theta) as target from h),
 q as (select d.doc_id, d.size, t.source_size, t.target,
       cast(sum(d.size) over (partition by d.source order by d.key, d.size, d.doc_id rows unbounded preceding) as bigint) - d.size as bef
       from d join t on d.source is not distinct from t.source)

@@ -238,13 +238,14 @@ def _with_tiles(rows: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp, component_id)."""
-    d = written(with_fingerprint(docs.select("doc_id", "text"), shingle=shingle).select("doc_id", "fp"), "fingerprints")
+    """(doc_id, text) -> (doc_id, row_key, fp, root, component_id): row_key tells rows apart, root names the component."""
+    d = with_fingerprint(docs.select("doc_id", "text"), shingle=shingle)
+    d = written(d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "fp"), "fingerprints")
     fps = d.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp"), distance))
     grouped = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return d.join(grouped.join(least, "root").select("fp", "component_id"), "fp")
+    return d.join(grouped.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicate_documents(docs: DataFrame) -> DataFrame:
@@ -252,9 +253,9 @@ def near_duplicate_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id; rows that share it are told apart by their texts' hashes."""
-    found = near_duplicates(docs, distance, shingle).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c")).distinct()
-    first = found.groupBy("_c").agg(F.min("_id").alias("_id")).select("_id")
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest row_key."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = near_duplicates(docs, distance, shingle).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row_key").alias("_key"))
+    kept = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(first, "_key", "left_semi")
+    w = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_key")
