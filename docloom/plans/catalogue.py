@@ -1,8 +1,533 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, with the SQL that states the same result."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import text as T
+from docloom.operators import catalog, chunk, crawl, download, html, index, lines, quality, ratelimit, search, segment
+from docloom.operators.encode import HashingEncoder, word_buckets
+from docloom.plans import pipeline
+from docloom.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; a local one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
+    return f"{root.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
+
+
+# ---- search -------------------------------------------------------------------------------------------------------------------
+
+DOT = "round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6)"
+
+
+def _vector(spark, sf_dir, vec_id: int):
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").head()[0]
+
+
+def _best(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("rank", "vec_id", "label", *more, F.round("score", 6).alias("score"))
+
+
+@query(f"""select cast(row_number() over (order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as int) as rank, e.vec_id, e.label, {DOT} as score
+from embeddings e, (select embedding from embeddings where vec_id = 7) q
+order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id limit 10""")
+def vector_topk(spark, sf_dir):
+    """V4"""
+    return _best(search.top_k(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 7), 10, key="vec_id"))
+
+
+@query(f"""select cast(row_number() over (order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as int) as rank, e.vec_id, e.label, {DOT} as score
+from embeddings e, (select embedding from embeddings where vec_id = 7) q where e.label = 3
+order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id limit 10""")
+def vector_topk_filtered(spark, sf_dir):
+    """V4, V5: an equality filter reaches the scan."""
+    where = search.compile_filter({"label": 3})
+    return _best(search.top_k(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 7), 10, where, key="vec_id"))
+
+
+@query(f"""select cast(row_number() over (order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as int) as rank, e.vec_id, e.label, {DOT} as score
+from embeddings e, (select embedding from embeddings where vec_id = 3) q where (e.label = 1 or (e.label = 2 and e.vec_id in (2, 12, 22, 32)) or e.label = 5)
+order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id limit 8""")
+def vector_filter_language(spark, sf_dir):
+    """V5: nested conditions."""
+    spec = {"$or": [{"label": 1}, {"$and": [{"label": 2}, {"vec_id": {"$in": [2, 12, 22, 32]}}]}, {"label": {"$eq": 5}}]}
+    return _best(search.top_k(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 3), 8, search.compile_filter(spec), key="vec_id"))
+
+
+@query("""select * from (select q.vec_id as query_id, e.label, e.vec_id,
+  cast(row_number() over (partition by q.vec_id, e.label order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as int) as rank,
+  round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score
+from embeddings e, embeddings q where q.vec_id < 5) where rank <= 3""")
+def vector_topk_per_group(spark, sf_dir):
+    """V9 for five queries and every label."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = search.top_k_each(e, queries, 3, ["label"])
+    return found.select("query_id", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("""select * from (select e.label, e.vec_id,
+  cast(row_number() over (partition by e.label order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as int) as rank,
+  round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score
+from embeddings e, (select embedding from embeddings where vec_id = 11) q where e.label in (1, 2)) where rank <= 5""")
+def compare_two(spark, sf_dir):
+    """V9: two searches side by side."""
+    e, q = table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 11)
+    one, two = (search.top_k(e, q, 5, F.col("label") == n, key="vec_id") for n in (1, 2))
+    return one.unionByName(two).select("label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _meta(spark, sf_dir) -> DataFrame:
+    """Documents as index metadata: topic is the first line, section the source."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("topic_title"), F.col("source").alias("section_title"), F.col("lang").alias("product_id"))
+
+
+@query("""select doc_id, string_split(text, chr(10))[1] as topic_title, source as section_title from documents
+where (string_split(text, chr(10))[1] = 'Re.' or source = 'src3') and lang = 'en'""")
+def topic_or_section_filter(spark, sf_dir):
+    """V8's filter."""
+    spec = {"$and": [{"product_id": "en"}, {"$or": [{"topic_title": "Re."}, {"section_title": "src3"}]}]}
+    return _meta(spark, sf_dir).where(search.compile_filter(spec)).select("doc_id", "topic_title", "section_title")
+
+
+@query("""select n_nationkey, n_name, coalesce(a.target, n_name) as resolved
+from nation left join (values ('NATION_1', 'joint product'), ('NATION_2', 'joint product'), ('FRANCE', 'joint product'), ('GERMANY', 'joint product')) a(alias, target) on upper(n_name) = a.alias""")
+def alias_resolution(spark, sf_dir):
+    """V6, J2"""
+    names = spark.createDataFrame([(n, "joint product") for n in ("NATION_1", "NATION_2", "FRANCE", "GERMANY")], "alias string, target string")
+    return search.resolve_aliases(table(spark, sf_dir, "nation"), "n_name", names).select("n_nationkey", "n_name", "resolved")
+
+
+# ---- catalogue ----------------------------------------------------------------------------------------------------------------
+
+
+@query("""select cast(k.label as int) as label, cast(count(e.vec_id) as bigint) as chunk_count from range(0, 12) k(label) left join embeddings e on e.label = k.label group by 1""")
+def entity_counts_left(spark, sf_dir):
+    """Two of the twelve known labels have no rows."""
+    known = spark.range(12).select(F.col("id").cast("int").alias("label"))
+    return catalog.entity_counts(known, table(spark, sf_dir, "embeddings").select("label"), "label")
+
+
+@query("""select distinct regexp_replace(coalesce(nullif(string_split(text, chr(10))[1], ''), source), '^\\s+|\\s+$', '', 'g') as topic from documents
+where regexp_replace(coalesce(nullif(string_split(text, chr(10))[1], ''), source), '^\\s+|\\s+$', '', 'g') <> ''""")
+def distinct_topics(spark, sf_dir):
+    """A2"""
+    return catalog.topics(_meta(spark, sf_dir))
+
+
+@query("""select distinct string_split(text, chr(10))[1] as topic from documents where lang = 'de' and trim(string_split(text, chr(10))[1]) <> ''""")
+def distinct_topics_of_product(spark, sf_dir):
+    """A2 with the product filter, which takes names as they are."""
+    return catalog.topics(_meta(spark, sf_dir), "de")
+
+
+@query("select count(*) as total_vectors, cast(max(len(embedding)) as int) as dimension from embeddings")
+def index_stats(spark, sf_dir):
+    """V11"""
+    return index.index_stats(table(spark, sf_dir, "embeddings"))
+
+
+@query("""select (select count(*) from embeddings) as total_chunks, (select cast(max(len(embedding)) as int) from embeddings) as dimension, count(*) as total_products,
+string_agg(label || '=' || n, ',' order by label) as per_product from (select label, count(*) n from embeddings group by 1)""")
+def catalogue_stats(spark, sf_dir):
+    """A3; the map is shown as text."""
+    e = table(spark, sf_dir, "embeddings")
+    per = e.groupBy(F.col("label").cast("string").alias("product_id")).agg(F.count("*").alias("chunk_count"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("chunks_per_product")), lambda x: F.concat_ws("=", x.key, x.value.cast("string"))), ",")
+    return catalog.stats(e, per).select("total_chunks", "dimension", "total_products", shown.alias("per_product"))
+
+
+@query("""select n_name as model, cast(n_nationkey % 3 = 0 as boolean) as has_url from nation""")
+def listing_with_flag(spark, sf_dir):
+    """A9"""
+    n = table(spark, sf_dir, "nation")
+    return catalog.listing_with_flag(n.select(F.col("n_name").alias("model")), n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("model"), F.lit("http://x/").alias("url")))
+
+
+# ---- chunking -----------------------------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, cast(length(text) // 4 as int) as tokens from documents")
+def token_estimate(spark, sf_dir):
+    """C1"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("select doc_id, source || '_p' || (doc_id % 50) || '_c' || (doc_id // 50) || '_' || substr(md5(text), 1, 8) as id from documents")
+def chunk_ids(spark, sf_dir):
+    """C2"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.chunk_id(F.col("source"), F.col("doc_id") % 50, F.floor(F.col("doc_id") / 50), F.col("text")).alias("id"))
+
+
+_LINES_SQL = """with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)"""
+
+
+@query(_LINES_SQL + """, s as (select doc_id, pos, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') as t from l)
+select doc_id, cast(pos as int) as pos, t as line from s where length(t) >= 20 and length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) / length(t) >= 0.3
+and not ((contains(t, 'Help Guide') or contains(t, 'Copyright') or contains(t, 'Sony Corporation') or contains(t, 'All rights reserved')) and length(t) < 100)""")
+def quality_filter(spark, sf_dir):
+    """C3 on lines."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return d.where(T.is_quality(F.col("raw"))).select("doc_id", "pos", T.strip(F.col("raw")).alias("line"))
+
+
+def _hier(spark, sf_dir) -> DataFrame:
+    """Documents as hierarchical chunks: titles and bodies from the first lines."""
+    d = table(spark, sf_dir, "documents").withColumn("l", F.split("text", "\n"))
+    line = lambda i: F.coalesce(F.get("l", F.lit(i)), F.lit(""))
+    return d.select(
+        F.col("source").alias("product_id"), F.col("doc_id").cast("int").alias("chunk_no"), (F.col("doc_id") % 7).cast("int").alias("page_start"), (F.col("doc_id") % 7).cast("int").alias("page_end"),
+        F.substring(line(0), 1, 30).alias("topic_title"), line(1).alias("topic_body"), F.when(F.col("doc_id") % 2 == 0, F.substring(line(2), 1, 20)).otherwise("").alias("section_title"),
+        F.when(F.col("doc_id") % 2 == 0, line(3)).otherwise("").alias("section_body"), F.lit("").alias("subheader_title"), F.lit("").alias("subheader_body"),
+        F.slice("l", 5, 2).alias("hints"), F.slice("l", 7, 2).alias("related_topics"), F.slice("l", 9, 1).alias("footnotes"),
+    )
+
+
+_HIER_SQL = """with d as (select *, string_split(text, chr(10)) as l from documents),
+h as (select source as product_id, cast(doc_id as int) as chunk_no, cast(doc_id % 7 as int) as page_start, substr(coalesce(l[1], ''), 1, 30) as topic_title, coalesce(l[2], '') as topic_body,
+  case when doc_id % 2 = 0 then substr(coalesce(l[3], ''), 1, 20) else '' end as section_title, case when doc_id % 2 = 0 then coalesce(l[4], '') else '' end as section_body,
+  l[5:6] as hints, l[7:8] as related_topics, l[9:9] as footnotes from d),
+c as (select *, concat_ws(chr(10) || chr(10), nullif(concat_ws(' > ', nullif(topic_title, ''), nullif(section_title, '')), ''),
+  nullif(concat_ws(chr(10) || chr(10), nullif(regexp_replace(topic_body, '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_replace(section_body, '^\\s+|\\s+$', '', 'g'), '')), ''),
+  case when len(hints) > 0 then array_to_string(list_transform(hints, lambda x: 'Hint: ' || x), chr(10)) end,
+  case when len(related_topics) > 0 then 'Related Topics: ' || array_to_string(related_topics, ', ') end,
+  case when len(footnotes) > 0 then array_to_string(list_transform(footnotes, lambda x: 'Note: ' || x), chr(10)) end) as content from h)"""
+
+
+@query(_HIER_SQL + " select chunk_no, md5(content) as content_md5, cast(length(content) as int) as n from c")
+def context_build(spark, sf_dir):
+    """C4"""
+    return _hier(spark, sf_dir).select("chunk_no", chunk.context().alias("c")).select("chunk_no", F.md5("c").alias("content_md5"), F.length("c").alias("n"))
+
+
+@query(_HIER_SQL + """, o as (select *, cast(row_number() over (partition by product_id order by page_start, chunk_no) - 1 as int) as ordinal from c)
+select product_id, chunk_no, ordinal from o where length(content) >= 20""")
+def chunk_ordinals(spark, sf_dir):
+    """Numbered before the filter."""
+    return chunk.with_ordinal(_hier(spark, sf_dir)).withColumn("content", chunk.context()).where(F.length("content") >= 20).select("product_id", "chunk_no", "ordinal")
+
+
+@query("""with recursive p as (select doc_id, unnest(string_split(text, chr(10))) as para, unnest(range(1, len(string_split(text, chr(10))) + 1)) as rn from documents where length(text) // 4 > 500),
+s as (select doc_id, rn, 0 as piece, [para] as cur, length(para) // 4 as tok from p where rn = 1
+  union all
+  select s.doc_id, p.rn, case when s.tok + length(p.para) // 4 > 500 then s.piece + 1 else s.piece end,
+    case when s.tok + length(p.para) // 4 > 500 then (case when length(s.cur[-1]) // 4 < 100 then [s.cur[-1], p.para] else [p.para] end) else list_append(s.cur, p.para) end,
+    case when s.tok + length(p.para) // 4 > 500 then (case when length(s.cur[-1]) // 4 < 100 then length(s.cur[-1]) // 4 else 0 end) + length(p.para) // 4 else s.tok + length(p.para) // 4 end
+  from s join p on p.doc_id = s.doc_id and p.rn = s.rn + 1),
+done as (select doc_id, piece, arg_max(cur, rn) as cur from s group by all)
+select doc_id, cast(piece as int) as piece, md5(array_to_string(cur, chr(10))) as content_md5 from done
+union all select doc_id, 0, md5(text) from documents where length(text) // 4 <= 500""")
+def semantic_chunks(spark, sf_dir):
+    """Lines as paragraphs."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.split_text("text", "\n")).alias("piece", "content"))
+    return d.select("doc_id", "piece", F.md5("content").alias("content_md5"))
+
+
+@query(_HIER_SQL + """, g as (select *, length(content) >= 20 and length(regexp_replace(content, '[^\\p{L}\\p{N}]', '', 'g')) / length(content) >= 0.3
+ and not (regexp_matches(content, 'Help Guide|Copyright|Sony Corporation|All rights reserved') and length(content) < 100) as good from c)
+select count(distinct product_id) as products, cast(sum(good::int) as bigint) as kept, cast(sum((not good)::int) as bigint) as skipped from g""")
+def chunk_counters(spark, sf_dir):
+    """A7"""
+    return chunk.counters(_hier(spark, sf_dir))
+
+
+@query()
+def semantic_chunk_records(spark, sf_dir):
+    """Ids, contents and metadata."""
+    return chunk.semantic_chunks(_hier(spark, sf_dir))
+
+
+# ---- pages, lines, segments ---------------------------------------------------------------------------------------------------
+
+
+def _glyphs(spark, sf_dir) -> DataFrame:
+    """Words of documents as glyphs: ten to a line, fonts by place."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("product_id"), F.posexplode(F.filter(F.split("text", r"[ \n]"), lambda w: w != "")).alias("glyph_no", "w"))
+    return d.select("product_id", F.floor(F.col("glyph_no") / 400).cast("int").alias("page"), "glyph_no", (F.floor(F.col("glyph_no") / 10) * 12.5).alias("top"),
+                    F.when(F.length("w") > 5, "Face-Bold").otherwise("Face").alias("fontname"), F.when(F.col("glyph_no") % 3 == 0, 9.7).otherwise(11.5).alias("size"), F.col("w").alias("text"))
+
+
+@query("""with w as (select doc_id, list_filter(string_split_regex(text, '[ \\n]'), lambda x: x <> '') as ws from documents),
+g as (select 'D' || doc_id as product_id, unnest(ws) as text, unnest(range(0, len(ws))) as glyph_no from w),
+f as (select product_id, cast(glyph_no // 400 as int) as page, glyph_no, (glyph_no // 10) * 12.5 as y0, case when length(text) > 5 then 'Face-Bold' else 'Face' end as font, case when glyph_no % 3 = 0 then 9.7 else 11.5 end as size, text from g),
+n as (select product_id, page, y0, font, size, count(*) as n, min(glyph_no) as first from f group by all),
+b as (select *, row_number() over (partition by product_id, page, y0 order by n desc, first) as r from n),
+t as (select product_id, page, y0, string_agg(text, '' order by glyph_no) as text from f group by all)
+select t.product_id, t.page, cast(row_number() over (partition by t.product_id, t.page order by t.y0) - 1 as int) as line_no, t.text, b.font, cast(b.size as double) as size, cast(t.y0 as double) as y0
+from t join b on t.product_id = b.product_id and t.page = b.page and t.y0 = b.y0 and b.r = 1""")
+def line_dominant_font(spark, sf_dir):
+    """P1, P2"""
+    return lines.font_lines(_glyphs(spark, sf_dir))
+
+
+_TYPED_SQL = """with r as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents),
+y as (select 'D' || doc_id as product_id, cast(pos // 30 as int) as page, cast(pos as int) as line_no, case when pos % 13 = 4 then 'Hint' when pos % 17 = 6 then 'Related Topic' when pos % 19 = 8 then 'TP12' else raw end as text,
+  pos % 11 = 0 or pos % 5 = 0 or pos % 3 = 0 as bold, case when pos % 11 = 0 then 12.7 when pos % 5 = 0 then 10.2 when pos % 3 = 0 then 9.2 when pos % 7 = 0 then 8.0 else 9.7 end as size from r),
+typed as (select *, case when regexp_full_match(text, '[0-9]+') or text = 'Help Guide' or text = product_id or (contains(text, product_id) and length(text) < 30) or starts_with(text, 'Interchangeable Lens')
+    or regexp_full_match(text, 'TP[0-9]+') or starts_with(text, 'Copyright') or contains(text, 'Sony Corporation') then 'ignore'
+  when text = 'Hint' then 'hint' when text = 'Related Topic' then 'related' when size < 8.5 or starts_with(text, '*') then 'footnote'
+  when bold and size >= 11.5 then 'topic' when bold and size >= 10.0 then 'section' when bold and size >= 9.0 then 'subheader' else 'body' end as line_type from y)"""
+
+
+@query(_TYPED_SQL + " select product_id, page, line_no, line_type from typed")
+def line_types(spark, sf_dir):
+    """P3, P4"""
+    return lines.typed_lines(pipeline.lines_of_documents(table(spark, sf_dir, "documents"))).select("product_id", "page", "line_no", "line_type")
+
+
+_SEGMENT_SQL = _TYPED_SQL + """,
+a as (select *, sum(case when line_type in ('topic', 'section', 'subheader') then 1 else 0 end) over w as run,
+  last_value(case when line_type <> 'body' then line_type end ignore nulls) over (partition by product_id, page order by line_no rows between unbounded preceding and 1 preceding) as prev,
+  sum(case when line_type = 'hint' then 1 else 0 end) over w as hint_no from typed window w as (partition by product_id, page order by line_no)),
+b as (select *, case when line_type <> 'body' then line_type when prev = 'hint' then 'in_hint' when prev = 'related' then 'in_related' else 'plain' end as kind from a),
+runs as (select product_id, page, run, max(case when line_type in ('topic', 'section', 'subheader') then line_type end) as type,
+  max(case when line_type in ('topic', 'section', 'subheader') then text end) as title,
+  coalesce(string_agg(text, ' ' order by line_no) filter (where kind = 'plain'), '') as body,
+  count(*) filter (where kind = 'plain' and length(text) >= 20) as long_lines,
+  count(*) filter (where kind = 'footnote') as n_footnotes, count(distinct hint_no) filter (where kind = 'in_hint') as n_hints,
+  count(*) filter (where kind = 'in_related' and not starts_with(text, 'TP') and not contains(text, 'Copyright')) as related from b group by all),
+s as (select *, lead(type) over w as nxt, sum(case when type = 'topic' then 1 else 0 end) over w as seg from runs window w as (partition by product_id, page order by run)),
+u as (select *, last_value(case when type = 'topic' then struct_pack(t := title, b := body) end ignore nulls) over w as topic,
+  last_value(case when type = 'section' then struct_pack(t := title, b := body) end ignore nulls) over w as section,
+  sum(related) over (partition by product_id, page, seg) as n_related from s window w as (partition by product_id, page, seg order by run rows unbounded preceding)),
+e as (select * from u where case when run = 0 then long_lines > 0 when type = 'topic' then nxt is null or nxt = 'topic' when type = 'section' then nxt is null or nxt = 'section' or (nxt = 'topic' and seg > 0) else true end)"""
+
+
+@query(_SEGMENT_SQL + """ select product_id, page as page_start, cast(row_number() over (partition by product_id order by page, run) - 1 as int) as chunk_no,
+  coalesce(topic.t, '') as topic_title, md5(trim(regexp_replace(coalesce(topic.b, ''), '\\s+', ' ', 'g'))) as topic_body_md5,
+  case when type = 'topic' then '' else coalesce(section.t, '') end as section_title,
+  md5(case when type = 'topic' then '' else trim(regexp_replace(coalesce(section.b, ''), '\\s+', ' ', 'g')) end) as section_body_md5,
+  case when type = 'subheader' then title when type is null then null else '' end as subheader_title,
+  case when type is null then null else md5(case when type = 'subheader' then trim(regexp_replace(body, '\\s+', ' ', 'g')) else '' end) end as subheader_body_md5,
+  cast(n_footnotes as int) as n_footnotes, cast(n_hints as int) as n_hints, cast(n_related as int) as n_related from e""")
+def page_segments(spark, sf_dir):
+    """P5-P10; the orphans' own title and body are left to the tests."""
+    typed = lines.typed_lines(pipeline.lines_of_documents(table(spark, sf_dir, "documents")))
+    s = segment.page_segments(typed)
+    orphan = (F.col("topic_title") == "") & (F.col("section_title") == "") & (F.col("orphan"))
+    return s.select(
+        "product_id", "page_start", "chunk_no", "topic_title", F.md5("topic_body").alias("topic_body_md5"), "section_title", F.md5("section_body").alias("section_body_md5"),
+        F.when(~orphan, F.col("subheader_title")).alias("subheader_title"), F.when(~orphan, F.md5("subheader_body")).alias("subheader_body_md5"),
+        F.size("footnotes").alias("n_footnotes"), F.size("hints").alias("n_hints"), F.size("related_topics").alias("n_related"),
+    )
+
+
+@query(_SEGMENT_SQL + """, q as (select page, (coalesce(topic.t, '') || coalesce(case when type = 'topic' then '' else section.t end, '') || case when type = 'subheader' then title else '' end) <> '' as titled,
+  regexp_replace(coalesce(case when type = 'subheader' then body end, ''), '\\s+', '', 'g') as b1, regexp_replace(coalesce(case when type = 'topic' then '' else section.b end, ''), '\\s+', '', 'g') as b2,
+  regexp_replace(coalesce(topic.b, ''), '\\s+', '', 'g') as b3 from e where type is not null)
+select count(*) as total_chunks, cast(sum((titled and b1 = '' and b2 = '' and b3 = '')::int) as bigint) as incomplete_chunks, cast(sum((not titled and b1 = '' and b2 = '' and b3 = '')::int) as bigint) as empty_chunks,
+ round(sum((titled and b1 = '' and b2 = '' and b3 = '')::int) / count(*) * 100, 6) as incomplete_percentage, cast(count(distinct page) as bigint) as page_coverage,
+ sum((titled and b1 = '' and b2 = '' and b3 = '')::int) / count(*) * 100 < 5.0 and sum((not titled and b1 = '' and b2 = '' and b3 = '')::int) / count(*) * 100 < 1.0 as quality_pass from q""")
+def parser_quality(spark, sf_dir):
+    """A4 on the segments with a header."""
+    s = segment.page_segments(lines.typed_lines(pipeline.lines_of_documents(table(spark, sf_dir, "documents")))).where("not orphan")
+    return quality.quality_metrics(s).select("total_chunks", "incomplete_chunks", "empty_chunks", F.round("incomplete_percentage", 6).alias("incomplete_percentage"), "page_coverage", "quality_pass")
+
+
+@query()
+def quality_report(spark, sf_dir):
+    """Metrics and samples in one row (sampling here is a report of at most 20 chunks)."""
+    return quality.report(segment.page_segments(lines.typed_lines(pipeline.lines_of_documents(table(spark, sf_dir, "documents")))))
+
+
+# ---- vectors ------------------------------------------------------------------------------------------------------------------
+
+
+@query("""with w as (select item_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as t from benchmark)
+select item_id, cast(cast('0x' || substr(md5(t), 1, 8) as bigint) % 768 as int) as bucket, cast(sum(case when substr(md5(t), 9, 1) < '8' then 1 else -1 end) as bigint) as weight from w group by all""")
+def encoder_buckets(spark, sf_dir):
+    """V1: the hashing encoder's sums before normalisation."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.expr(word_buckets("text"))).alias("x"))
+    return b.groupBy("item_id", F.col("x.bucket").alias("bucket")).agg(F.sum("x.sign").cast("bigint").alias("weight"))
+
+
+@query("""select vec_id as id, label + 100 as label, 'new' as version from embeddings where vec_id % 3 = 0
+union all select vec_id, label, 'old' from embeddings where vec_id % 3 <> 0 and vec_id % 5 <> 4
+union all select vec_id + 1000000, label, 'new' from embeddings where vec_id % 7 = 0""")
+def upsert_merge(spark, sf_dir):
+    """K3: repeats in the new rows, the last counts; replaced, kept and added ids."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = lambda df, i, label, v, seq: df.select(i.alias("id"), label.alias("label"), F.lit(v).alias("version"), F.lit(seq).alias("seq"))
+    old = rows(e.where("vec_id % 3 = 0 or vec_id % 5 <> 4"), F.col("vec_id"), F.col("label"), "old", 0).drop("seq")
+    third = e.where("vec_id % 3 = 0")
+    new = rows(third, F.col("vec_id"), F.col("label"), "stale", 1).union(rows(third, F.col("vec_id"), F.col("label") + 100, "new", 2)).union(rows(e.where("vec_id % 7 = 0"), F.col("vec_id") + 1000000, F.col("label"), "new", 3))
+    return index.upsert(old, new, by=["seq"])
+
+
+@query("""select text_md5, copies from (select md5(text) as text_md5, count(*) as copies from documents group by 1) where copies > 1""")
+def boilerplate_dupes(spark, sf_dir):
+    """Ids that an upsert would collide on: equal contents."""
+    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+@query("""select vec_id, list_filter([case when label % 2 = 0 then 'a' || label end, '', 'x'], lambda z: z is not null and z <> '') as hints from embeddings""")
+def metadata_projection(spark, sf_dir):
+    """K4: what lists may hold in the index."""
+    items = F.array(F.when(F.col("label") % 2 == 0, F.concat(F.lit("a"), F.col("label").cast("string"))), F.lit(""), F.lit("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", index.admitted(items).alias("hints"))
+
+
+@query()
+def ingest_and_search(spark, sf_dir):
+    """Documents to segments, chunks, vectors, and a search over them."""
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    encoder = HashingEncoder()
+    chunks = chunk.semantic_chunks(segment.page_segments(lines.typed_lines(pipeline.lines_of_documents(docs))))
+    engine = search.SearchEngine(pipeline.vectors_of_chunks(chunks, encoder), encoder)
+    return engine.search("the thing of and", 10)
+
+
+# ---- html and urls ------------------------------------------------------------------------------------------------------------
+
+
+@query("select page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 'Untitled') as title from pages")
+def html_title(spark, sf_dir):
+    """H2"""
+    return html.titles(table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+@query("select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))), ' ') as links from pages")
+def html_links(spark, sf_dir):
+    """H8"""
+    return html.links(table(spark, sf_dir, "pages")).select("page_id", F.array_join("links", " ").alias("links"))
+
+
+@query()
+def html_pages(spark, sf_dir):
+    """Records of all pages with main content."""
+    return html.parse_pages(table(spark, sf_dir, "pages"))
+
+
+@query("select page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(?:/[^?#]*/|/)?)', 1) as base, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path from pages")
+def url_parts(spark, sf_dir):
+    """U4"""
+    return table(spark, sf_dir, "pages").select("page_id", T.base_url(F.col("url")).alias("base"), T.url_path(F.col("url")).alias("path"))
+
+
+@query("select page_id, coalesce(nullif(trim(replace(replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/', '_'), '.html', ''), '_'), ''), 'index') as file from pages")
+def url_filename(spark, sf_dir):
+    """U5"""
+    return table(spark, sf_dir, "pages").select("page_id", T.url_filename(F.col("url")).alias("file"))
+
+
+@query("""with recursive e as (select c_custkey as src, (c_custkey * 3 + 1) % 997 as dst from customer union select c_custkey, (c_custkey * 5) % 997 from customer),
+r as (select 1::bigint as node, 0 as depth union all select distinct e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 40 and e.dst not in (select node from r))
+select node from (select distinct node from r)""")
+def crawl_closure(spark, sf_dir):
+    """Breadth first over a link table until nothing is new."""
+    c = table(spark, sf_dir, "customer")
+    edges = c.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 3 + 1) % 997).alias("dst")).union(c.select("c_custkey", (F.col("c_custkey") * 5) % 997))
+    return crawl.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")), scratch(spark, "closure")).select("node")
+
+
+@query("""select distinct h.base, 'http://h/' || n.n_regionkey || '/' || n.n_nationkey || '.html' as url from nation n, (select distinct n_regionkey, 'http://h/' || n_regionkey || '/' as base from nation) h
+where h.n_regionkey = n.n_regionkey and n.n_nationkey % 4 <> 0""")
+def crawl_frontier(spark, sf_dir):
+    """Relative links are joined to their base; visited ones go."""
+    n = table(spark, sf_dir, "nation")
+    base = F.concat(F.lit("http://h/"), F.col("n_regionkey").cast("string"), F.lit("/"))
+    name = F.concat(F.col("n_nationkey").cast("string"), F.lit(".html"))
+    pages = n.groupBy(base.alias("base")).agg(F.collect_list(name).alias("internal_links"))
+    visited = n.where("n_nationkey % 4 = 0").select(F.concat(base, name).alias("url"))
+    return crawl.next_frontier(pages, visited)
+
+
+@query("select n_name as model, 'http://guide/' || n_nationkey as url from nation where n_nationkey % 5 <> 0")
+def url_map(spark, sf_dir):
+    """Models and URLs in a text file; models without a URL, comments and blank lines."""
+    n = table(spark, sf_dir, "nation")
+    per = F.array(F.lit(""), F.lit("Example: x"), F.concat("n_name", F.lit(" (Ver. 2)/other")), F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit("http://guide/"), F.col("n_nationkey").cast("string"))).otherwise(F.lit("")))
+    flat = n.select(F.lit("f").alias("file"), "n_nationkey", F.posexplode(per).alias("i", "value"))
+    return files.read_url_map(flat.select("file", (F.col("n_nationkey") * 4 + F.col("i")).alias("pos"), "value"))
+
+
+@query("""select count(*) as total_cameras, cast(sum((s_suppkey % 4 <> 0)::int) as bigint) as successful_downloads, cast(sum((s_suppkey % 4 = 0)::int) as bigint) as failed_downloads,
+round(sum(case when s_suppkey % 4 <> 0 then s_suppkey * 1000 else 0 end) / (1024 * 1024), 6) as total_size_mb from supplier""")
+def download_summary(spark, sf_dir):
+    """A5"""
+    ok = F.col("s_suppkey") % 4 != 0
+    records = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("model"), F.lit("http://g").alias("help_guide_url"), ok.alias("success"), F.lit("http://p").alias("pdf_url"), F.when(ok, F.col("s_suppkey") * 1000).otherwise(0).cast("long").alias("file_size_bytes"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("output_path"))
+    return download.download_summary(records).select("total_cameras", "successful_downloads", "failed_downloads", F.round("total_size_mb", 6).alias("total_size_mb"))
+
+
+@query()
+def pdf_links(spark, sf_dir):
+    """U7 over all pages."""
+    return download.pdf_link(table(spark, sf_dir, "pages")).select("page_id", "pdf_url")
+
+
+# ---- admission ----------------------------------------------------------------------------------------------------------------
+
+_BURST, _MINUTE = (3, 3_600_000_000), (10, 21_600_000_000)
+
+
+@query("""with recursive q as (select event_type as k, event_id as id, epoch_us(ts) as us, row_number() over (partition by event_type order by ts, event_id) as rn from events),
+s as (select k, id, rn, us as bs, 1::bigint as bc, us as ms, 1::bigint as mc, true as allowed, 0::bigint as retry_after, 9::bigint as remaining from q where rn = 1
+  union all
+  select k, id, rn, bs2, bc2, case when bc2 > 3 then ms else ms2 end, case when bc2 > 3 then mc else mc2 end, bc2 <= 3 and mc2 <= 10,
+    case when bc2 > 3 then 1 when mc2 > 10 then greatest(1, (ms2 + 21600000000 - us + 999999) // 1000000) else 0 end,
+    case when bc2 > 3 then greatest(10 - case when fresh then 0 else mc end, 0) else greatest(10 - mc2, 0) end
+  from (select s.k, q.id, q.rn, q.us, s.ms, s.mc, q.us >= s.ms + 21600000000 as fresh,
+      case when q.us >= s.bs + 3600000000 then q.us else s.bs end as bs2, case when q.us >= s.bs + 3600000000 then 1 else s.bc + 1 end as bc2,
+      case when q.us >= s.ms + 21600000000 then q.us else s.ms end as ms2, case when q.us >= s.ms + 21600000000 then 1 else s.mc + 1 end as mc2
+    from s join q on q.k = s.k and q.rn = s.rn + 1))
+select k as rate_key, id, allowed, cast(retry_after as int) as retry_after, cast(remaining as int) as remaining from s""")
+def rate_limit_anchored(spark, sf_dir):
+    """Both counters; one and six hours stand in for a second and a minute, as events are sparse."""
+    return ratelimit.admit(table(spark, sf_dir, "events"), "event_type", "ts", "event_id", _BURST, _MINUTE)
+
+
+@query("""select count(distinct k) as active_keys, count(distinct k) as counted_ips, count(distinct ip) as distinct_ips from
+(select 'u' || (user_id % 50) as ip, 'u' || (user_id % 50) || case when event_type = 'click' then '' else ':' || event_type end as k from events)""")
+def rate_limit_keys(spark, sf_dir):
+    """U9, U10, R6"""
+    ip = T.client_ip(F.concat(F.lit(" u"), (F.col("user_id") % 50).cast("string"), F.lit(", proxy")), F.lit(None).cast("string"), F.lit("peer"))
+    session = F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type"))
+    return ratelimit.key_statistics(table(spark, sf_dir, "events").select(T.rate_key(ip, session).alias("rate_key")))
+
+
+_ROUTES = ("/health", "/sse", "/mcp", "/mcp/x", "/", "/other")
+
+
+@query("""select event_id, case event_id % 6 when 2 then event_id % 2 = 1 or event_id % 4 <> 0 when 4 then true else event_id % 6 = 3 and not (event_id % 4 = 0) end as limited from events where event_id % 6 <> 2
+union all select event_id, event_id % 4 <> 0 from events where event_id % 6 = 2""")
+def request_routing(spark, sf_dir):
+    """R2"""
+    path = F.element_at(F.array(*[F.lit(p) for p in _ROUTES]), (F.col("event_id") % 6 + 1).cast("int"))
+    method = F.when(F.col("event_id") % 4 == 0, "GET").otherwise("POST")
+    return table(spark, sf_dir, "events").select("event_id", ratelimit.limited(path, method).alias("limited"))
+
+
+@query()
+def rate_limit_denials(spark, sf_dir):
+    """R4"""
+    return ratelimit.denial(ratelimit.admit(table(spark, sf_dir, "events"), "event_type", "ts", "event_id", _BURST, _MINUTE), _MINUTE[0], _BURST[0])
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
