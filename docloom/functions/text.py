@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from docloom.functions.fixed import BOILERPLATE, PROFILES
 
 
+#: Every character that Python counts as white space.
+SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
 def strip(c: Column) -> Column:
-    """White space of any script off both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """White space of any script off both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
