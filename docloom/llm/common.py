@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,6 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+    """Bounds what a Python task holds at once: Arrow batches of whole texts of at most so many rows and bytes (a longer text alone)."""
+    for key, most, shown in (("maxRecordsPerBatch", rows, rows), ("maxBytesPerBatch", megabytes << 20, f"{megabytes}m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower())
+        size = int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] if now else 0
+        if size <= 0 or size > most:
+            spark.conf.set(key, str(shown))
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null and empty texts have 0."""
     flat = F.trim(F.translate(F.coalesce(text, F.lit("")), _BLANKS, " " * len(_BLANKS)))

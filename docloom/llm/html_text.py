@@ -20,12 +20,13 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from docloom.llm.common import written
+from docloom.llm.common import small_batches, written
 
 WINNING = 0.05
 
@@ -242,20 +243,23 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
-def _votes(pages: pd.Series) -> pd.DataFrame:
-    rows = []
-    for html in pages:
-        page = Page(html)
-        best = page.best()
-        rows.append((None, None) if best < 0 else (signed(page.key[best]), page.path(best)))
-    return pd.DataFrame(rows, columns=["path_key", "path"]).astype({"path_key": "Int64"})
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) -> (host, path_key, path) of each page's best container."""
+    for batch in batches:
+        keys, paths = [], []
+        for html in batch.column("html").to_pylist():
+            page = Page(html)
+            best = page.best()
+            keys.append(None if best < 0 else signed(page.key[best]))
+            paths.append(None if best < 0 else page.path(best))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.int64()), pa.array(paths, pa.string())], ["host", "path_key", "path"])
 
 
 def winning_paths(pages: DataFrame, winning: float = WINNING) -> DataFrame:
     """(url, html) -> (host, paths): the host's winning paths, most votes first."""
-    vote = F.pandas_udf(_votes, "path_key long, path string")
-    ballots = pages.select(host_of(F.col("url")).alias("host"), vote("html").alias("v")).where("host <> '' and v.path_key is not null")
-    votes = ballots.groupBy("host", F.col("v.path_key").alias("path_key")).agg(F.count("*").alias("votes"), F.min("v.path").alias("path"))
+    at = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
+    ballots = at.mapInArrow(_votes, "host string, path_key long, path string").where("path_key is not null")
+    votes = ballots.groupBy("host", "path_key").agg(F.count("*").alias("votes"), F.min("path").alias("path"))
     votes = written(votes, "votes")
     cast = votes.groupBy("host").agg(F.sum("votes").alias("cast"))
     won = votes.join(cast, "host").where(F.col("votes") >= F.col("cast") * winning)
@@ -263,30 +267,32 @@ def winning_paths(pages: DataFrame, winning: float = WINNING) -> DataFrame:
     return written(won.groupBy("host").agg(order.alias("p")).select("host", F.col("p.path_key").alias("paths"), F.col("p.path").alias("path_names")), "winning-paths")
 
 
-def _reads(pages: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for htmls, wanted in pages:
-        rows = []
-        for html, keys in zip(htmls, wanted):
+def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with _paths -> the same columns without it, and text and by_host. (Arrow in and out: other columns pass untouched.)"""
+    for batch in batches:
+        texts, used = [], []
+        for html, keys in zip(batch.column("html").to_pylist(), batch.column("_paths").to_pylist()):
             page, blocks = Page(html), []
-            for key in [] if keys is None else keys:
-                blocks = page.text_in(int(key) % (1 << 64))
+            for key in keys or []:
+                blocks = page.text_in(key % (1 << 64))
                 if blocks:
                     break
-            by_host = bool(blocks)
+            used.append(bool(blocks))
             if not blocks and (best := page.best()) >= 0:
                 blocks = page.text_in(page.key[best])
-            rows.append(("\n".join(blocks), by_host))
-        yield pd.DataFrame(rows, columns=["text", "by_host"])
+            texts.append("\n".join(blocks))
+        kept = [n for n in batch.schema.names if n != "_paths"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string()), pa.array(used, pa.bool_())], [*kept, "text", "by_host"])
 
 
 def extract(pages: DataFrame, winning: float = WINNING) -> DataFrame:
     """pages with text, n_chars and by_host (whether a winning path of the host was used)."""
+    small_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars", "by_host")
     won = winning_paths(pages, winning).select(F.col("host").alias("_host"), "paths")
-    at = pages.withColumn("_h", host_of(F.col("url"))).join(won.withColumnRenamed("paths", "_paths"), F.col("_h") == F.col("_host"), "left")
-    read_by = F.pandas_udf(_reads, "text string, by_host boolean")
-    out = at.withColumn("_x", read_by("html", "_paths")).select(*pages.columns, F.col("_x.text").alias("text"), F.col("_x.by_host").alias("by_host"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    at = pages.withColumn("_h", host_of(F.col("url"))).join(won.withColumnRenamed("paths", "_paths"), F.col("_h") == F.col("_host"), "left").select(*pages.columns, "_paths")
+    schema = StructType([*pages.schema.fields, StructField("text", StringType()), StructField("by_host", BooleanType())])
+    return at.mapInArrow(_reads, schema).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

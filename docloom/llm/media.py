@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import utf8
+from docloom.llm.common import small_batches, utf8
 
 WIDTH = 64
 FRAME_ROWS = 4096
@@ -432,6 +432,7 @@ def store_texts(df: DataFrame, text: str = "text", media: str = "media") -> Data
                 out += encode_payloads(payloads[lo:hi])
             yield pd.Series(out, dtype=object)
 
+    small_batches(df.sparkSession)
     return df.withColumn(media, stored(F.col(text)))
 
 
@@ -457,6 +458,7 @@ def decode(df: DataFrame, media: str = "media", into: str = "image") -> DataFram
             out = pd.DataFrame(rows, columns=["width", "height", "frames", "thumb_width", "thumb_height", "thumbnail", "ahash", "dhash", "error"])
             yield out.astype({c: "Int32" for c in ("width", "height", "frames", "thumb_width", "thumb_height")})
 
+    small_batches(df.sparkSession)
     return df.withColumn(into, decoded(F.col(media)))
 
 
