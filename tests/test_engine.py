@@ -145,6 +145,7 @@ def test_streaming_admission_equals_batch(spark, tmp_path):
     for part in range(3):
         df.where((F.col("id") >= part * 100) & (F.col("id") < part * 100 + 100)).coalesce(1).write.parquet(f"{tmp_path}/in/part{part}")
     limits = dict(burst=(3, 1_000_000), minute=(25, 10_000_000))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else processing-time timeouts ask for batches without end
     stream = admit_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), "k", "ts", "id", **limits)
     q = stream.writeStream.format("memory").queryName("admitted").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
     q.processAllAvailable()
