@@ -247,5 +247,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
     """docs without the documents that hold a copy of a test item; documents without id are judged by their text."""
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select(key.alias("doc_id"), "text")
-    bad = written(contaminated(keyed, benchmark, min_score).select(F.col("doc_id").alias("_k")).distinct(), "leaks")
-    return docs.withColumn("_k", key).join(bad, "_k", "left_anti").drop("_k")
+    bad = written(contaminated(keyed, benchmark, min_score).select(F.col("doc_id").alias("_docloom_k")).distinct(), "leaks")
+    return docs.withColumn("_docloom_k", key).join(bad, "_docloom_k", "left_anti").drop("_docloom_k")

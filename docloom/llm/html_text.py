@@ -268,10 +268,10 @@ def winning_paths(pages: DataFrame, winning: float = WINNING) -> DataFrame:
 
 
 def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with _paths -> the same columns without it, and text and by_host. (Arrow in and out: other columns pass untouched.)"""
+    """Pages with _docloom_paths -> the same columns without it, and text and by_host. (Arrow in and out: other columns pass untouched.)"""
     for batch in batches:
         texts, used = [], []
-        for html, keys in zip(batch.column("html").to_pylist(), batch.column("_paths").to_pylist()):
+        for html, keys in zip(batch.column("html").to_pylist(), batch.column("_docloom_paths").to_pylist()):
             page, blocks = Page(html), []
             for key in keys or []:
                 blocks = page.text_in(key % (1 << 64))
@@ -281,7 +281,7 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not blocks and (best := page.best()) >= 0:
                 blocks = page.text_in(page.key[best])
             texts.append("\n".join(blocks))
-        kept = [n for n in batch.schema.names if n != "_paths"]
+        kept = [n for n in batch.schema.names if n != "_docloom_paths"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string()), pa.array(used, pa.bool_())], [*kept, "text", "by_host"])
 
 
@@ -289,8 +289,8 @@ def extract(pages: DataFrame, winning: float = WINNING) -> DataFrame:
     """pages with text, n_chars and by_host (whether a winning path of the host was used)."""
     small_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars", "by_host")
-    won = winning_paths(pages, winning).select(F.col("host").alias("_host"), "paths")
-    at = pages.withColumn("_h", host_of(F.col("url"))).join(won.withColumnRenamed("paths", "_paths"), F.col("_h") == F.col("_host"), "left").select(*pages.columns, "_paths")
+    won = winning_paths(pages, winning).select(F.col("host").alias("_docloom_host"), "paths")
+    at = pages.withColumn("_docloom_h", host_of(F.col("url"))).join(won.withColumnRenamed("paths", "_docloom_paths"), F.col("_docloom_h") == F.col("_docloom_host"), "left").select(*pages.columns, "_docloom_paths")
     schema = StructType([*pages.schema.fields, StructField("text", StringType()), StructField("by_host", BooleanType())])
     return at.mapInArrow(_reads, schema).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -189,7 +189,7 @@ def identify(df: DataFrame, model: Filters, text: str = "text") -> DataFrame:
                 i = j
             yield pd.concat(parts, ignore_index=True)
 
-    return df.drop("lang_pred", "score", "coverage").withColumn("_lang", predict(F.col(text))).select("*", "_lang.*").drop("_lang")
+    return df.drop("lang_pred", "score", "coverage").withColumn("_docloom_lang", predict(F.col(text))).select("*", "_docloom_lang.*").drop("_docloom_lang")
 
 
 def predict_documents(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:

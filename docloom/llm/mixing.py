@@ -49,17 +49,17 @@ def schedule(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, pa
     """docs with size, source_size, target and takes: for each pass its words taken and its virtual finish time."""
     docs = docs.drop("size", "source_size", "target", "weight", "takes")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
-    d = docs.withColumns({"size": n_words(F.col("text")), "_key": key}).withColumn("_range", F.substring("_key", 1, 3))
-    sums = d.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    before = sums.withColumn("_offset", F.sum("_sum").over(Window.partitionBy("source").orderBy("_range")) - F.col("_sum"))
-    t = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, passes)
-    t = before.join(t.withColumnRenamed("source", "_s"), F.expr("source <=> _s")).select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_offset", "source_size", "weight", "target")
-    inside = F.sum("size").over(Window.partitionBy("source", "_range").orderBy("_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_inside", inside).join(t, F.expr("source <=> _s and _range = _r"))
-    d = d.withColumn("_before", F.col("_offset") + F.col("_inside") - F.col("size"))
-    take = "greatest(0L, least(size, cast(floor(target) as bigint) - p * source_size - _before))"
-    takes = F.expr(f"transform(sequence(0L, {passes - 1}L), p -> named_struct('pass', cast(p as int), 'words', {take}, 'finish', (p * source_size + _before + size) / weight))")
-    return d.withColumn("takes", takes).drop("_key", "_range", "_inside", "_s", "_r", "_offset", "weight", "_before")
+    d = docs.withColumns({"size": n_words(F.col("text")), "_docloom_key": key}).withColumn("_docloom_range", F.substring("_docloom_key", 1, 3))
+    sums = d.groupBy("source", "_docloom_range").agg(F.sum("size").alias("_docloom_sum"))
+    before = sums.withColumn("_docloom_offset", F.sum("_docloom_sum").over(Window.partitionBy("source").orderBy("_docloom_range")) - F.col("_docloom_sum"))
+    t = targets(sums.groupBy("source").agg(F.sum("_docloom_sum").alias("source_size")), weights, share, passes)
+    t = before.join(t.withColumnRenamed("source", "_docloom_s"), F.expr("source <=> _docloom_s")).select(F.col("source").alias("_docloom_s"), F.col("_docloom_range").alias("_docloom_r"), "_docloom_offset", "source_size", "weight", "target")
+    inside = F.sum("size").over(Window.partitionBy("source", "_docloom_range").orderBy("_docloom_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_docloom_inside", inside).join(t, F.expr("source <=> _docloom_s and _docloom_range = _docloom_r"))
+    d = d.withColumn("_docloom_before", F.col("_docloom_offset") + F.col("_docloom_inside") - F.col("size"))
+    take = "greatest(0L, least(size, cast(floor(target) as bigint) - p * source_size - _docloom_before))"
+    takes = F.expr(f"transform(sequence(0L, {passes - 1}L), p -> named_struct('pass', cast(p as int), 'words', {take}, 'finish', (p * source_size + _docloom_before + size) / weight))")
+    return d.withColumn("takes", takes).drop("_docloom_key", "_docloom_range", "_docloom_inside", "_docloom_s", "_docloom_r", "_docloom_offset", "weight", "_docloom_before")
 
 
 def _first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
@@ -76,10 +76,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix: one row for each served copy in the order of virtual finish time, range-sorted over all partitions.
 
     pass, words and finish are added; the copy that the cut goes through keeps its first `words` words, others are whole."""
-    s = schedule(docs, **how).withColumn("_t", F.explode("takes")).where("_t.words > 0")
-    begun = F.pandas_udf(_first_words, "string")(F.when(F.col("_t.words") < F.col("size"), F.col("text")), F.col("_t.words"))
-    out = s.withColumns({"text": F.coalesce(begun, "text"), "pass": F.col("_t.pass"), "words": F.col("_t.words"), "finish": F.col("_t.finish")})
-    return out.drop("takes", "_t").repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
+    s = schedule(docs, **how).withColumn("_docloom_t", F.explode("takes")).where("_docloom_t.words > 0")
+    begun = F.pandas_udf(_first_words, "string")(F.when(F.col("_docloom_t.words") < F.col("size"), F.col("text")), F.col("_docloom_t.words"))
+    out = s.withColumns({"text": F.coalesce(begun, "text"), "pass": F.col("_docloom_t.pass"), "words": F.col("_docloom_t.words"), "finish": F.col("_docloom_t.finish")})
+    return out.drop("takes", "_docloom_t").repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
 
 
 def mix_plan(docs: DataFrame, **how) -> DataFrame:

@@ -89,19 +89,19 @@ def uniform_shards(df: DataFrame, by: list[Column], shards: int = 16, seed: int
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     n_blocks = int(min(MAX_BLOCKS, max(1, -(-df.count() // BLOCK_ROWS))))
-    keyed = df.withColumns({"_k1": F.xxhash64(F.lit(f"deal{seed}"), *by), "_k2": F.xxhash64(F.lit(f"local{seed}"), *by), "_k3": F.xxhash64(F.lit(f"again{seed}"), *by)}).withColumn("_block", F.pmod("_k1", F.lit(n_blocks)).cast("int"))
+    keyed = df.withColumns({"_docloom_k1": F.xxhash64(F.lit(f"deal{seed}"), *by), "_docloom_k2": F.xxhash64(F.lit(f"local{seed}"), *by), "_docloom_k3": F.xxhash64(F.lit(f"again{seed}"), *by)}).withColumn("_docloom_block", F.pmod("_docloom_k1", F.lit(n_blocks)).cast("int"))
     counts = [0] * n_blocks
-    for r in keyed.groupBy("_block").count().collect():
-        counts[r["_block"]] = r["count"]
+    for r in keyed.groupBy("_docloom_block").count().collect():
+        counts[r["_docloom_block"]] = r["count"]
     cuts = np.cumsum(communication_matrix(counts, shards, seed), axis=1)
-    table = spark.createDataFrame([(b, [int(x) for x in c]) for b, c in enumerate(cuts)], "_block int, _cuts array<bigint>")
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_k2", "_k1", "_k3"))
-    dealt = keyed.withColumn("_rank", rank).join(table, "_block").withColumn("shard", F.expr("cast(size(filter(_cuts, c -> c < _rank)) as int)"))
-    dealt = written(dealt.withColumn("_part", F.pmod(F.shiftrightunsigned("_k3", 40), F.lit(n_blocks)).cast("int")).drop("_cuts", "_rank", "_block"), "dealt")
-    sums = dealt.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_part")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_k3", "_k2", "_k1"))
-    return dealt.withColumn("_place", place).join(before, ["shard", "_part"]).withColumn("slot", F.col("_before") + F.col("_place") - 1).drop("_k1", "_k2", "_k3", "_part", "_place", "_before")
+    table = spark.createDataFrame([(b, [int(x) for x in c]) for b, c in enumerate(cuts)], "_docloom_block int, _docloom_cuts array<bigint>")
+    rank = F.row_number().over(Window.partitionBy("_docloom_block").orderBy("_docloom_k2", "_docloom_k1", "_docloom_k3"))
+    dealt = keyed.withColumn("_docloom_rank", rank).join(table, "_docloom_block").withColumn("shard", F.expr("cast(size(filter(_docloom_cuts, c -> c < _docloom_rank)) as int)"))
+    dealt = written(dealt.withColumn("_docloom_part", F.pmod(F.shiftrightunsigned("_docloom_k3", 40), F.lit(n_blocks)).cast("int")).drop("_docloom_cuts", "_docloom_rank", "_docloom_block"), "dealt")
+    sums = dealt.groupBy("shard", "_docloom_part").agg(F.count("*").alias("_docloom_n"))
+    before = sums.withColumn("_docloom_before", F.sum("_docloom_n").over(Window.partitionBy("shard").orderBy("_docloom_part")) - F.col("_docloom_n")).drop("_docloom_n")
+    place = F.row_number().over(Window.partitionBy("shard", "_docloom_part").orderBy("_docloom_k3", "_docloom_k2", "_docloom_k1"))
+    return dealt.withColumn("_docloom_place", place).join(before, ["shard", "_docloom_part"]).withColumn("slot", F.col("_docloom_before") + F.col("_docloom_place") - 1).drop("_docloom_k1", "_docloom_k2", "_docloom_k3", "_docloom_part", "_docloom_place", "_docloom_before")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 9) -> DataFrame:

@@ -255,7 +255,7 @@ def near_duplicate_documents(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest row_key."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    first = near_duplicates(docs, distance, shingle).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row_key").alias("_key"))
-    kept = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(first, "_key", "left_semi")
-    w = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_key")
+    first = near_duplicates(docs, distance, shingle).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row_key").alias("_docloom_key"))
+    kept = docs.withColumn("_docloom_key", F.xxhash64("doc_id", "text")).join(first, "_docloom_key", "left_semi")
+    w = Window.partitionBy("_docloom_key").orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("_docloom_n", F.row_number().over(w)).where("_docloom_n = 1").drop("_docloom_n", "_docloom_key")

@@ -290,8 +290,8 @@ def merged(ranges: list) -> list[tuple[int, int]]:
 def dedupe(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """docs with n_bytes, n_removed, spans (removed byte ranges) and kept (the bytes left)."""
     docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
-    keyed = docs.withColumn("k", F.xxhash64("doc_id", "text"))
-    ranges = repeated_ranges(keyed.select("k", "text"), hot_segments).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    keyed = docs.withColumn("_docloom_k", F.xxhash64("doc_id", "text"))
+    ranges = repeated_ranges(keyed.select(F.col("_docloom_k").alias("k"), "text"), hot_segments).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("_docloom_ranges"))
 
     def cut(texts: pd.Series, every: pd.Series) -> pd.DataFrame:
         rows = []
@@ -304,7 +304,7 @@ def dedupe(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
 
     cut.__annotations__ = {"texts": pd.Series, "every": pd.Series, "return": pd.DataFrame}
     shape = F.pandas_udf(cut, "n_bytes long, n_removed long, spans array<struct<lo:int,hi:int>>, kept binary")
-    return keyed.join(ranges, "k", "left").withColumn("_cut", shape("text", "ranges")).select(*docs.columns, "_cut.*")
+    return keyed.join(ranges.withColumnRenamed("k", "_docloom_k"), "_docloom_k", "left").withColumn("_docloom_cut", shape("text", "_docloom_ranges")).select(*docs.columns, "_docloom_cut.*")
 
 
 def dedupe_digest(docs: DataFrame) -> DataFrame:

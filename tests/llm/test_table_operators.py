@@ -208,7 +208,7 @@ def test_pages(spark):
     said = "The story goes on and on — for many words, so it is the main one."
     rows = [(i, f"https://h.example/{i}", SHELL % (i, long)) for i in range(8)]
     rows += [(20, None, SHELL % (1, long)), (21, "https://h.example/x", None), (22, "https://h.example/y", ""), (23, "nonsense", "<p>only &lt;this&gt;<p>and that"), (24, "https://k.example", "<div><nav>menu</nav></div>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "_host": F.lit("h")})
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "_host": F.lit("h"), "paths": F.lit("p"), "host": F.lit("h2")})
     out = html_text.extract(df)
     got = {r.page_id: r for r in out.collect()}
     for i in (*range(8), 20):
@@ -219,11 +219,13 @@ def test_pages(spark):
 
 
 def test_odd_pages_are_read_as_their_hosts_others(spark):
-    """A page whose longest container is a quotation box still gives the host's article container."""
-    body = "<body><div class='post'><p>%s</p></div><section class='quotes'><p>%s</p></section></body>"
-    rows = [(i, "http://h/a", body % ("main text " * 20, "short")) for i in range(9)] + [(9, "http://h/b", body % ("brief", "quoted text " * 30))]
+    """The first nine pages vote for div.post, as link lists make the body a bad container; the tenth, read alone, would be its whole body."""
+    body = "<body><div class='list'>%s</div><div class='post'><p>%s</p></div><div class='box'><p>%s</p></div></body>"
+    links = "<a href='x'>another page to read</a> " * 9
+    rows = [(i, "http://h/a", body % (links, "main text " * 20, "box")) for i in range(9)] + [(9, "http://h/b", body % ("", "brief", "quoted text " * 30))]
+    rows += [(10, "http://k/b", rows[9][2])]
     got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[9] == "brief" and got[0] == ("main text " * 20).strip()
+    assert got[9] == "brief" and got[0] == ("main text " * 20).strip() and got[10].startswith("brief\nquoted")
 
 
 # ---- all queries and the pipeline ---------------------------------------------------------------------------------------------
