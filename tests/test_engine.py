@@ -217,7 +217,7 @@ def test_sources(spark, tmp_path):
     assert [(r.chunk_no, r.page_start, r.hints) for r in rows] == [(0, 1, ["h"]), (1, 2, None)]
     (tmp_path / "c.yaml").write_text("v:\n  '1':\n    parsers:\n      - {name: p, script: s, args: ['--x', 1]}\n    chunker: {script: c, output: o}\n    embedder: {script: e, index: i}\nsettings: {a: 1}\n")
     c = files.read_config(spark, f"file://{tmp_path}/c.yaml").head()
-    assert (c.variant, c.version, c.parsers[0].args, c.embedder.index) == ("v", "1", ["--x", "1"], "i")
+    assert (c.variant, c.version, c.parsers[0].args, c.embedder["index"]) == ("v", "1", ["--x", "1"], "i")
     (tmp_path / "m.pdf").write_bytes(b"ab")
     g = files.read_pdfs(spark, f"file://{tmp_path}/m.pdf", lambda data: [(1, i, 1.0, "F", 9.0, chr(c)) for i, c in enumerate(data)]).orderBy("glyph_no").collect()
     assert [(r.product_id, r.text) for r in g] == [("m", "a"), ("m", "b")]
