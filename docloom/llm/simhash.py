@@ -13,6 +13,8 @@ the distance is a task of its own. Exact copies share one fingerprint and never
 
 Defined results: null, empty and blank texts have fingerprint zero, which links like any other; repeated rows get equal results;
 a null doc_id takes part but is never the smallest (a component of null ids only has component_id null); an empty table gives no rows.
+
+keep_one does not use fingerprints: it links by the similarity of whole shingle sets (see overlap).
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm import overlap
 from docloom.llm.common import utf8, written
 from docloom.llm.components import components
 
@@ -252,10 +255,13 @@ def near_duplicate_documents(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest row_key."""
+def keep_one(docs: DataFrame, similarity: float = overlap.SIMILARITY, shingle: int = overlap.SHINGLE) -> DataFrame:
+    """docs with one row of each group of near-copies (texts of Jaccard similarity of at least `similarity` are linked): that of the
+    smallest doc_id (null last), then of the smallest row_key."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    first = near_duplicates(docs, distance, shingle).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row_key").alias("_docloom_key"))
+    keys, roots = overlap.near_copies(docs, similarity, shingle)
+    least = keys.groupBy("key").agg(F.min(order).alias("o")).join(roots, F.col("key") == F.col("node"), "left")
+    first = least.groupBy(F.coalesce("root", "key")).agg(F.min("o").alias("o")).select(F.col("o.row_key").alias("_docloom_key"))
     kept = docs.withColumn("_docloom_key", F.xxhash64("doc_id", "text")).join(first, "_docloom_key", "left_semi")
     w = Window.partitionBy("_docloom_key").orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn("_docloom_n", F.row_number().over(w)).where("_docloom_n = 1").drop("_docloom_n", "_docloom_key")

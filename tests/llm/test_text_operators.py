@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, lang, simhash, substrings, tokens, toxicity
+from docloom.llm import decontam, lang, overlap, simhash, substrings, tokens, toxicity
 
 EDGES = [None, "", " \t\n", "x", "one two three", "é ß 漢字 \U0001f600", "a" * 70_000, "word " * 30_000]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -116,6 +116,44 @@ def test_keep_one_keeps_the_first_of_each_group(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def edited(rng, text, n):
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"x{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("leaders, frequent", [(4, 3), (1, 10**9)])
+def test_keep_one_links_all_texts_of_similarity_08(spark, monkeypatch, leaders, frequent):
+    """Edited copies on both sides of the bound, chains of them, and a passage that unlike texts share."""
+    monkeypatch.setattr(overlap, "LEADERS", leaders)
+    monkeypatch.setattr(overlap, "FREQUENT", frequent)
+    rng = random.Random(5)
+    texts, passage = list(EDGES), words(rng, 60, 10**6)
+    for size in (7, 30, 120, 400):
+        for _ in range(4):
+            base = words(rng, size, 10**6)
+            texts += [base, base + " more", " ".join(base.split()[1:]), *[edited(rng, base, max(1, size * k // 200)) for k in (1, 2, 3, 4, 5, 6)]]
+            for _ in range(4):  # each an edit of the one before
+                texts.append(edited(rng, texts[-1], max(1, size // 60)))
+    texts += [words(rng, 10, 10**6) + " " + passage + " " + words(rng, rng.randrange(3, 40), 10**6) for _ in range(20)]
+    rng.shuffle(texts)
+
+    def grams(text):
+        w = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r" else c for c in text or "").split(" ") if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, label, linked = [grams(t) for t in texts], list(range(len(texts))), 0
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s == sets[j] or (s | sets[j] and 5 * len(s & sets[j]) >= 4 * len(s | sets[j])):
+                linked += s != sets[j]
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert linked > 50
+    assert sorted(r.doc_id for r in simhash.keep_one(table(spark, texts)).collect()) == sorted(set(label))
+
+
 def test_simhash_of_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "else where now then"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicate_documents(df).collect()), key=repr)
