@@ -30,6 +30,10 @@ LIKE = 0.25
 PER_LANGUAGE = 2_000
 PROBES = 2
 UNKNOWN = "und"
+LETTER = r"\p{L}"
+HELD_OUT = 5
+LOW_QUANTILE = 0.01
+SLACK = 0.75
 _CHUNK = 1 << 20
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _letters: np.ndarray | None = None
@@ -167,6 +171,22 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     return Filters(languages, [(r["gram"], number[r["lang"]]) for r in kept])
 
 
+def coverage_bounds(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, float]:
+    """Language -> a low quantile of coverage over documents of that language that the filters have not seen, times SLACK.
+
+    Filters of their own are fitted outside one fold, and at most per_language / 4 documents of each language inside it are read."""
+    labelled = labelled.where("lang is not null and doc_id is not null")
+    out, held = labelled.where(remainder(HELD_OUT) != 0), labelled.where(remainder(HELD_OUT) == 0).where(F.col("text").rlike(LETTER))
+    model = fit(out, per_language)
+    counts = {r["lang"]: r["count"] for r in held.where(F.col("lang").isin(model.languages)).groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_language / 4 / n) * (1 << 30)))])
+    chosen = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(limit, F.col("lang")))
+    low = identify(chosen, model).groupBy("lang").agg(F.percentile_approx("coverage", LOW_QUANTILE).alias("low")).collect()
+    return {r["lang"]: SLACK * r["low"] for r in low}
+
+
 RESULT = "lang_pred string, score double, coverage double"
 
 

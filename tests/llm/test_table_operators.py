@@ -260,3 +260,28 @@ def test_pipeline(spark):
     assert len(rows) == docs.count()
     assert sorted(r.start for r in rows) == np.concatenate([[0], np.cumsum([r.n_tokens for r in sorted(rows, key=lambda r: r.start)])[:-1]]).tolist()
     assert sorted(map(tuple, p.run(spark, SF).collect())) == sorted(map(tuple, rows))
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+]
+
+
+@tables
+def test_language_stage_rejects_texts_in_no_learned_language(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in p.language(spark, docs.unionByName(foreign.select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])), SF).collect())
+    assert got == sorted(r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect())
+
+
+def test_language_stage_without_labels_keeps_texts_with_a_letter(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate([*FOREIGN, "x", "1 2 3", "", None, "漢字"])], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.lang) for r in p.language(spark, docs, "").collect()) == [(i, None) for i in (0, 1, 2, 3, 4, 8)]
