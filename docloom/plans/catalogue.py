@@ -257,8 +257,31 @@ def chunk_counters(spark, sf_dir):
 
 @query()
 def semantic_chunk_records(spark, sf_dir):
-    """Ids, contents and metadata."""
-    return chunk.semantic_chunks(_hier(spark, sf_dir))
+    """Ids, contents and metadata of whole texts."""
+    return chunk.semantic_chunks(_segments(spark, sf_dir))
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    """Whole documents as hierarchical chunks. _hier above takes only their first lines, as its SQL does."""
+    return segment.page_segments(lines.typed_lines(pipeline.lines_of_documents(table(spark, sf_dir, "documents"))))
+
+
+@query()
+def context_build_whole(spark, sf_dir):
+    """C4 on whole texts."""
+    return _segments(spark, sf_dir).select("product_id", "chunk_no", chunk.context().alias("c")).select("product_id", "chunk_no", F.md5("c").alias("content_md5"), F.length("c").alias("n"))
+
+
+@query()
+def chunk_ordinals_whole(spark, sf_dir):
+    """C7 on whole texts: numbered before the filter."""
+    return chunk.with_ordinal(_segments(spark, sf_dir)).withColumn("content", chunk.context()).where(F.length("content") >= 20).select("product_id", "chunk_no", "ordinal")
+
+
+@query()
+def chunk_counters_whole(spark, sf_dir):
+    """A7 on whole texts."""
+    return chunk.counters(_segments(spark, sf_dir))
 
 
 # ---- pages, lines, segments ---------------------------------------------------------------------------------------------------
