@@ -90,6 +90,18 @@ def vector_topk_per_group(spark, sf_dir):
     return found.select("query_id", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("""select * from (select q.vec_id as query_id, e.label, e.vec_id,
+  cast(row_number() over (partition by q.vec_id, e.label order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as int) as rank,
+  round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score
+from embeddings e, embeddings q where q.vec_id % 20 = 0) where rank <= 3""")
+def vector_topk_per_group_many(spark, sf_dir):
+    """V9 for every twentieth row and every label; the queries grow with the table."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = search.top_k_each(e, queries, 3, ["label"], folder=scratch(spark, "topk"))
+    return found.select("query_id", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("""select * from (select e.label, e.vec_id,
   cast(row_number() over (partition by e.label order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as int) as rank,
   round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score
