@@ -383,6 +383,18 @@ def parser_quality(spark, sf_dir):
     return quality.quality_metrics(s).select("total_chunks", "incomplete_chunks", "empty_chunks", F.round("incomplete_percentage", 6).alias("incomplete_percentage"), "page_coverage", "quality_pass")
 
 
+@query()
+def parser_quality_all(spark, sf_dir):
+    """A4 on all segments, orphans too, with all columns."""
+    return quality.quality_metrics(_segments(spark, sf_dir))
+
+
+@query()
+def page_segments_all(spark, sf_dir):
+    """P5-P10 with the orphans' own title and body, and which segments are orphans."""
+    return _segments(spark, sf_dir)
+
+
 @query()
 def quality_report(spark, sf_dir):
     """Metrics and samples in one row (sampling here is a report of at most 20 chunks)."""
