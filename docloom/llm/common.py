@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = "\t\n\x0b\x0c\r"
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A local one is made only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master gets one of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -26,8 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/docloom-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,8 +46,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
-    """Bounds what a Python task holds at once: Arrow batches of whole texts of at most so many rows and bytes (a longer text alone)."""
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(table: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/docloom-" in folder:
+            _delete(table.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; results that still read it end."""
+    _delete(spark, _own_dir(spark))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+    """For an application over whole texts: lowers the session's Arrow batches to so many rows and bytes (a longer text alone).
+
+    The operators do not call this themselves, as it holds for all queries of the session; their Python code cuts what it gets
+    into slices by bytes in any case."""
     for key, most, shown in (("maxRecordsPerBatch", rows, rows), ("maxBytesPerBatch", megabytes << 20, f"{megabytes}m")):
         key = f"spark.sql.execution.arrow.{key}"
         now = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower())
@@ -48,6 +76,33 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) ->
             spark.conf.set(key, str(shown))
 
 
+def row_key(*columns: str) -> Column:
+    """16 bytes that tell rows apart by the columns: two hashes of 64 bits, as one would meet by chance among billions of rows."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(salt), *columns)), 16, "0") for salt in ("a", "b"))))
+
+
+def slices(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to at most `most` (a larger one alone)."""
+    lo = 0
+    while lo < len(sizes):
+        hi, held = lo, 0
+        while hi < len(sizes) and (hi == lo or held + sizes[hi] <= most):
+            held += sizes[hi]
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def word_slices(text: str, most: int = 1 << 18) -> Iterator[str]:
+    """The text in parts of about `most` characters, cut before a blank only (a longer word stays whole)."""
+    lo = 0
+    while lo < len(text):
+        cut = _BLANK.search(text, lo + most) if len(text) - lo > most else None
+        hi = cut.start() if cut else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null and empty texts have 0."""
     flat = F.trim(F.translate(F.coalesce(text, F.lit("")), _BLANKS, " " * len(_BLANKS)))
@@ -58,17 +113,25 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of every run of `shingle` words in order, repeats included; a shorter text is one run, a blank one none."""
+def word_shingles(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of every run of `shingle` words in order, repeats included, in slices of a long text; a shorter text is one run, a blank one none."""
     import xxhash
 
-    words = utf8(text).lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(line, seed=seed)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[: -shingle] + 1]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    digest, before, seen = xxhash.xxh64_intdigest, [], 0
+    for part in word_slices(text or ""):
+        words = before + utf8(part).lower().split()
+        seen += len(words) - len(before)
+        before = words[max(0, len(words) - shingle + 1) :]
+        if len(words) < shingle:
+            before = words
+            continue
+        line = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
+        yield np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    if 0 < seen < shingle:
+        yield np.array([digest(b" ".join(before), seed)], np.uint64)
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *word_shingles(text, shingle, seed)])

@@ -7,10 +7,12 @@ n-gram occurs, so that a passage leaked into a third of the corpus keeps its see
 around each group of seeds the item is aligned with the passage by Smith-Waterman on words (match 2, mismatch and gap -1), and the score
 is the share of the item's highest possible one. So edited and paraphrased copies keep a high score, chance seeds do not.
 
-Test items are sent to the executors in blocks of at most BLOCK_BYTES of text, one pass over the corpus for each block.
+Test items are sent to the executors in blocks of at most BLOCK_BYTES of text, one search of the corpus for each block, and each
+block's matches are written before the next one is sent.
 
-Defined results: items of fewer than MIN_WORDS words (null and empty ones too) are too short to be told apart and match nothing;
-null and empty texts match nothing; repeated rows give repeated results; repeated items each count; with no items or no documents there are no rows.
+Defined results: items of SEED to MIN_WORDS - 1 words match only where they stand word for word; shorter items (null and empty ones
+too) hold no seed and match nothing; null and empty texts match nothing; repeated rows give repeated results; repeated items each
+count; with no items or no documents there are no rows. `clean` takes only items of MIN_WORDS words and more as evidence of a leak.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import written
+from docloom.llm.common import row_key, slices, word_slices, written
 
 SEED = 3
 RARE = 1e-8
@@ -32,6 +34,7 @@ MIN_SCORE = 0.5
 MIN_WORDS = 5
 BLOCK_BYTES = 16 << 20
 _CHUNK = 1 << 20
+_CACHED = 40
 _DROPPED, _OTHER = -1, 0
 
 
@@ -42,24 +45,26 @@ def normal(chunk: str) -> str:
 class Vocabulary(dict):
     """White-space separated chunk -> number of its word: from 1 for the items' words, else _OTHER, _DROPPED if nothing is left.
 
-    Other chunks are kept while there is room, at most `most`."""
+    A cache of a task's own: at most `most` chunks of at most _CACHED characters are kept."""
 
-    def __init__(self, words: dict[str, int], most: int = 300_000):
+    def __init__(self, words: dict[str, int], most: int = 100_000):
         self.words, self.most = words, most
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
         word = normal(chunk)
-        out = self[chunk] = self.words.get(word, _OTHER) if word else _DROPPED
+        out = self.words.get(word, _OTHER) if word else _DROPPED
+        if len(chunk) <= _CACHED:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = out
         return out
 
-    def __reduce__(self):
-        return Vocabulary, (self.words, self.most)
-
     def numbers(self, text: str | None) -> np.ndarray:
-        chunks = (text or "").split()
-        out = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        parts = [np.zeros(0, np.int64)]
+        for piece in word_slices(text or ""):
+            chunks = piece.split()
+            parts.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
+        out = np.concatenate(parts)
         return out[out != _DROPPED]
 
 
@@ -71,10 +76,10 @@ class Items:
         self.ids, self.words = [], []
         for item_id, text in rows:
             w = [n for n in map(normal, (text or "").split()) if n]
-            if len(w) >= MIN_WORDS:
+            if len(w) >= SEED:
                 self.ids.append(item_id)
                 self.words.append(np.array([words.setdefault(x, len(words) + 1) for x in w], dtype=np.int64))
-        self.vocabulary = Vocabulary(words)
+        self.vocabulary = words
         self.size = len(words) + 1
 
     def keys(self, words: np.ndarray) -> np.ndarray:
@@ -157,13 +162,14 @@ def matches(items: Items, words: np.ndarray, bounds: np.ndarray, min_score: floa
         length = len(items.words[t])
         while hi < len(at) and doc[hi] == d and item[hi] == t and at[hi] - at[hi - 1] <= length and at[hi] - at[lo] <= 4 * length:
             hi += 1
-        slack = length // 3 + 3
+        slack = length // 3 + 3 if length >= MIN_WORDS else 0
         first = max(int(bounds[d]), int((at[lo:hi] - place[lo:hi]).min()) - slack)
         last = min(int(bounds[d + 1]), int((at[lo:hi] - place[lo:hi]).max()) + length + slack)
         passage = words[first:last]
-        if np.isin(items.words[t], passage).sum() >= min_score * length:
+        least = min_score if length >= MIN_WORDS else 1.0
+        if np.isin(items.words[t], passage).sum() >= least * length:
             score, i, j, x, y = align(items.words[t], passage)
-            if score >= min_score and score > best.get((d, t), (0,))[0]:
+            if score >= least and score > best.get((d, t), (0,))[0]:
                 x, y = first + x - int(bounds[d]), first + y - int(bounds[d])
                 best[d, t] = (score, i, j, x, y, hi - lo)
         lo = hi
@@ -181,26 +187,16 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()])
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    lo = 0
-    while lo < len(texts):
-        hi, held = lo, 0
-        while hi < len(texts) and (hi == lo or held + len(texts[hi] or "") <= _CHUNK):
-            held += len(texts[hi] or "")
-            hi += 1
-        yield lo, hi
-        lo = hi
-
-
 def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
     """How often each of the items' words occurs in all texts (0: all other words)."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, total = shared.value, None
+        cache = Vocabulary(own.vocabulary)
         for pdf in batches:
             for text in pdf["text"]:
-                got = np.bincount(own.vocabulary.numbers(text), minlength=own.size)
+                got = np.bincount(cache.numbers(text), minlength=own.size)
                 total = got if total is None else total + got
         if total is not None:
             at = np.flatnonzero(total)
@@ -209,16 +205,15 @@ def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
     out = np.zeros(items.size, dtype=np.int64)
     for r in docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["word"]] = r["n"]
+    shared.destroy()
     return out
 
 
-RESULT = "doc_id long, item_id long, score double, item_start int, item_end int, doc_start int, doc_end int, seeds int"
-
+_MATCH = "item_id string, score double, item_words int, item_start int, item_end int, doc_start int, doc_end int, seeds int"
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """(doc_id, text) x (item_id, text) -> one row for each document and item that it holds a copy of, with the best copy's place.
 
-    Ranges are in words, from the first to after the last aligned one."""
+def _matches(docs: DataFrame, benchmark: DataFrame, min_score: float) -> DataFrame | None:
+    """(key string, text) x (item_id, text) -> one row for each key and item, written; None without items."""
     spark, found = docs.sparkSession, []
     for items in _blocks(benchmark):
         if not items.ids:
@@ -228,24 +223,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = shared.value
+            cache = Vocabulary(own.vocabulary)
             for pdf in batches:
-                ids, texts, rows = pdf["doc_id"].tolist(), pdf["text"].tolist(), []
-                for lo, hi in _chunks(texts):
-                    words = [own.vocabulary.numbers(t) for t in texts[lo:hi]]
+                keys, texts, rows = pdf["key"].tolist(), pdf["text"].tolist(), []
+                for lo, hi in slices([len(t or "") for t in texts], _CHUNK):
+                    words = [cache.numbers(t) for t in texts[lo:hi]]
                     bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
                     for d, t, score, *rest in matches(own, np.concatenate([*words, np.zeros(SEED, np.int64)]), bounds, min_score):
-                        rows.append((ids[lo + d], None if own.ids[t] is None else str(own.ids[t]), round(score, 6), *rest))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "item_start", "item_end", "doc_start", "doc_end", "seeds"])
+                        rows.append((keys[lo + d], None if own.ids[t] is None else str(own.ids[t]), round(score, 6), len(own.words[t]), *rest))
+                yield pd.DataFrame(rows, columns=["key", "item_id", "score", "item_words", "item_start", "item_end", "doc_start", "doc_end", "seeds"])
+
+        found.append(written(docs.mapInPandas(search, f"key string, {_MATCH}"), "matches"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+RESULT = "doc_id long, item_id long, score double, item_start int, item_end int, doc_start int, doc_end int, seeds int"
 
-        thin = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-        got = thin.mapInPandas(search, RESULT.replace("doc_id long", "doc_id string").replace("item_id long", "item_id string"))
-        found.append(got.withColumns({"doc_id": F.col("doc_id").cast("long"), "item_id": F.col("item_id").cast("long")}))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RESULT)
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """(doc_id, text) x (item_id, text) -> one row for each document and item that it holds a copy of, with the best copy's place.
+
+    Ranges are in words, from the first to after the last aligned one."""
+    got = _matches(docs.select(F.col("doc_id").cast("string").alias("key"), "text"), benchmark, min_score)
+    if got is None:
+        return docs.sparkSession.createDataFrame([], RESULT)
+    return got.select(F.col("key").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"), *[c.split()[0] for c in RESULT.split(", ")[2:]])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the documents that hold a copy of a test item; documents without id are judged by their text."""
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.select(key.alias("doc_id"), "text")
-    bad = written(contaminated(keyed, benchmark, min_score).select(F.col("doc_id").alias("_docloom_k")).distinct(), "leaks")
-    return docs.withColumn("_docloom_k", key).join(bad, "_docloom_k", "left_anti").drop("_docloom_k")
+    """docs without the documents that hold a copy of a test item of MIN_WORDS words or more; documents without id are judged by their text."""
+    got = _matches(docs.select(F.hex(row_key("doc_id", "text")).alias("key"), "text"), benchmark, min_score)
+    if got is None:
+        return docs
+    bad = got.where(F.col("item_words") >= MIN_WORDS).select(F.unhex("key").alias("_docloom_k")).distinct()
+    return docs.withColumn("_docloom_k", row_key("doc_id", "text")).join(bad, "_docloom_k", "left_anti").drop("_docloom_k")

@@ -6,7 +6,7 @@ for each language; the share that false positives alone would give is taken off
 fill), and the largest corrected count decides.
 
 The filters are fitted on a bounded sample: at most `per_language` labelled documents of each language, chosen by a hash of
-doc_id. An n-gram belongs to a language if at least MIN_SHARE of its sampled documents hold it and its rate is at least LIKE
+doc_id, of the MAX_LANGUAGES lang values with most of them. An n-gram belongs to a language if at least MIN_SHARE of its sampled documents hold it and its rate is at least LIKE
 times that of the language where it is most frequent. So a language holds at most (distinct n-grams of a mean document /
 MIN_SHARE) entries, which bounds what the driver collects and sends out, whatever the size of the corpus.
 
@@ -24,10 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import word_slices
+
 ORDERS = (2, 3, 4)
 MIN_SHARE = 0.02
 LIKE = 0.25
 PER_LANGUAGE = 2_000
+MAX_LANGUAGES = 1000
 PROBES = 2
 UNKNOWN = "und"
 LETTER = r"\p{L}"
@@ -47,15 +50,30 @@ def letter_table() -> np.ndarray:
     return _letters
 
 
-def letters_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all texts in a row (0 for anything else), and each text's range: it starts at the 0 before the text."""
-    low = [(t or "").lower() for t in texts]
-    codes = np.frombuffer(("\n" + "\n".join(low) + "\n\n\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    bounds = np.zeros(len(low) + 1, dtype=np.int64)
-    np.cumsum([len(t) + 1 for t in low], out=bounds[1:])
+def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all lower-cased texts in a row (0 for anything else), and each text's range: it starts at the 0 before the text."""
+    codes = np.frombuffer(("\n" + "\n".join(texts) + "\n\n\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bounds = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
     return letter_table()[codes], bounds
 
 
+def parts_of(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers and lower-cased texts, about _CHUNK characters at a time; a longer text in slices that are cut before a blank, which no
+    n-gram goes across."""
+    pieces = ((i, p) for i, t in enumerate(texts) for p in ([(t or "").lower()] if len(t or "") <= _CHUNK else map(str.lower, word_slices(t, _CHUNK))))
+    numbers, held, size = [], [], 0
+    for i, p in pieces:
+        if held and size + len(p) > _CHUNK:
+            yield numbers, held
+            numbers, held, size = [], [], 0
+        numbers.append(i)
+        held.append(p)
+        size += len(p)
+    if held:
+        yield numbers, held
+
+
 def grams(letters: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the windows of n whose inner characters are letters; an end may be a word's edge."""
     size = len(letters) - n + 1
@@ -106,20 +124,21 @@ class Filters:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (0 to 1) and coverage (the winner's share of all n-grams) of each text."""
-        letters, bounds = letters_of(texts)
         n_langs, n = len(self.languages), len(texts)
-        hits, total = np.zeros((n_langs, n)), np.zeros(n)
-        for order in ORDERS:
-            at, h = grams(letters, order)
-            cut = np.searchsorted(at, bounds)
-            total += np.diff(cut)
-            for w in range(len(self.masks)):
-                found = self.look_up(h, w)
-                for i in range(64 * w, min(n_langs, 64 * w + 64)):
-                    run = np.zeros(len(found) + 1, dtype=np.int32)
-                    np.cumsum((found >> found.dtype.type(i % 64)) & found.dtype.type(1), out=run[1:], dtype=np.int32)
-                    hits[i] += run[cut[1:]] - run[cut[:-1]]
-        seen = np.add.reduceat(letters != 0, np.minimum(bounds[:-1], len(letters) - 1)) > 0 if n else np.zeros(0, bool)
+        hits, total, seen = np.zeros((n_langs, n)), np.zeros(n), np.zeros(n, bool)
+        for numbers, parts in parts_of(texts):
+            letters, bounds = letters_of(parts)
+            for order in ORDERS:
+                at, h = grams(letters, order)
+                cut = np.searchsorted(at, bounds)
+                np.add.at(total, numbers, np.diff(cut))
+                for w in range(len(self.masks)):
+                    found = self.look_up(h, w)
+                    for i in range(64 * w, min(n_langs, 64 * w + 64)):
+                        run = np.zeros(len(found) + 1, dtype=np.int32)
+                        np.cumsum((found >> found.dtype.type(i % 64)) & found.dtype.type(1), out=run[1:], dtype=np.int32)
+                        np.add.at(hits[i], numbers, run[cut[1:]] - run[cut[:-1]])
+            np.logical_or.at(seen, numbers, np.logical_or.reduceat(letters != 0, bounds[:-1]))
         if not n_langs:
             return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
         right = np.maximum(0, (hits - total * self.false[:, None]) / (1 - self.false[:, None]))
@@ -136,25 +155,47 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def _document_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams and how many of the texts hold each; counts are folded after each part, so only distinct n-grams are kept."""
+    gram, docs, last, open_ = np.zeros(0, np.uint64), np.zeros(0, np.int64), -1, np.zeros(0, np.uint64)
+
+    def fold(new: list[np.ndarray]) -> None:
+        nonlocal gram, docs
+        every, counts = np.concatenate([gram, *new]), np.concatenate([docs, *(np.ones(len(x), np.int64) for x in new)])
+        gram, at = np.unique(every, return_inverse=True)
+        docs = np.bincount(at, counts, len(gram)).astype(np.int64)
+
+    for numbers, parts in parts_of(texts):
+        letters, bounds = letters_of(parts)
+        found: dict[int, list[np.ndarray]] = {}
+        for order in ORDERS:
+            at, h = grams(letters, order)
+            cut = np.searchsorted(at, bounds)
+            for i, a, b in zip(numbers, cut[:-1], cut[1:]):
+                found.setdefault(i, []).append(h[a:b])
+        own = {i: np.unique(np.concatenate([*x, open_] if i == last else x)) for i, x in found.items()}
+        if last >= 0 and last not in own:
+            fold([open_])
+        last = numbers[-1]
+        open_ = own.pop(last)  # its next slice may be in the next part
+        fold(list(own.values()))
+    fold([open_])
+    return gram, docs
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, text) -> (lang, gram, docs): how many of the batch's documents hold the n-gram."""
     for pdf in batches:
         for lang, group in pdf.groupby("lang"):
-            texts, parts = group["text"].tolist(), []
-            for i in range(0, len(texts), 64):
-                letters, bounds = letters_of(texts[i : i + 64])
-                for order in ORDERS:
-                    at, h = grams(letters, order)
-                    cut = np.searchsorted(at, bounds)
-                    parts += [np.unique(h[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-            gram, docs = np.unique(np.concatenate(parts), return_counts=True)
+            gram, docs = _document_counts(group["text"].tolist())
             yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "docs": docs.astype(np.int64)})
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     """labelled: (doc_id, text, lang) that may be learned from; rows without lang or doc_id teach nothing."""
     labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     if not counts:
         return Filters([], [])
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_language / n) * (1 << 30)))])
@@ -198,16 +239,8 @@ def identify(df: DataFrame, model: Filters, text: str = "text") -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for series in batches:
-            texts, parts, i = series.tolist(), [], 0
-            while i < len(texts) or not parts:
-                j, held = i, 0
-                while j < len(texts) and (j == i or held + len(texts[j] or "") <= _CHUNK):
-                    held += len(texts[j] or "")
-                    j += 1
-                lang, score, cover = own.predict(texts[i:j])
-                parts.append(pd.DataFrame({"lang_pred": lang, "score": score, "coverage": cover}))
-                i = j
-            yield pd.concat(parts, ignore_index=True)
+            lang, score, cover = own.predict(series.tolist())
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "coverage": cover})
 
     return df.drop("lang_pred", "score", "coverage").withColumn("_docloom_lang", predict(F.col(text))).select("*", "_docloom_lang.*").drop("_docloom_lang")
 

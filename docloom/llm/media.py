@@ -16,6 +16,7 @@ value has null dimensions and thumbnail and the reason in `error`. Equal texts h
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_batches, utf8
+from docloom.llm.common import slices, utf8
 
 WIDTH = 64
 FRAME_ROWS = 4096
 _CHUNK = 1 << 20
+#: A marker other than a stuffed zero, a restart or a fill byte.
+_SCAN_END = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
 
 #: The typical luminance DC table of the JPEG standard (codes of each length from 1 to 16; the categories in order).
 DC_LENGTHS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
@@ -117,19 +120,18 @@ def padded(text: str | None) -> bytes:
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """JPEG frames of payloads, whose lengths are positive multiples of 64."""
-    raw, start = _scan(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, WIDTH))
-    rows, out, at = _stuffed(raw, start), [], 0
-    for p in payloads:
-        n, parts = len(p) // WIDTH, []
-        for lo in range(0, n, FRAME_ROWS):
-            own = rows[at + lo : at + min(n, lo + FRAME_ROWS)]
-            parts.append(_head(len(own)))
-            parts += [x for i, row in enumerate(own[:-1]) for x in (row, _RST[i % 8])]
-            parts += [own[-1], b"\xff\xd9"]
-        at += n
-        out.append(b"".join(parts))
-    return out
+    """JPEG frames of payloads, whose lengths are positive multiples of 64; a long payload is encoded frame by frame."""
+    pieces = [(i, p[lo : lo + FRAME_ROWS * WIDTH]) for i, p in enumerate(payloads) for lo in range(0, len(p), FRAME_ROWS * WIDTH)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for a, b in slices([len(p) for _, p in pieces], _CHUNK):
+        raw, start = _scan(np.frombuffer(b"".join(p for _, p in pieces[a:b]), np.uint8).reshape(-1, WIDTH))
+        rows, at = _stuffed(raw, start), 0
+        for i, p in pieces[a:b]:
+            own = rows[at : at + len(p) // WIDTH]
+            at += len(own)
+            marked = b"".join(x for j, row in enumerate(own[:-1]) for x in (row, _RST[j % 8]))
+            out[i].append(_head(len(own)) + marked + own[-1] + b"\xff\xd9")
+    return [b"".join(x) for x in out]
 
 
 # ---- reading ------------------------------------------------------------------------------------------------------------------
@@ -213,14 +215,11 @@ def parse(data: bytes, at: int = 0) -> Frame:
                 ids = {c[0]: k for k, c in enumerate(f.components)}
                 which = [ids[body[1 + 2 * i]] for i in range(body[0])]
                 pairs = [(tables[body[2 + 2 * i] >> 4], tables[16 + (body[2 + 2 * i] & 15)]) for i in range(body[0])]
-                here = raw[at:]
-                marks = np.flatnonzero(here[:-1] == 0xFF)
-                nxt = here[marks + 1]
-                ends = marks[(nxt != 0) & ((nxt < 0xD0) | (nxt > 0xD7)) & (nxt != 0xFF)]
-                if not len(ends):
+                end = _SCAN_END.search(data, at)
+                if end is None:
                     raise Broken("scan without end")
-                f.scans.append((which, pairs, interval, here[: ends[0]]))
-                at += int(ends[0])
+                f.scans.append((which, pairs, interval, raw[at : end.start()]))
+                at = end.start()
         except (struct.error, IndexError, KeyError) as e:
             raise Broken("damaged segment") from e
 
@@ -326,20 +325,44 @@ def _decode_lanes(lanes: list[Lane], order: list[tuple[int, bytes, bytes]], luma
 
 
 def thumbnails(media: list[bytes | None]) -> list[list[tuple[int, int, np.ndarray]] | str]:
-    """For each value its frames' width, height and DC-only luminance thumbnail, or why it can't be read."""
-    frames: list[tuple[int, Frame]] = []
-    why: dict[int, str] = {}
+    """For each value its frames' width, height and DC-only luminance thumbnail, or why it can't be read.
+
+    Frames are decoded in slices of about _CHUNK bytes, so of a long value only its own bytes and its thumbnail are held whole."""
+    out: list = [[] for _ in media]
+    held: list[tuple[int, Frame]] = []
+    size = 0
+
+    def done() -> None:
+        nonlocal held, size
+        for i, got in _decode_frames(held):
+            if isinstance(got, str):
+                out[i] = got
+            elif not isinstance(out[i], str):
+                out[i].append(got)
+        held, size = [], 0
+
     for i, data in enumerate(media):
-        at, own = 0, []
+        at = 0
         try:
             if not data:
                 raise Broken("no data")
             while at < len(data):
-                own.append(f := parse(data, at))
+                f = parse(data, at)
+                held.append((i, f))
+                size += f.end - at
                 at = f.end
-            frames += [(i, f) for f in own]
+                if size > _CHUNK:
+                    done()
         except Broken as e:
-            why[i] = str(e)
+            held = [x for x in held if x[0] != i]
+            out[i] = str(e)
+    done()
+    return out
+
+
+def _decode_frames(frames: list[tuple[int, Frame]]) -> Iterator[tuple[int, tuple[int, int, np.ndarray] | str]]:
+    """(value number, frame) -> (value number, width, height and thumbnail, or why not), in order."""
+    why: dict[int, str] = {}
     groups: dict[tuple, list[Lane]] = {}
     layout: dict[int, tuple[int, int, tuple]] = {}
     for n, (i, f) in enumerate(frames):
@@ -380,7 +403,7 @@ def thumbnails(media: list[bytes | None]) -> list[list[tuple[int, int, np.ndarra
                 hi += 1
             found[lanes[lo].image][:] = values[place[lo] : place[hi]]
             lo = hi
-    out: list = [why.get(i, []) for i in range(len(media))]
+    yield from why.items()
     for n, (i, f) in enumerate(frames):
         if i in why:
             continue
@@ -388,9 +411,7 @@ def thumbnails(media: list[bytes | None]) -> list[list[tuple[int, int, np.ndarra
         grid = found[n].reshape(high, wide, v, h).transpose(0, 2, 1, 3).reshape(high * v, wide * h)
         w, t = f.luma_blocks()
         step = f.dc_step.get(f.components[0][3], 0)
-        pixels = np.clip((grid[:t, :w] * step + 4 >> 3) + 128, 0, 255).astype(np.uint8)
-        out[i].append((f.width, f.height, pixels))
-    return out
+        yield i, (f.width, f.height, np.clip((grid[:t, :w] * step + 4 >> 3) + 128, 0, 255).astype(np.uint8))
 
 
 def _boxes(size: int, n: int) -> np.ndarray:
@@ -410,29 +431,17 @@ def hashes(pixels: np.ndarray) -> tuple[str, str]:
 # ---- columns ------------------------------------------------------------------------------------------------------------------
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    lo = 0
-    while lo < len(sizes):
-        hi, held = lo, 0
-        while hi < len(sizes) and (hi == lo or held + sizes[hi] <= _CHUNK):
-            held += sizes[hi]
-            hi += 1
-        yield lo, hi
-        lo = hi
-
-
 def store_texts(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """df with binary column `media`: the texts' payloads as JPEG."""
 
     @F.pandas_udf("binary")
     def stored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            payloads, out = [padded(t) for t in texts], []
-            for lo, hi in _slices([len(p) for p in payloads]):
-                out += encode_payloads(payloads[lo:hi])
+            out: list[bytes] = []
+            for lo, hi in slices([len(t or "") for t in texts], _CHUNK):
+                out += encode_payloads([padded(t) for t in texts[lo:hi]])
             yield pd.Series(out, dtype=object)
 
-    small_batches(df.sparkSession)
     return df.withColumn(media, stored(F.col(text)))
 
 
@@ -445,9 +454,9 @@ def decode(df: DataFrame, media: str = "media", into: str = "image") -> DataFram
     @F.pandas_udf(DECODED)
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for values in batches:
-            values, rows = [None if v is None else bytes(v) for v in values], []
-            for lo, hi in _slices([len(v or b"") for v in values]):
-                for got in thumbnails(values[lo:hi]):
+            rows = []
+            for lo, hi in slices([len(v) if v is not None else 0 for v in values], _CHUNK):
+                for got in thumbnails([None if v is None else bytes(v) for v in values[lo:hi]]):
                     if isinstance(got, str):
                         rows.append((None, None, None, None, None, None, None, None, got))
                     elif len({w for w, _, _ in got}) > 1:
@@ -458,7 +467,6 @@ def decode(df: DataFrame, media: str = "media", into: str = "image") -> DataFram
             out = pd.DataFrame(rows, columns=["width", "height", "frames", "thumb_width", "thumb_height", "thumbnail", "ahash", "dhash", "error"])
             yield out.astype({c: "Int32" for c in ("width", "height", "frames", "thumb_width", "thumb_height")})
 
-    small_batches(df.sparkSession)
     return df.withColumn(into, decoded(F.col(media)))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import overlap
-from docloom.llm.common import utf8, written
+from docloom.llm.common import row_key, word_shingles, written
 from docloom.llm.components import components
 
 SHINGLE = 4
@@ -41,21 +41,12 @@ _SEED = 42
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of XXH64 hashes of word shingles, repeats included."""
-    import xxhash
-
-    words = utf8(text).lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed=_SEED)
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[: -shingle] + 1]).tolist()
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b], _SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes(), "big")
+    """Unsigned 64-bit SimHash of XXH64 hashes of word shingles, repeats included; a long text is folded in slices."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in word_shingles(text, shingle, _SEED):
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones, n = ones + bits.sum(axis=0, dtype=np.int64), n + len(bits)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", into: str = "fp", shingle: int = SHINGLE) -> DataFrame:
@@ -243,7 +234,7 @@ def _with_tiles(rows: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text) -> (doc_id, row_key, fp, root, component_id): row_key tells rows apart, root names the component."""
     d = with_fingerprint(docs.select("doc_id", "text"), shingle=shingle)
-    d = written(d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "fp"), "fingerprints")
+    d = written(d.select("doc_id", row_key("doc_id", "text").alias("row_key"), "fp"), "fingerprints")
     fps = d.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp"), distance))
     grouped = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -262,6 +253,6 @@ def keep_one(docs: DataFrame, similarity: float = overlap.SIMILARITY, shingle: i
     keys, roots = overlap.near_copies(docs, similarity, shingle)
     least = keys.groupBy("key").agg(F.min(order).alias("o")).join(roots, F.col("key") == F.col("node"), "left")
     first = least.groupBy(F.coalesce("root", "key")).agg(F.min("o").alias("o")).select(F.col("o.row_key").alias("_docloom_key"))
-    kept = docs.withColumn("_docloom_key", F.xxhash64("doc_id", "text")).join(first, "_docloom_key", "left_semi")
+    kept = docs.withColumn("_docloom_key", row_key("doc_id", "text")).join(first, "_docloom_key", "left_semi")
     w = Window.partitionBy("_docloom_key").orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn("_docloom_n", F.row_number().over(w)).where("_docloom_n = 1").drop("_docloom_n", "_docloom_key")

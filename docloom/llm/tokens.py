@@ -20,6 +20,7 @@ empty table gives no files and no rows; further columns are not stored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -32,12 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import new_path, written
+from docloom.llm.common import new_path, slices, word_slices, written
 
 BLOCK = 512
 PERCENTILE = 90
 END = 2
 FILE_VALUES = 1 << 21
+_WHOLE = 1 << 18
+_READ = 1 << 18
+#: Blocks that are packed or unpacked side by side.
+_ROWS = 256
 PARTITION_BYTES = 32 << 20
 _MAGIC, _TAIL = b"DLPF", b"FPLD"
 _HEAD = struct.Struct("<IBBHH")
@@ -51,8 +56,8 @@ def pack_blocks(values: np.ndarray) -> list[bytes]:
     """Blocks of up to BLOCK values each, in order."""
     full = len(values) // BLOCK
     out: list[bytes] = []
-    for lo in range(0, full, 2048):
-        out += _pack_equal(values[lo * BLOCK : min(full, lo + 2048) * BLOCK].reshape(-1, BLOCK))
+    for lo in range(0, full, _ROWS):
+        out += _pack_equal(values[lo * BLOCK : min(full, lo + _ROWS) * BLOCK].reshape(-1, BLOCK))
     if full * BLOCK < len(values):
         out += _pack_equal(values[full * BLOCK :].reshape(1, -1))
     return out
@@ -90,8 +95,8 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
         alike.setdefault((h[1], h[3]), []).append(i)
     raw = np.frombuffer(data, dtype=np.uint8)
     for (w, n), every in alike.items():
-        for lo in range(0, len(every), 2048):
-            rows = np.array(every[lo : lo + 2048])
+        for lo in range(0, len(every), _ROWS):
+            rows = np.array(every[lo : lo + _ROWS])
             body = starts[rows].astype(np.int64) + _HEAD.size
             packed = raw[body[:, None] + np.arange(-(-w * n // 8))]
             bits = np.unpackbits(packed, axis=1, count=w * n, bitorder="little").reshape(len(rows), n, w)
@@ -151,29 +156,45 @@ PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ſ
 
 
 class _Known(dict):
-    """A bounded cache: emptied when full."""
+    """A cache of at most `most` keys of at most 40 characters each: emptied when full."""
 
     def __init__(self, make, most: int):
         self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.make(key)
+        out = self.make(key)
+        if len(key) <= 40:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
         return out
 
 
+#: The normalizer and pre-tokenizer (fixed values) for which plain texts may be cut into pieces here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+
+
 class Encoder:
-    """Texts to ids through the tokenizers library, each distinct piece of plain texts once for each worker (bounded caches).
+    """Texts to ids through the tokenizers library.
 
-    Other texts (combining marks, other scripts, special tokens' names) are encoded whole by the library."""
+    If the file normalizes and splits as _NORMALIZER, _SPLIT and _BYTES say, each distinct piece of plain texts is encoded once
+    (bounded caches of about 40 MB), and other texts (combining marks, other scripts, special tokens' names) are encoded whole, or
+    if long in parts cut at a blank between two ASCII letters or digits, across which nothing composes or merges. With any other
+    file every text goes through the library whole."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        made = json.loads(self.whole.to_str())
+        names = [t["content"] for t in made["added_tokens"]]
+        known = (made["normalizer"], made["pre_tokenizer"]) == (_NORMALIZER, {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]})
+        self.splits = known and made["truncation"] is None and all(n.startswith("<|") and " " not in n for n in names)
         self.plain = re.compile(PLAIN).fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -186,13 +207,24 @@ class Encoder:
             piece = "".join(map(self.byte.__getitem__, piece.encode()))
         return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if "<|" in text or not self.plain(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, text.split()))
+        if not self.splits:
+            return self._whole(text)
+        if "<|" not in text and self.plain(text):
+            return b"".join(b"".join(map(self.known.__getitem__, part.split())) for part in word_slices(text))
+        out, lo = [], 0
+        while lo < len(text):
+            cut = _SAFE_CUT.search(text, lo + _WHOLE) if len(text) - lo > _WHOLE else None
+            hi = cut.start() if cut else len(text)
+            out.append(self._whole(text[lo:hi]))
+            lo = hi
+        return b"".join(out)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -272,8 +304,10 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                 with source.open_input_stream(path) as f:
                     ids, doc_ids, counts = read_file(f.read())
                 cut = np.concatenate([[0], np.cumsum(counts)])
-                raw = ids.astype("<u4").tobytes()
-                yield pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "start": base + cut[:-1], "n_tokens": counts, "ids": [raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:])]})
+                for a, b in slices(counts.tolist(), _READ):  # documents, about _READ ids at a time
+                    raw = ids[cut[a] : cut[b]].astype("<u4", copy=False).tobytes()
+                    at = 4 * (cut[a : b + 1] - cut[a])
+                    yield pd.DataFrame({"doc_id": pd.array(doc_ids[a:b], dtype="Int64"), "start": base + cut[a:b], "n_tokens": counts[a:b], "ids": [raw[x:y] for x, y in zip(at[:-1], at[1:])]})
 
     return files.mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
 

@@ -139,14 +139,48 @@ def test_mix_targets_and_takes(spark):
             s = by_id[r.doc_id]
             assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and 0 <= r.taken <= 2 * r["size"]
             taken[s] += r.taken
-        assert len(got) == len(rows) and all(abs(taken[s] - want[s]) < 1 for s in want)
+        assert len(got) == len(rows) and sum(taken.values()) == sum(sizes.values()) * 3 // 2
+        assert all(abs(taken[s] - want[s]) <= mixing.PACKET for s in want)
+
+
+def served(rows, packet, weights=(3, 1, 2), share=1.5, passes=2, seed=7):
+    """Doc id -> words, by serving one packet after another from the queue with the least virtual finish time."""
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    queue = {s: [] for s in order}
+    for i, t, s in sorted(rows, key=lambda r: (md5(f"{seed}:{r[0]}:{md5(r[1] or '')}"), len((r[1] or "").split()))):
+        queue[s].append((md5(f"{seed}:{i}:{md5(t or '')}"), i, len((t or "").split())))
+    heads = []
+    for s, q in queue.items():
+        done = 0
+        for _ in range(passes):
+            for key, i, size in q:
+                for lo in range(0, size, packet):
+                    n = min(packet, size - lo)
+                    done += n
+                    heads.append((done * 6 // weight[s], key, s is not None, s or "", i, n))
+    left, taken = int(sum(len((t or "").split()) for _, t, _ in rows) * share), Counter()
+    for *_, i, n in sorted(heads):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    return taken
+
+
+@pytest.mark.parametrize("packet", [5, 256, None])
+def test_mix_equals_a_queue_that_is_served_in_order(spark, packet):
+    rng = random.Random(13)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 3, 12, 40]))), rng.choice(["b", "a", None, "z"])) for i in range(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.taken for r in mixing.mix_plan(df, packet=packet).collect()}
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in served(rows, packet or 10**9).items() if n}
 
 
 def test_mix_serves_copies_in_order(spark):
     rng = random.Random(12)
     rows = [(i, " ".join(f"w{j}" for j in range(rng.randrange(1, 30))), rng.choice("ab")) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    plan = {r.doc_id: r.taken for r in mixing.mix_plan(df).collect()}
+    plan = {r.doc_id: r.taken for r in mixing.mix_plan(df, packet=None).collect()}
     got = mixing.mix(df).collect()
     assert [r.finish for r in got] == sorted(r.finish for r in got)
     words = Counter()
