@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +67,9 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, _own_dir(spark))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
-    """For an application over whole texts: lowers the session's Arrow batches to so many rows and bytes (a longer text alone).
+def session_settings(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+    """For an application over whole texts: lowers the session's Arrow batches to so many rows and bytes (a longer text alone), and has
+    Spark drop a query's shuffle files when it ends, as all that is read again is written as a table.
 
     The operators do not call this themselves, as it holds for all queries of the session; their Python code cuts what it gets
     into slices by bytes in any case."""
@@ -74,6 +79,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -
         size = int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] if now else 0
         if size <= 0 or size > most:
             spark.conf.set(key, str(shown))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def row_key(*columns: str) -> Column:
@@ -81,6 +87,19 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(salt), *columns)), 16, "0") for salt in ("a", "b"))))
 
 
+def trimmed(run):
+    """A generator over a task's batches that gives freed memory back to the system at its end, as Spark keeps idle Python workers."""
+
+    @functools.wraps(run)
+    def wrapped(batches, *more, **named):
+        yield from run(batches, *more, **named)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def slices(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose sizes add up to at most `most` (a larger one alone)."""
     lo = 0

@@ -26,14 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_key, slices, word_slices, written
+from docloom.llm.common import row_key, slices, trimmed, word_slices, written
 
 SEED = 3
 RARE = 1e-8
 MIN_SCORE = 0.5
 MIN_WORDS = 5
 BLOCK_BYTES = 16 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _CACHED = 40
 _DROPPED, _OTHER = -1, 0
 
@@ -191,6 +191,7 @@ def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
     """How often each of the items' words occurs in all texts (0: all other words)."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
+    @trimmed
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, total = shared.value, None
         cache = Vocabulary(own.vocabulary)
@@ -221,6 +222,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, min_score: float) -> DataFra
         items.index(word_counts(docs, items))
         shared = spark.sparkContext.broadcast(items)
 
+        @trimmed
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = shared.value
             cache = Vocabulary(own.vocabulary)

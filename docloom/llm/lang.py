@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import word_slices
+from docloom.llm.common import trimmed, word_slices
 
 ORDERS = (2, 3, 4)
 MIN_SHARE = 0.02
@@ -37,7 +37,7 @@ LETTER = r"\p{L}"
 HELD_OUT = 5
 LOW_QUANTILE = 0.01
 SLACK = 0.75
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _letters: np.ndarray | None = None
 
@@ -183,6 +183,7 @@ def _document_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return gram, docs
 
 
+@trimmed
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, text) -> (lang, gram, docs): how many of the batch's documents hold the n-gram."""
     for pdf in batches:
@@ -236,6 +237,7 @@ def identify(df: DataFrame, model: Filters, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
+    @trimmed
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for series in batches:

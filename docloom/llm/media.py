@@ -30,7 +30,7 @@ from docloom.llm.common import slices, utf8
 
 WIDTH = 64
 FRAME_ROWS = 4096
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 #: A marker other than a stuffed zero, a restart or a fill byte.
 _SCAN_END = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
 

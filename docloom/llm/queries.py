@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontam, html_text, lang, media, mixing, sharding, simhash, substrings, tokens, toxicity
-from docloom.llm.common import bounded_batches
+from docloom.llm.common import session_settings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)  # the queries are applications over whole texts, so they set this for their session
+    session_settings(spark)  # the queries are applications over whole texts, so they set this for their session
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

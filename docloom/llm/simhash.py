@@ -250,9 +250,9 @@ def keep_one(docs: DataFrame, similarity: float = overlap.SIMILARITY, shingle: i
     """docs with one row of each group of near-copies (texts of Jaccard similarity of at least `similarity` are linked): that of the
     smallest doc_id (null last), then of the smallest row_key."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    keys, roots = overlap.near_copies(docs, similarity, shingle)
-    least = keys.groupBy("key").agg(F.min(order).alias("o")).join(roots, F.col("key") == F.col("node"), "left")
-    first = least.groupBy(F.coalesce("root", "key")).agg(F.min("o").alias("o")).select(F.col("o.row_key").alias("_docloom_key"))
+    rows, roots = overlap.near_copies(docs, similarity, shingle)
+    least = rows.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node", "left")
+    first = least.groupBy(F.coalesce("root", "node")).agg(F.min("o").alias("o")).select(F.col("o.row_key").alias("_docloom_key"))
     kept = docs.withColumn("_docloom_key", row_key("doc_id", "text")).join(first, "_docloom_key", "left_semi")
     w = Window.partitionBy("_docloom_key").orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn("_docloom_n", F.row_number().over(w)).where("_docloom_n = 1").drop("_docloom_n", "_docloom_key")

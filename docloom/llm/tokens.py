@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import new_path, slices, word_slices, written
+from docloom.llm.common import new_path, slices, trimmed, word_slices, written
 
 BLOCK = 512
 PERCENTILE = 90
@@ -248,6 +248,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None) -> Dat
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     parts = int(max(spark.sparkContext.defaultParallelism, -(-total // PARTITION_BYTES)))
 
+    @trimmed
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
@@ -295,6 +296,7 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
     files = manifest.withColumn("base", F.sum("ids").over(order) - F.col("ids")).select("path", "base")
     files = files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4), "path")
 
+    @trimmed
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
