@@ -9,6 +9,10 @@ a page that has none, or no host, is read by its own best path. So odd pages are
 As each page has one vote, a host has at most 1 / WINNING winning paths. Votes and winners are small rows; pages stay where they
 are if the winners' table is small enough for Spark to send out, else they are joined on the host, where AQE splits hot hosts.
 
+Parts that are never article text are told by their element or by words in class, id and role. Inside an article a compound name needs
+a strong word for that, and an article or main that is the page's only one is read though a wrapper's name says noise (not
+comments). A noise element inside a line leaves the line whole.
+
 Blocks are what block elements and line breaks bound; white space in a block (no-break spaces too) becomes one space. Defined
 results: null, empty and text-free html gives an empty text; unclosed and misnested tags are closed as browsers do where it matters
 here; a null url is no host; repeated rows give repeated results. Columns named like a result are replaced.
@@ -35,6 +39,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 NEVER = frozenset("head script style noscript nav footer aside form button select textarea iframe svg math canvas template object audio video dialog menu title xmp noembed noframes datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Elements that are never article text but stand inside a line: they end no block.
+IN_LINE_NEVER = frozenset("script style noscript template svg math canvas object audio video iframe button select textarea datalist".split())
 CONTAINERS = frozenset("body main article section div td center".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -43,6 +49,7 @@ CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 STRONG = frozenset("nav navbar navigation menu sidebar footer ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments disqus respond replies cookie cookies consent gdpr newsletter subscribe signup breadcrumb breadcrumbs pagination pager popup modal overlay widget widgets skip".split())
 WEAK = frozenset("header banner masthead toolbar notice notices alert share sharing social related recommended tags byline search login complementary contentinfo".split())
 KEEP = frozenset("article content main entry post story text body".split())
+COMMENTS = frozenset("comment comments disqus respond replies".split())
 BEFORE = frozenset("with has no without".split())
 
 _TOKEN = re.compile(
@@ -78,17 +85,25 @@ def is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
                 words = [w.lower() for w in _WORDS.findall(one)]
                 if words and words[0] in BEFORE:
                     continue
-                if not STRONG.isdisjoint(words) or (not WEAK.isdisjoint(words) and KEEP.isdisjoint(words)):
+                if not STRONG.isdisjoint(words) or (not WEAK.isdisjoint(words) and KEEP.isdisjoint(words) and (not in_article or WEAK.issuperset(words))):
                     return True
     return False
 
 
+def hard_noise(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether nothing below an element is ever article text, whatever it is; comments too."""
+    words = {w.lower() for name in ("class", "id") for w in _WORDS.findall(attrs.get(name, ""))}
+    return is_noise(tag, {k: v for k, v in attrs.items() if k not in ("class", "id", "role")}, True) or not COMMENTS.isdisjoint(words)
+
+
 class Page:
     """Elements and text blocks of one page."""
 
-    def __init__(self, html: str | None):
-        # of each element: parent, label, path key, tag, noise
-        self.parent, self.label, self.key, self.tag, self.noise = [-1], [""], [0], ["#"], [False]
+    def __init__(self, html: str | None, spared: int = -1):
+        """spared: an element that is text though a wrapper's name says noise."""
+        # of each element: parent, label, path key, tag, noise, noise that no element below ends
+        self.parent, self.label, self.key, self.tag, self.noise, self.hard = [-1], [""], [0], ["#"], [False], [False]
+        self._spared = spared
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._parts: list[str] = []
         self._links = 0
@@ -106,7 +121,11 @@ class Page:
     def _text(self, raw: str) -> None:
         if raw:
             node = self._stack[-1]
-            while self.tag[node] in INLINE and not self.noise[node]:
+            if self.noise[node]:  # stands beside the block that it may be inside of
+                if text := " ".join(raw.split()):
+                    self.blocks.append((node, text, 0))
+                return
+            while self.tag[node] in INLINE:
                 node = self.parent[node]
             if self._parts and node != self._at:
                 self._flush()
@@ -119,7 +138,7 @@ class Page:
     def _close(self, depth: int) -> None:
         """Closes all elements from this place of the stack on."""
         for node in self._stack[depth:]:
-            if self.tag[node] not in INLINE or self.noise[node]:
+            if self.tag[node] not in INLINE and self.tag[node] not in IN_LINE_NEVER:
                 self._flush()
             self._anchors -= self.tag[node] == "a"
         del self._stack[depth:]
@@ -148,9 +167,10 @@ class Page:
             return
         attrs = attributes(raw) if raw else {}
         up = self._stack[-1]
-        inside = any(self.tag[i] in ("article", "main") for i in self._stack) if tag == "header" else False
-        noise = self.noise[up] or is_noise(tag, attrs, inside)
-        if tag not in INLINE or noise:
+        inside = any(self.tag[i] in ("article", "main") for i in self._stack)
+        own = is_noise(tag, attrs, inside)
+        noise = (self.noise[up] or own) and len(self.tag) != self._spared
+        if tag not in INLINE and tag not in IN_LINE_NEVER:
             self._flush()
         classes = sorted({re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split()})
         label = ".".join([tag, *classes])
@@ -159,6 +179,7 @@ class Page:
         self.key.append(xxhash.xxh64_intdigest(f"{self.key[up]}>{label}"))
         self.tag.append(tag)
         self.noise.append(noise)
+        self.hard.append(self.hard[up] or (own and hard_noise(tag, attrs)) or (tag == "article" and hard_noise(tag, attrs)))
         self._stack.append(len(self.tag) - 1)
         self._anchors += tag == "a"
 
@@ -197,6 +218,12 @@ class Page:
         self._close(1)
         self._flush()
 
+    def lone_article(self) -> int:
+        """The only article or main of a page, if it stands below a wrapper that only its name makes noise; else -1."""
+        found = [i for i, tag in enumerate(self.tag) if tag in ("article", "main")]
+        outer = [i for i in found if self.parent[i] not in found]
+        return outer[0] if len(outer) == 1 and self.noise[outer[0]] and not self.hard[outer[0]] else -1
+
     def best(self) -> int:
         """The element with most text less links and noise; the deeper one of equals; -1 without text."""
         n = len(self.tag)
@@ -230,6 +257,12 @@ class Page:
         return [text for node, text, _ in self.blocks if inside[node] and not self.noise[node]]
 
 
+def read_page(html: str | None) -> Page:
+    page = Page(html)
+    lone = page.lone_article()
+    return page if lone < 0 else Page(html, lone)
+
+
 def signed(key: int) -> int:
     return key - (1 << 64) if key >= 1 << 63 else key
 
@@ -248,7 +281,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, paths = [], []
         for html in batch.column("html").to_pylist():
-            page = Page(html)
+            page = read_page(html)
             best = page.best()
             keys.append(None if best < 0 else signed(page.key[best]))
             paths.append(None if best < 0 else page.path(best))
@@ -272,7 +305,7 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, used = [], []
         for html, keys in zip(batch.column("html").to_pylist(), batch.column("_docloom_paths").to_pylist()):
-            page, blocks = Page(html), []
+            page, blocks = read_page(html), []
             for key in keys or []:
                 blocks = page.text_in(key % (1 << 64))
                 if blocks:

@@ -252,6 +252,20 @@ def test_pages(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0 and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<p>One <span class='ad'>ad</span> two</p>", "One two"),
+    ("<p>One <script>x()</script>two <button>press</button>three</p>", "One two three"),
+    ("<div class='search-results-page'><article><p>Found <b>text</b> here</p></article></div>", "Found text here"),
+    ("<article><div class='login-help'>How to log in</div><p class='tags-intro'>On tags</p><div class='related'>no</div></article>", "How to log in\nOn tags"),
+    ("<article><p>Mine</p></article><div class='comments'><article class='comment'><p>Theirs</p></article></div>", "Mine"),
+    ("<p>Only</p><section id='comments'><article><p>Theirs</p></article></section>", "Only"),
+    ("<main><p>a</p><aside>no</aside><div class='ad-box'>no</div>b</main>", "a\nb"),
+])
+def test_article_text_stays_and_noise_goes(html, want):
+    page = html_text.read_page("<html><body>" + html + "</body></html>")
+    assert "\n".join(page.text_in(page.key[page.best()])) == want
+
+
 def test_odd_pages_are_read_as_their_hosts_others(spark):
     """The first nine pages vote for div.post, as link lists make the body a bad container; the tenth, read alone, would be its whole body."""
     body = "<body><div class='list'>%s</div><div class='post'><p>%s</p></div><div class='box'><p>%s</p></div></body>"
