@@ -219,8 +219,9 @@ def _with_tiles(rows: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
     cold = rows.where("ranges is null").select(F.col("cell").cast("string").alias("cell"), "fp")
     # order of unsigned ranks: the sign bit is flipped
     mine = rows.where("ranges is not null").withColumn("rank", _gray(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
-    cuts = mine.groupBy("cell").agg(F.percentile_approx("rank", [i / 64 for i in range(1, 64)], 1000).alias("cuts"), F.first("ranges").alias("n"))
-    cuts = cuts.withColumn("cuts", F.expr("transform(sequence(1L, least(n, 64L) - 1), i -> element_at(cuts, cast(i * 64 div least(n, 64L) as int)))"))
+    m = max(2, hot.agg(F.max("ranges")).head()[0])
+    cuts = mine.groupBy("cell").agg(F.percentile_approx("rank", [i / m for i in range(1, m)], max(1000, 4 * m)).alias("cuts"), F.first("ranges").alias("n"))
+    cuts = cuts.withColumn("cuts", F.expr(f"transform(sequence(1L, n - 1), i -> element_at(cuts, cast(i * {m}L div n as int)))"))
     mine = written(mine.join(cuts, "cell").withColumn("range", F.expr("size(filter(cuts, c -> c < rank))")).select("cell", "range", "fp"), "ranges")
     nodes = mine.groupBy("cell", "range").agg(F.bit_and("fp").alias("ones"), F.bit_and(F.bitwise_not("fp")).alias("zeros"))
     left, right = nodes.toDF("cell", "i", "ones_i", "zeros_i"), nodes.toDF("cell", "j", "ones_j", "zeros_j")
@@ -238,7 +239,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     fps = d.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(fps.select("fp"), distance))
     grouped = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join are exchanged for it and Spark can split the rows of a large component
+    least = written(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return d.join(grouped.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 

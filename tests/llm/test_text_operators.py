@@ -85,7 +85,7 @@ def near_fingerprints(rng, n):
     return sorted(set(out[:n]))
 
 
-@pytest.mark.parametrize("cell_rows", [1 << 16, 40])
+@pytest.mark.parametrize("cell_rows", [1 << 16, 40, 3])
 def test_gray_index_finds_every_link(spark, cell_rows):
     """Also when cells are cut into ranges of Gray rank."""
     from docloom.llm.components import components
