@@ -33,16 +33,19 @@ def next_frontier(pages: DataFrame, visited: DataFrame) -> DataFrame:
     return links.select("base", "url").dropDuplicates(["url"]).join(visited.select("url"), "url", "left_anti").select("base", "url")
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], folder: str, most_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], folder: str, most_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth first from seeds (url) until no link is new. fetch: (url) -> (url, html), html null on failure.
 
     Each round is written below folder, so rounds already done survive a lost executor. Links are resolved against the
-    base of their seed and stay below it; a URL is fetched once in a run, whichever seed it belongs to. Returns (pages, visited)."""
+    base of their seed and stay below it; a URL is fetched once in a run, whichever seed it belongs to. Returns (pages, visited).
+    With most_rounds given, links left after so many rounds raise an error; the rounds done stay below folder."""
     spark = seeds.sparkSession
     frontier = seeds.select(base_url(F.col("url")).alias("base"), "url").dropDuplicates(["url"])
     none = spark.createDataFrame([], "base string, url string, ok boolean")
     visited, n = none, 0
-    while n < most_rounds and not frontier.isEmpty():
+    while not frontier.isEmpty():
+        if n == most_rounds:
+            raise RuntimeError(f"links left after {n} rounds, see {folder}/frontier")
         got = fetch(frontier.select("url"))
         parsed = parse_pages(got.where("html is not null"))
         parsed.join(frontier, "url").write.mode("overwrite").parquet(f"{folder}/pages/round={n}")

@@ -27,8 +27,11 @@ def latest(new: DataFrame, by: list[str], key: str = "id") -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", by: list[str] | None = None) -> DataFrame:
-    """K3: rows of new replace those of old with the same key; others are added. by orders repeats in new, the last one counts."""
-    new = latest(new, by, key) if by else new.dropDuplicates([key])
+    """K3: rows of new replace those of old with the same key; others are added. by orders repeats in new, the last one counts; without it the one of
+    greatest hash of the row counts, so reruns agree."""
+    if not by:
+        new, by = new.withColumn("_hash", F.xxhash64(*new.columns)), ["_hash"]
+    new = latest(new, by, key)
     new = new.select(old.columns)
     return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(new)
 

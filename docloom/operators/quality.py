@@ -39,8 +39,9 @@ def quality_metrics(chunks: DataFrame, incomplete_below: float = 5.0, empty_belo
 
 
 def first_samples(chunks: DataFrame, kind: str, index: str = "chunk_no", n: int = SAMPLE) -> DataFrame:
-    """The first n incomplete or empty chunks by index; a top-k, so no global sort."""
-    return _flagged(chunks).where(F.col(kind)).orderBy(index).limit(n)
+    """The first n incomplete or empty chunks by product and page, where there are such columns, and index; a top-k, so no global sort."""
+    order = [c for c in ("product_id", "page_start") if c in chunks.columns]
+    return _flagged(chunks).where(F.col(kind)).orderBy(*order, index).limit(n)
 
 
 def random_sample(chunks: DataFrame, n: int = 20, seed: int = 0, index: str = "chunk_no") -> DataFrame:
