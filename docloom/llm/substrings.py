@@ -13,6 +13,10 @@ their bytes. Segments are compared by minimiser and a hash of their bytes (128 b
   pointer refinement: initial buckets of 8-grams, each refined by the bucket identifiers of later offsets, the refined ones used in
   turn, up to depth LENGTH. Windows whose bucket at that depth has company are repeated.
 
+Neighbours of one text that are equal segments (blanks, periodic text) are filed as one row, a run. Minimisers of few rows are compared in
+a window. Those of more than `hot_rows` (at least the 2^17th part of all rows, so at most 2^17 of them, which are broadcast) are aggregated by
+minimiser and bytes instead, so that one common line is spread over tasks by what surrounds it and its copies are counted before the shuffle.
+
 A minimiser with more than HOT_SEGMENTS different segments is not sorted in one task: its windows' 128-bit hashes are counted by Spark.
 
 Documents are addressed by a 64-bit hash of (doc_id, text). Defined results: null and empty texts, and texts shorter than LENGTH,
@@ -28,11 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import utf8, written
+from docloom.llm.common import release, utf8, written
 
 LENGTH = 200
 GRAM = 32
-HOT_SEGMENTS = 1 << 16
+HOT_SEGMENTS = 1 << 14
+HOT_ROWS = 1000
+_MOST_HOT = 1 << 17
 _PIECE = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 _SORT_BYTES = 1 << 20
@@ -189,7 +195,14 @@ def _file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held += len(texts[hi])
                 hi += 1
             owner, start, length, h, body = segments([utf8(t) for t in texts[lo:hi]])
-            yield pd.DataFrame({"h": h.view(np.int64), "body": body.view(np.int64), "k": k[lo:hi][owner], "lo": start.astype(np.int32), "hi": (start + length).astype(np.int32)})
+            new = np.ones(len(h), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]) | (body[1:] != body[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(h))[: len(first)] - 1
+            start, stop = start.astype(np.int32), (start + length).astype(np.int32)
+            yield pd.DataFrame(
+                {"h": h.view(np.int64)[first], "body": body.view(np.int64)[first], "k": k[lo:hi][owner[first]], "lo": start[first], "hi": stop[first], "end": stop[last], "run": last > first}
+            )
             lo = hi
 
 
@@ -198,8 +211,8 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for k, text, wanted in zip(pdf["k"], pdf["text"], pdf["wanted"]):
             raw = utf8(text)
-            out += [(w["h"], k, w["lo"], w["whole"], raw[w["lo"] : w["hi"]]) for w in wanted]
-        yield pd.DataFrame(out, columns=["h", "k", "lo", "whole", "bytes"])
+            out += [(w["h"], k, w["lo"], w["whole"], w["crowded"], raw[w["lo"] : w["hi"]]) for w in wanted]
+        yield pd.DataFrame(out, columns=["h", "k", "lo", "whole", "crowded", "bytes"])
 
 
 def _refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,32 +260,61 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"w": digests, "k": k, "lo": np.arange(lo, lo + len(digests)), "whole": whole})
 
 
-def repeated_ranges(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """(k, text) -> (k, lo, hi): byte ranges that cover all repeated windows; they may overlap."""
-    spark = docs.sparkSession
-    long = docs.where(F.octet_length("text") >= LENGTH)
-    filed = long.select("k", "text").mapInPandas(_file, "h long, body long, k long, lo int, hi int")
+_FOUND = ("h", "k", "lo", "hi", "end", "whole", "open", "crowded")
+
+
+def _compared_in_windows(filed: DataFrame, hot_segments: int) -> DataFrame:
+    """Which segments are repeated as a whole, and one representative ("open") of each that shares its minimiser with others."""
     w = Window.partitionBy("h").orderBy("body", "k", "lo")
     near = filed.withColumns({"before": F.lag("body").over(w), "after": F.lead("body").over(w), "first": F.first("body").over(w)})
     repeated = F.coalesce(F.col("before") == F.col("body"), F.lit(False)) | F.coalesce(F.col("after") == F.col("body"), F.lit(False))
     last = F.col("after").isNull() | (F.col("after") != F.col("body"))
     company = (F.col("first") != F.col("body")) | F.col("after").isNotNull()
-    found = near.select("h", "k", "lo", "hi", repeated.alias("whole"), (last & company).alias("open")).where("whole or open")
+    near = near.withColumns({"whole": F.col("run") | repeated, "open": last & company})
+    different = F.sum(F.col("open").cast("int")).over(Window.partitionBy("h"))
+    return near.withColumn("crowded", different > hot_segments).where("whole or open").select(*_FOUND)
+
+
+def _compared_by_bytes(filed: DataFrame, hot_rows: int, hot_segments: int) -> DataFrame:
+    """The same for hot minimisers: copies are counted before the shuffle, and no task gets all rows of one."""
+    one = [F.first(c).alias(c) for c in ("k", "lo", "hi")]  # all of one row: any copy represents them
+    kinds = written(filed.groupBy("h", "body").agg(F.count("*").alias("rows"), F.max("run").alias("run"), *one), "segment-kinds")
+    kinds = kinds.withColumn("whole", F.col("run") | (F.col("rows") > 1))
+    company = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", (F.col("kinds") > hot_segments).alias("crowded"))
+    out = kinds.join(F.broadcast(company), "h").withColumns({"end": F.col("hi"), "open": F.lit(True)}).select(*_FOUND)
+    copied = kinds.where("whole")
+    common = F.broadcast(copied.where(F.col("rows") > hot_rows).select("h", "body"))  # at most _MOST_HOT, as hot minimisers
+    rare = copied.where(F.col("rows") <= hot_rows).select("h", "body")
+    for rows in (filed.join(common, ["h", "body"], "left_semi"), filed.join(common, ["h", "body"], "left_anti").join(rare, ["h", "body"], "left_semi")):
+        out = out.unionByName(rows.withColumns({"whole": F.lit(True), "open": F.lit(False), "crowded": F.lit(False)}).select(*_FOUND))
+    return out
+
+
+def repeated_ranges(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(k, text) -> (k, lo, hi): byte ranges that cover all repeated windows; they may overlap."""
+    long = docs.where(F.octet_length("text") >= LENGTH)
+    filed = written(long.select("k", "text").mapInPandas(_file, "h long, body long, k long, lo int, hi int, end int, run boolean"), "filed")
+    hot_rows = max(hot_rows, filed.count() // _MOST_HOT)
+    hot = written(filed.groupBy("h").count().where(F.col("count") > hot_rows).select("h"), "hot-minimisers")
+    if hot.isEmpty():
+        found = _compared_in_windows(filed, hot_segments)
+    else:
+        some = F.broadcast(hot)
+        found = _compared_in_windows(filed.join(some, "h", "left_anti"), hot_segments)
+        found = found.unionByName(_compared_by_bytes(filed.join(some, "h", "left_semi"), hot_rows, hot_segments))
     found = written(found, "segments")
-    ranges = found.where("whole").select("k", "lo", "hi")
-    wanted = found.where("open").groupBy("k").agg(F.collect_list(F.struct("h", "lo", "hi", "whole")).alias("wanted"))
-    parts = long.select("k", "text").join(wanted, "k").mapInPandas(_fetch, "h long, k long, lo int, whole boolean, bytes binary")
-    hot = found.where("open").groupBy("h").count().where(F.col("count") > hot_segments).select("h")
-    hot = [r["h"] for r in hot.collect()]  # at most segments / hot_segments
-    if hot:
-        table = spark.createDataFrame([(h,) for h in hot], "h long")
+    release(filed)
+    ranges = found.where("whole").select("k", "lo", F.col("end").alias("hi"))
+    wanted = found.where("open").groupBy("k").agg(F.collect_list(F.struct("h", "lo", "hi", "whole", "crowded")).alias("wanted"))
+    parts = long.select("k", "text").join(wanted, "k").mapInPandas(_fetch, "h long, k long, lo int, whole boolean, crowded boolean, bytes binary")
+    if not found.where("crowded").isEmpty():
         parts = written(parts, "parts")
-        windows = parts.join(table, "h", "left_semi").mapInPandas(_windows, "w binary, k long, lo int, whole boolean")
+        windows = parts.where("crowded").drop("crowded").mapInPandas(_windows, "w binary, k long, lo int, whole boolean")
         twice = windows.groupBy("w").count().where("count > 1").select("w")
         counted = windows.where("not whole").join(twice, "w").select("k", "lo", (F.col("lo") + LENGTH).cast("int").alias("hi"))
         ranges = ranges.unionByName(counted)
-        parts = parts.join(table, "h", "left_anti")
-    sorted_parts = parts.repartition("h").sortWithinPartitions("h")
+        parts = parts.where("not crowded")
+    sorted_parts = parts.drop("crowded").repartition("h").sortWithinPartitions("h")
     return ranges.unionByName(sorted_parts.mapInPandas(_refine, _RANGE))
 
 
@@ -287,11 +329,11 @@ def merged(ranges: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedupe(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def dedupe(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs with n_bytes, n_removed, spans (removed byte ranges) and kept (the bytes left)."""
     docs = docs.drop("n_bytes", "n_removed", "spans", "kept")
     keyed = docs.withColumn("_docloom_k", F.xxhash64("doc_id", "text"))
-    ranges = repeated_ranges(keyed.select(F.col("_docloom_k").alias("k"), "text"), hot_segments).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("_docloom_ranges"))
+    ranges = repeated_ranges(keyed.select(F.col("_docloom_k").alias("k"), "text"), hot_segments, hot_rows).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("_docloom_ranges"))
 
     def cut(texts: pd.Series, every: pd.Series) -> pd.DataFrame:
         rows = []

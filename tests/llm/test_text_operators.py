@@ -302,8 +302,8 @@ def plain_cut(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT_SEGMENTS, 2])
-def test_repeated_substrings(spark, hot):
+@pytest.mark.parametrize("hot, rows", [(substrings.HOT_SEGMENTS, substrings.HOT_ROWS), (2, substrings.HOT_ROWS), (substrings.HOT_SEGMENTS, 1), (2, 1), (3, 4)])
+def test_repeated_substrings(spark, hot, rows):
     rng = random.Random(7)
     long = words(rng, 150)
     shared = [words(rng, n) for n in (38, 45, 60, 200)]
@@ -314,12 +314,25 @@ def test_repeated_substrings(spark, hot):
     edge = words(rng, 60)
     texts += ["1" + edge[:200] + "2", "3" + edge[:200] + "4", "5" + edge[200:399] + "6", "7" + edge[200:399] + "8"]
     df = table(spark, texts).withColumn("kept", F.lit("clash")).withColumn("k", F.lit(3))
-    got = {r.doc_id: r for r in substrings.dedupe(df, hot).collect()}
+    got = {r.doc_id: r for r in substrings.dedupe(df, hot, rows).collect()}
     for i, want in enumerate(plain_cut(texts)):
         r = got[i]
         assert (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) == want, (i, texts[i])
 
 
+@pytest.mark.parametrize("rows", [substrings.HOT_ROWS, 20])
+def test_periodic_texts_and_many_copies(spark, rows):
+    rng = random.Random(9)
+    line = words(rng, 60)
+    texts = [" " * 100_000, "x" + " " * 300 + "y", "abc" * 7_000, "z" + "abc" * 90, *[words(rng, 80)] * 5_000]
+    texts += [words(rng, 20) + line + words(rng, 20) for _ in range(300)]
+    cut = substrings.dedupe(table(spark, texts).repartition(3), hot_rows=rows)
+    got = {r.doc_id: r for r in cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("sha")).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(plain_cut(texts)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].sha) == want, i
+
+
 def test_repeated_rows_lose_all_they_share(spark):
     text = words(random.Random(8), 100)
     df = spark.createDataFrame([(1, text), (1, text), (None, text[:150])], "doc_id long, text string")
