@@ -156,15 +156,19 @@ PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ſ
 
 
 class _Known(dict):
-    """A cache of at most `most` keys of at most 40 characters each: emptied when full."""
+    """A cache of at most `most` keys of at most 40 characters each, in two halves: when the newer is full, it becomes the older one, and
+    what is used again moves to the newer. So frequent keys stay."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, most // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(key) <= 40:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[key] = out
         return out
@@ -181,11 +185,11 @@ class Encoder:
     """Texts to ids through the tokenizers library.
 
     If the file normalizes and splits as _NORMALIZER, _SPLIT and _BYTES say, each distinct piece of plain texts is encoded once
-    (bounded caches of about 40 MB), and other texts (combining marks, other scripts, special tokens' names) are encoded whole, or
+    (bounded caches of about 80 MB, most of it for pieces, as a chunk made of known pieces costs little), and other texts (combining marks, other scripts, special tokens' names) are encoded whole, or
     if long in parts cut at a blank between two ASCII letters or digits, across which nothing composes or merges. With any other
     file every text goes through the library whole."""
 
-    def __init__(self, path: str, kept: int = 100_000):
+    def __init__(self, path: str, kept: int = 300_000, kept_chunks: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -200,7 +204,7 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         pieces, split = _Known(self.piece, kept), re.compile(PIECES).findall
-        self.known = _Known(lambda chunk: b"".join(map(pieces.__getitem__, split(chunk.lower()))), kept)
+        self.known = _Known(lambda chunk: b"".join(map(pieces.__getitem__, split(chunk.lower()))), kept_chunks)
 
     def piece(self, piece: str) -> bytes:
         if not piece.isascii():
