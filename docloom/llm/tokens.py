@@ -185,11 +185,11 @@ class Encoder:
     """Texts to ids through the tokenizers library.
 
     If the file normalizes and splits as _NORMALIZER, _SPLIT and _BYTES say, each distinct piece of plain texts is encoded once
-    (bounded caches of about 80 MB, most of it for pieces, as a chunk made of known pieces costs little), and other texts (combining marks, other scripts, special tokens' names) are encoded whole, or
+    (bounded caches of about 160 MB), and other texts (combining marks, other scripts, special tokens' names) are encoded whole, or
     if long in parts cut at a blank between two ASCII letters or digits, across which nothing composes or merges. With any other
     file every text goes through the library whole."""
 
-    def __init__(self, path: str, kept: int = 300_000, kept_chunks: int = 100_000):
+    def __init__(self, path: str, kept: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -204,12 +204,13 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         pieces, split = _Known(self.piece, kept), re.compile(PIECES).findall
-        self.known = _Known(lambda chunk: b"".join(map(pieces.__getitem__, split(chunk.lower()))), kept_chunks)
+        self.known = _Known(lambda chunk: b"".join(map(pieces.__getitem__, split(chunk.lower()))), kept)
 
     def piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = "".join(map(self.byte.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
