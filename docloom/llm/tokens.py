@@ -185,11 +185,11 @@ class Encoder:
     """Texts to ids through the tokenizers library.
 
     If the file normalizes and splits as _NORMALIZER, _SPLIT and _BYTES say, each distinct piece of plain texts is encoded once
-    (bounded caches of about 160 MB), and other texts (combining marks, other scripts, special tokens' names) are encoded whole, or
+    (a bounded cache of about 160 MB), and other texts (combining marks, other scripts, special tokens' names) are encoded whole, or
     if long in parts cut at a blank between two ASCII letters or digits, across which nothing composes or merges. With any other
     file every text goes through the library whole."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -203,8 +203,16 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        pieces, split = _Known(self.piece, kept), re.compile(PIECES).findall
-        self.known = _Known(lambda chunk: b"".join(map(pieces.__getitem__, split(chunk.lower()))), kept)
+        self.known, self.split = _Known(self.chunk, kept), re.compile(PIECES).findall
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a plain text without blanks; its pieces are kept in the same cache."""
+        low = chunk.lower()
+        if not low.isalpha():  # else one piece
+            pieces = self.split(low)
+            if pieces != [low]:
+                return b"".join(map(self.known.__getitem__, pieces))
+        return self.known[low] if low != chunk else self.piece(chunk)
 
     def piece(self, piece: str) -> bytes:
         if not piece.isascii():
