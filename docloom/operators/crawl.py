@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import base_url, url_filename
 from docloom.operators.html import parse_pages
+from docloom.operators.index import latest
 
 
 def join_urls(df: DataFrame, base: str, link: str, into: str = "url") -> DataFrame:
@@ -68,9 +69,9 @@ def scrape_summary(pages: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """K6: JSON by base and file name; a later page of one name replaces the earlier ones."""
-    named = pages.withColumn("file", url_filename(F.col("url"))).dropDuplicates(["base", "file"])
-    named.write.mode("overwrite").partitionBy("base").json(folder)
+    """K6: JSON by base and file name; of the pages of one name that of the greatest URL stays."""
+    named = pages.withColumn("file", url_filename(F.col("url"))).withColumn("_place", F.xxhash64(*pages.columns))
+    latest(named, ["url", "_place"], "base", "file").drop("_place").write.mode("overwrite").partitionBy("base").json(folder)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
@@ -88,20 +89,29 @@ def reachable(edges: DataFrame, seeds: DataFrame, folder: str) -> DataFrame:
             return every
 
 
-def fetch_http(urls: DataFrame, timeout: float = 10.0) -> DataFrame:
-    """(url) -> (url, html), null where the request fails. Needs a network; tests use tables instead."""
+def by_host(rows: DataFrame, url: str) -> DataFrame:
+    """Rows dealt by the host of their URL, so that one task keeps the pauses between requests to a host."""
+    return rows.repartition(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def fetch_http(urls: DataFrame, timeout: float = 10.0, pause: float = 0.0, opener: Callable[..., object] | None = None) -> DataFrame:
+    """(url) -> (url, html), null where the request fails. R9: with a pause, in seconds, a host's pages come from one task that rests
+    so long after each request. opener: (url, timeout=) -> a response; urlopen if not given."""
+    urls = by_host(urls.select("url"), "url") if pause else urls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
         from urllib.request import urlopen
 
         for pdf in batches:
             out = []
             for url in pdf["url"]:
                 try:
-                    with urlopen(url, timeout=timeout) as r:
+                    with (opener or urlopen)(url, timeout=timeout) as r:
                         out.append(r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"))
                 except (OSError, ValueError):
                     out.append(None)
+                time.sleep(pause)
             yield pd.DataFrame({"url": pdf["url"], "html": out})
 
     return urls.select("url").mapInPandas(run, "url string, html string")

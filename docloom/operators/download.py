@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.crawl import join_urls
+from docloom.operators.crawl import by_host, join_urls
 
 _A = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>"
 
@@ -52,11 +52,14 @@ def accept_probe(probes: DataFrame) -> DataFrame:
 RECORD = "model string, help_guide_url string, success boolean, pdf_url string, file_size_bytes long, error string, output_path string"
 
 
-def download(targets: DataFrame, folder: str, opener: Callable[[str], object] | None = None) -> DataFrame:
+def download(targets: DataFrame, folder: str, opener: Callable[[str], object] | None = None, pause: float = 0.0) -> DataFrame:
     """(model, help_guide_url, pdf_url) -> records. Files go to folder/model.pdf through pyarrow's file systems; an empty or broken
-    one is deleted. A retried task writes the same file again."""
+    one is deleted. A retried task writes the same file again.
+    R9: with a pause, in seconds, a host's files come from one task that rests so long after each."""
+    targets = by_host(targets, "pdf_url") if pause else targets
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
         from urllib.request import urlopen
 
         from pyarrow import fs
@@ -81,6 +84,7 @@ def download(targets: DataFrame, folder: str, opener: Callable[[str], object] |
                     error = str(e) or type(e).__name__
                 if error and target.get_file_info(path).type != fs.FileType.NotFound:
                     target.delete_file(path)
+                time.sleep(pause)
                 rows.append((model, guide, error is None, url, 0 if error else size, error, None if error else path))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
 

@@ -20,19 +20,22 @@ def vector_records(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "embedding", F.struct(*meta, F.col("content").alias("content")).alias("metadata"))
 
 
-def latest(new: DataFrame, by: list[str], key: str = "id") -> DataFrame:
+def latest(new: DataFrame, by: list[str], *key: str) -> DataFrame:
     """Of rows with one key the last by `by`."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in by])
+    w = Window.partitionBy(*(key or ("id",))).orderBy(*[F.col(c).desc() for c in by])
     return new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def _settled(new: DataFrame, key: str, by: list[str] | None) -> DataFrame:
+    if by:
+        return latest(new, by, key)
+    return latest(new.withColumn("_hash", F.xxhash64(*new.columns)), ["_hash"], key).drop("_hash")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", by: list[str] | None = None) -> DataFrame:
     """K3: rows of new replace those of old with the same key; others are added. by orders repeats in new, the last one counts; without it the one of
     greatest hash of the row counts, so reruns agree."""
-    if not by:
-        new, by = new.withColumn("_hash", F.xxhash64(*new.columns)), ["_hash"]
-    new = latest(new, by, key)
-    new = new.select(old.columns)
+    new = _settled(new, key, by).select(old.columns)
     return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(new)
 
 
@@ -77,7 +80,7 @@ class VectorIndex:
         if self.exists():
             self.replace(upsert(self.read(), new, by=by))
         else:
-            self.replace(latest(new, by) if by else new.dropDuplicates(["id"]))
+            self.replace(_settled(new, "id", by))
 
     def clear(self, confirm: bool = False, namespace: str | None = None) -> int:
         """K5: empties the index, or one namespace; returns the vectors left. Nothing happens on an empty index."""

@@ -38,11 +38,12 @@ def admit(requests: DataFrame, key: str, ts: str, order: str, burst: tuple[int,
     """(rate_key, id, allowed, retry_after, remaining). Windows start at a key's first request, and end after their length
     in microseconds; both are (limit, length).
 
+    R5: what cannot be counted is let in: a request without a time passes and leaves the counters as they are.
     Over the burst limit a request is denied for 1 s and the minute's counter stays; over the minute's limit it is denied until that
     window ends. Event time decides, ties by `order`. Rows are dealt by key, sorted, and read as a stream, so a key with many requests
     needs no more memory than others."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = requests.select(F.col(key).cast("string").alias("rate_key"), us.alias("us"), F.col(order).cast("long").alias("id"))
+    rows = requests.select(F.col(key).cast("string").alias("rate_key"), us.isNull().alias("no_time"), F.coalesce(us, F.lit(0)).alias("us"), F.col(order).cast("long").alias("id"))
 
     def run(batches):
         import pandas as pd
@@ -50,7 +51,10 @@ def admit(requests: DataFrame, key: str, ts: str, order: str, burst: tuple[int,
         now, counters = None, None
         for pdf in batches:
             out = []
-            for k, t, i in zip(pdf["rate_key"], pdf["us"], pdf["id"]):
+            for k, lost, t, i in zip(pdf["rate_key"], pdf["no_time"], pdf["us"], pdf["id"]):
+                if lost:
+                    out.append((k, i, True, 0, minute[0]))
+                    continue
                 if counters is None or k != now:
                     now, counters = k, Counters(burst, minute)
                 out.append((k, i, *counters.hit(int(t))))

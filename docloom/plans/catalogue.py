@@ -85,11 +85,11 @@ def vector_filter_language(spark, sf_dir):
 @query("""select * from (select q.vec_id as query_id, e.label, e.vec_id,
   cast(row_number() over (partition by q.vec_id, e.label order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as int) as rank,
   round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score
-from embeddings e, embeddings q where q.vec_id < 5) where rank <= 3""")
+from embeddings e, embeddings q where q.vec_id % 20 = 0) where rank <= 3""")
 def vector_topk_per_group(spark, sf_dir):
-    """V9 for five queries and every label."""
+    """V9 for every twentieth row and every label, as one plan; the form below writes each block of queries."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     found = search.top_k_each(e, queries, 3, ["label"])
     return found.select("query_id", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
 
@@ -212,21 +212,21 @@ def quality_filter(spark, sf_dir):
 
 
 def _hier(spark, sf_dir) -> DataFrame:
-    """Documents as hierarchical chunks: titles and bodies from the first lines."""
-    d = table(spark, sf_dir, "documents").withColumn("l", F.split("text", "\n"))
+    """Whole documents as hierarchical chunks: the first two lines are titles, the others are dealt out by place."""
+    d = table(spark, sf_dir, "documents").withColumn("l", F.split(F.coalesce("text", F.lit("")), "\n"))
     line = lambda i: F.coalesce(F.get("l", F.lit(i)), F.lit(""))
+    share = lambda k: F.filter("l", lambda x, i: (i >= 2) & (i % 5 == k))
     return d.select(
         F.col("source").alias("product_id"), F.col("doc_id").cast("int").alias("chunk_no"), (F.col("doc_id") % 7).cast("int").alias("page_start"), (F.col("doc_id") % 7).cast("int").alias("page_end"),
-        F.substring(line(0), 1, 30).alias("topic_title"), line(1).alias("topic_body"), F.when(F.col("doc_id") % 2 == 0, F.substring(line(2), 1, 20)).otherwise("").alias("section_title"),
-        F.when(F.col("doc_id") % 2 == 0, line(3)).otherwise("").alias("section_body"), F.lit("").alias("subheader_title"), F.lit("").alias("subheader_body"),
-        F.slice("l", 5, 2).alias("hints"), F.slice("l", 7, 2).alias("related_topics"), F.slice("l", 9, 1).alias("footnotes"),
+        line(0).alias("topic_title"), F.array_join(share(2), "\n").alias("topic_body"), line(1).alias("section_title"), F.array_join(share(3), "\n").alias("section_body"),
+        F.lit("").alias("subheader_title"), F.lit("").alias("subheader_body"), share(4).alias("hints"), share(0).alias("related_topics"), share(1).alias("footnotes"),
     )
 
 
-_HIER_SQL = """with d as (select *, string_split(text, chr(10)) as l from documents),
-h as (select source as product_id, cast(doc_id as int) as chunk_no, cast(doc_id % 7 as int) as page_start, substr(coalesce(l[1], ''), 1, 30) as topic_title, coalesce(l[2], '') as topic_body,
-  case when doc_id % 2 = 0 then substr(coalesce(l[3], ''), 1, 20) else '' end as section_title, case when doc_id % 2 = 0 then coalesce(l[4], '') else '' end as section_body,
-  l[5:6] as hints, l[7:8] as related_topics, l[9:9] as footnotes from d),
+_HIER_SQL = """with d as (select *, string_split(coalesce(text, ''), chr(10)) as l from documents),
+h as (select source as product_id, cast(doc_id as int) as chunk_no, cast(doc_id % 7 as int) as page_start, coalesce(l[1], '') as topic_title, coalesce(l[2], '') as section_title,
+  coalesce(array_to_string(list_filter(l, lambda x, i: i > 2 and i % 5 = 3), chr(10)), '') as topic_body, coalesce(array_to_string(list_filter(l, lambda x, i: i > 2 and i % 5 = 4), chr(10)), '') as section_body,
+  list_filter(l, lambda x, i: i > 2 and i % 5 = 0) as hints, list_filter(l, lambda x, i: i > 2 and i % 5 = 1) as related_topics, list_filter(l, lambda x, i: i > 2 and i % 5 = 2) as footnotes from d),
 c as (select *, concat_ws(chr(10) || chr(10), nullif(concat_ws(' > ', nullif(topic_title, ''), nullif(section_title, '')), ''),
   nullif(concat_ws(chr(10) || chr(10), nullif(regexp_replace(topic_body, '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_replace(section_body, '^\\s+|\\s+$', '', 'g'), '')), ''),
   case when len(hints) > 0 then array_to_string(list_transform(hints, lambda x: 'Hint: ' || x), chr(10)) end,
@@ -278,7 +278,7 @@ def semantic_chunk_records(spark, sf_dir):
 
 
 def _segments(spark, sf_dir) -> DataFrame:
-    """Whole documents as hierarchical chunks. _hier above takes only their first lines, as its SQL does."""
+    """Whole documents as hierarchical chunks by the parser's rules; _hier above deals lines out by place, as SQL can."""
     return segment.page_segments(lines.typed_lines(pipeline.lines_of_documents(table(spark, sf_dir, "documents"))))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.chunk import semantic_chunks
 from docloom.operators.encode import HashingEncoder, encode
-from docloom.operators.index import vector_records
+from docloom.operators.index import VectorIndex, vector_records
 from docloom.operators.lines import font_lines, typed_lines
 from docloom.operators.segment import page_segments
 
@@ -21,6 +21,14 @@ def vectors_of_chunks(chunks: DataFrame, encoder: HashingEncoder) -> DataFrame:
     return vector_records(encode(chunks, encoder))
 
 
+def embed_chunks(chunks: DataFrame, encoder: HashingEncoder, index: VectorIndex, by: list[str] | None = None) -> int:
+    """V2: semantic chunks encoded, projected and merged into the index by id; returns the vectors it holds then.
+
+    Batches are Spark's Arrow batches, and no pause lies between them: the index is a table, not a service that limits its callers."""
+    index.upsert(vectors_of_chunks(chunks, encoder), by)
+    return index.stats().head()["total_vectors"]
+
+
 def lines_of_documents(docs: DataFrame, lines_per_page: int = 30) -> DataFrame:
     """Plain documents as font lines: each line of text gets a font by its place, so that all line types occur."""
     d = docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("product_id"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))

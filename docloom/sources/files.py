@@ -1,10 +1,11 @@
-"""Readers of the pipeline's files (S1-S8, S12, S13, D7) with declared schemas."""
+"""Readers and writers of the pipeline's files (S1-S8, S12-S14, K1, K2, A11, D7) with declared schemas."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -21,9 +22,46 @@ def read_hierarchical(spark: SparkSession, paths: str) -> DataFrame:
     return raw.select("chunk_no", "c.*")
 
 
-def read_semantic(spark: SparkSession, path: str) -> DataFrame:
-    """Semantic chunks; an empty file is an error."""
-    out = spark.read.schema(SEMANTIC).option("multiLine", True).json(path)
+def _write_lines(rows: DataFrame, folder: str) -> int:
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(folder)
+    return seen.get["n"]
+
+
+def write_hierarchical(chunks: DataFrame, folder: str) -> int:
+    """K1: hierarchical chunks as lines of JSON in UTF-8, product and chunk_no in each, as an array for each product would put a
+    product into one task; returns their number. Columns that chunks lacks are null when read."""
+    known = {"chunk_no", *StructType.fromDDL(HIERARCHICAL).names}
+    return _write_lines(chunks.select(*[c for c in chunks.columns if c in known]), folder)
+
+
+def read_hierarchical_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_hierarchical wrote; rows without chunk_no have null there."""
+    return spark.read.schema(f"chunk_no int, {HIERARCHICAL}").json(folder)
+
+
+def write_semantic(chunks: DataFrame, folder: str) -> int:
+    """K2: the semantic chunks of all products as lines of JSON in UTF-8; returns their number."""
+    return _write_lines(chunks.select("id", "content", "metadata"), folder)
+
+
+def parsed_files(spark: SparkSession, paths: str) -> int:
+    """Number of files under paths, found by the listing alone."""
+    return len(spark.read.format("binaryFile").load(paths).inputFiles())
+
+
+def settings(spark: SparkSession, required: tuple[str, ...] = (), **defaults: str) -> dict[str, str]:
+    """Values by name: the session's spark.docloom.<name>, else the environment's DOCLOOM_<NAME>, else the default. A required
+    name without a value is an error that lists all that lack one."""
+    found = {n: spark.conf.get(f"spark.docloom.{n}", None) or os.environ.get(f"DOCLOOM_{n.upper()}") or defaults.get(n) for n in (*required, *defaults)}
+    if lost := [n for n in required if not found[n]]:
+        raise ValueError(f"no value for {', '.join(lost)}")
+    return found
+
+
+def read_semantic(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Semantic chunks of a JSON array, or of lines as write_semantic makes them; no chunk at all is an error."""
+    out = spark.read.schema(SEMANTIC).option("multiLine", not lines).json(path)
     if out.isEmpty():
         raise ValueError(f"no chunks in {path}")
     return out

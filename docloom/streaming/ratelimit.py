@@ -28,7 +28,8 @@ def admit_stream(requests: DataFrame, key: str, ts: str, order: str, burst=BURST
             return
         counters = Counters(burst, minute, state.get if state.exists else (-1, 0, -1, 0))
         every = pd.concat(list(batches)).sort_values(["us", "id"])  # one key's requests of one trigger
-        out = [(k[0], i, *counters.hit(int(t))) for t, i in zip(every["us"], every["id"])]
+        # Without a time a request cannot be counted and is let in
+        out = [(k[0], i, *((True, 0, minute[0]) if pd.isna(t) else counters.hit(int(t)))) for t, i in zip(every["us"], every["id"])]
         state.update(counters.state)
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["rate_key", "id", "allowed", "retry_after", "remaining"])

@@ -221,3 +221,112 @@ def test_sources(spark, tmp_path):
     (tmp_path / "m.pdf").write_bytes(b"ab")
     g = files.read_pdfs(spark, f"file://{tmp_path}/m.pdf", lambda data: [(1, i, 1.0, "F", 9.0, chr(c)) for i, c in enumerate(data)]).orderBy("glyph_no").collect()
     assert [(r.product_id, r.text) for r in g] == [("m", "a"), ("m", "b")]
+
+
+def hierarchical(spark):
+    row = lambda p, n, title, body: (p, "", 1, 1, title, body, "", "", "", "", [], ["Näh"], [], n)
+    rows = [row("a", 0, "Title", "A body that is long enough to be kept as a chunk"), row("a", 1, "Titel ü", "Another body that is long enough to be kept"), row(None, None, None, None), row("12", 0, "", "")]
+    return spark.createDataFrame(rows, f"{files.HIERARCHICAL}, chunk_no int")
+
+
+def test_json_sinks_come_back(spark, tmp_path):
+    """K1, K2: every row, nulls and names that look like numbers included; an empty table has no rows."""
+    df = hierarchical(spark)
+    assert files.write_hierarchical(df.withColumn("orphan", F.lit(True)), f"{tmp_path}/h") == 4
+    back = files.read_hierarchical_lines(spark, f"{tmp_path}/h")
+    key = lambda r: str(r)
+    assert sorted(back.select(df.columns).collect(), key=key) == sorted(df.collect(), key=key)
+    assert files.write_hierarchical(df.limit(0), f"{tmp_path}/none") == 0
+    assert files.read_hierarchical_lines(spark, f"{tmp_path}/none").isEmpty()
+    chunks = chunk.semantic_chunks(df)
+    n = chunks.count()
+    assert n >= 2 and files.write_semantic(chunks, f"{tmp_path}/s") == n
+    back = files.read_semantic(spark, f"{tmp_path}/s", lines=True)
+    assert {(r.id, r.content, r.metadata.topic_title) for r in back.collect()} == {(r.id, r.content, r.metadata.topic_title) for r in chunks.collect()}
+    with pytest.raises(ValueError):
+        files.read_semantic(spark, f"{tmp_path}/none", lines=True)
+
+
+def test_embed_chunks(spark, tmp_path):
+    """V2: encode, project and merge in one call; a second call with the same chunks adds nothing."""
+    from docloom.plans.pipeline import embed_chunks
+
+    chunks, table = chunk.semantic_chunks(hierarchical(spark)), index.VectorIndex(spark, f"{tmp_path}/v")
+    n = chunks.select("id").distinct().count()
+    assert embed_chunks(chunks, HashingEncoder(16), table) == n
+    assert embed_chunks(chunks, HashingEncoder(16), table) == n
+    rows = table.read().collect()
+    assert len(rows) == n and all(len(r.embedding) == 16 and r.metadata.hints == ["Näh"] and r.metadata.related_topics is None and r.metadata.content for r in rows)
+
+
+def test_admission_fails_open(spark):
+    """Requests without a time pass and are not counted."""
+    rows = [("k", None, i) for i in range(5)] + [("k", "2024-01-01 00:00:00", 5 + i) for i in range(3)] + [(None, None, 9)]
+    df = spark.createDataFrame(rows, "k string, ts string, id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.id: (r.allowed, r.retry_after, r.remaining) for r in ratelimit.admit(df, "k", "ts", "id", burst=(2, 1_000_000), minute=(9, 60_000_000)).collect()}
+    assert got == {**{i: (True, 0, 9) for i in (0, 1, 2, 3, 4, 9)}, 5: (True, 0, 8), 6: (True, 0, 7), 7: (False, 1, 7)}
+
+
+def test_requests_to_a_host_keep_their_pauses(spark):
+    """A host's pages come from one task, a failure is null."""
+    def opener(url, timeout):
+        import io
+        import time
+        from email.message import Message
+
+        if url.endswith("bad"):
+            raise OSError("gone")
+        out = io.BytesIO(str(time.time()).encode())
+        out.headers = Message()
+        return out
+
+    urls = [f"http://{h}/{i}" for h in "ab" for i in range(4)] + ["http://a/bad"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string").repartition(4)
+    got = {r.url: r.html for r in crawl.fetch_http(df, pause=0.05, opener=opener).collect()}
+    assert set(got) == set(urls) and got["http://a/bad"] is None
+    for h in "ab":
+        times = sorted(float(got[f"http://{h}/{i}"]) for i in range(4))
+        assert all(y - x >= 0.045 for x, y in zip(times, times[1:]))
+
+
+def test_settings(spark, monkeypatch):
+    """Session, then environment, then default; what is missing is named."""
+    monkeypatch.setenv("DOCLOOM_INDEX", "from-env")
+    spark.conf.set("spark.docloom.space", "from-session")
+    assert files.settings(spark, ("index", "space"), stage="prod") == {"index": "from-env", "space": "from-session", "stage": "prod"}
+    with pytest.raises(ValueError, match="key"):
+        files.settings(spark, ("key",))
+    spark.conf.unset("spark.docloom.space")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """A file to chunks, and the number of files; every option is required."""
+    from docloom.__main__ import main
+
+    (tmp_path / "x.pdf").write_bytes(b"%PDF")
+    text = ["A title of a page", "A body line that is long enough to be kept"]
+
+    def decoder(data):
+        for i, t in enumerate(text):
+            yield 1, i, 10.0 * i, "Face-Bold" if i == 0 else "Face", 12.7 if i == 0 else 9.7, t
+
+    out = f"{tmp_path}/out"
+    assert main(["parse", "--pdf", f"{tmp_path}/*.pdf", "--model", "M1", "--url", "http://x/", "--output", out], decoder) == 0
+    back = files.read_hierarchical_lines(spark, out).collect()
+    assert back and {(r.product_id, r.web_help_guide_url) for r in back} == {("M1", "http://x/")} and back[0].topic_title == text[0]
+    assert f"{len(back)} chunks" in capsys.readouterr().out
+    assert main(["count", "--output", out]) == 0
+    import glob
+
+    assert int(capsys.readouterr().out) == len(glob.glob(f"{out}/*.json"))
+    with pytest.raises(SystemExit):
+        main(["parse", "--pdf", "x", "--model", "M1", "--url", "u"])
+
+
+def test_pages_of_one_name_are_settled(spark, tmp_path):
+    """K6: of the pages of one file name that of the greatest URL stays."""
+    df = spark.createDataFrame([("b", f"http://x/{d}/p.html", d) for d in ("m", "z", "a")], "base string, url string, title string")
+    name = df.select(T.url_filename(F.col("url")).alias("n")).distinct().count()
+    crawl.write_pages(df, f"{tmp_path}/p")
+    left = [r.title for r in spark.read.json(f"{tmp_path}/p").collect()]
+    assert len(left) == name and "z" in left
