@@ -3,11 +3,13 @@
 import hashlib
 import os
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docloom.llm import html_text, media, mixing, queries, sharding
@@ -223,6 +225,43 @@ def test_shards(spark, n):
     assert {(r.law, r.grown_shard) for r in got} <= {("rows", None)}
 
 
+def _hashed(word, *longs):
+    """What Spark's xxhash64 gives for a string and integers: each value's hash is the next one's seed, nulls are skipped."""
+    h = xxhash.xxh64_intdigest(word.encode(), 42)
+    for x in longs:
+        h = h if x is None else xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+    return h - (h >> 63 << 64)
+
+
+@pytest.mark.parametrize("n, shards", [(0, 16), (7, 16), (6000, 16), (6000, 5)])
+def test_shards_equal_rows_placed_one_by_one(spark, n, shards):
+    """The same matrix, but blocks, cuts, exchange and second permutation done on lists of rows."""
+    texts = ["copy", "", None, "é" * 40, "long " * 50_000]
+    rows = [(i if i % 7 else None, texts[0] if i % 3 else texts[i % 5]) for i in range(n)] + [(5, "twice"), (5, "twice")] * (n > 0)
+    blocks = max(1, -(-len(rows) // sharding.BLOCK_ROWS))
+    dealt = [[] for _ in range(blocks)]
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        row = (doc_id, len(data) + 1, zlib.crc32(data))
+        k1, k2, k3 = (_hashed(f"{word}9", *row) for word in ("deal", "local", "again"))
+        dealt[k1 % blocks].append((k2, k1, k3, row))
+    matrix = sharding.communication_matrix([len(b) for b in dealt], shards, 9)
+    exchanged = [[] for _ in range(shards)]
+    for block, counts in zip(dealt, matrix.tolist()):
+        block.sort(key=lambda r: r[:3])
+        for s, count in enumerate(counts):
+            exchanged[s] += block[:count]
+            block = block[count:]
+    want = Counter()
+    for s, mine in enumerate(exchanged):
+        mine.sort(key=lambda r: ((r[2] % 2**64 >> 40) % blocks, r[2], r[0], r[1]))
+        want.update((*row, "rows", s, slot, None) for slot, (*_, row) in enumerate(mine))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, sharding.shard_plan(df, shards).collect())) == want
+    whole = sharding.shard_documents(df.withColumn("size", F.lit("clash")), shards)
+    assert Counter(map(tuple, whole.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect())) == want
+
+
 def test_shards_are_shuffled(spark):
     got = sharding.shard_plan(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))).toPandas()
     low = got[got.doc_id < 10_000].groupby("shard").size()
