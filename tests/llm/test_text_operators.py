@@ -186,6 +186,55 @@ def test_language_id(spark):
     assert got[1003].lang_pred == got[0].lang_pred
 
 
+def plain_grams(text):
+    """Every window whose inner characters are letters (of two characters: one of them), by character; the edges of a text count as no letter."""
+    shown = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0" * 4
+    for n in lang.ORDERS:
+        for at in range(len(text.lower()) + 1):
+            gram = shown[at : at + n]
+            if (gram != "\0\0") if n == 2 else "\0" not in gram[1:-1]:
+                yield gram
+
+
+def test_predictions_equal_exact_sets(spark):
+    """Sets of strings instead of filters of hashes: the same language wherever the two best are apart, nearly the same score and coverage."""
+    rng = random.Random(15)
+    rows = [(i, spoken(rng, k := rng.choice(list(VOICES)), rng.choice([1, 3, 30, 120])), k) for i in range(240)]
+    rows += [(300 + i, spoken(rng, "en", 5) + " " + spoken(rng, "de", 5), None) for i in range(20)]  # near-ties
+    rows += [(400 + i, t, "en" if i % 2 else "twin") for i, t in enumerate(spoken(rng, "en", 40) for _ in range(40))]  # a language that is another's twin
+    rows += [(500, None, "en"), (501, "", "de"), (502, "12 -", "fr"), (503, "漢字 слово", None), (504, spoken(rng, "fr", 20_000), None), (None, rows[0][1], "fr"), (505, "a", None)]
+    learned = [(t, k) for i, t, k in rows if i is not None and t is not None and k is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    size = {k: sum(x == k for _, x in learned) for _, k in learned}
+    docs = {k: {} for k in size}
+    for t, k in learned:
+        for gram in set(plain_grams(t)):
+            docs[k][gram] = docs[k].get(gram, 0) + 1
+    rate = {k: {g: n / size[k] for g, n in found.items() if n / size[k] >= lang.MIN_SHARE} for k, found in docs.items()}
+    most = {}
+    for found in rate.values():
+        for gram, x in found.items():
+            most[gram] = max(x, most.get(gram, 0))
+    kept = {k: {g for g, x in found.items() if x >= lang.LIKE * most[g]} for k, found in rate.items()}
+    got = {r.doc_id: r for r in lang.predict_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    apart = 0
+    for i, t, _ in rows:
+        grams = list(plain_grams(t or ""))
+        hits = sorted(((sum(g in kept[k] for g in grams), k) for k in kept), reverse=True)
+        (top, best), (second, _) = hits[:2]
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].coverage) == ("und", 0.0, 0.0)
+            continue
+        near = 0.01 * len(grams) + 1.5  # one false positive counts a little over 1
+        if top - second > 2 * near:
+            apart += 1
+            assert got[i].lang_pred == best, (i, t)
+        assert abs(got[i].coverage - top / len(grams)) <= near / len(grams) + 0.01, (i, t)
+        if top > 4 * near:
+            assert abs(got[i].score - 1 / (1 + (second / top) ** 4)) <= 0.05, (i, t)
+    assert apart > 150  # of about 180 texts that are not in the language with a twin
+
+
 def test_long_texts_are_read_in_slices(monkeypatch):
     """Language, fingerprints, shingles, words and token ids are the same whatever the slices are."""
     from docloom.llm import common
@@ -253,11 +302,13 @@ ODD = ["It's the Café's ñ test", "can't WON'T I'LL x'd", "123 4_5 __a__ a1b2"
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
-    own, whole = tokens.Encoder(tokens.tokenizer_path()), Tokenizer.from_file(tokens.tokenizer_path())
+    own, tiny, whole = tokens.Encoder(tokens.tokenizer_path()), tokens.Encoder(tokens.tokenizer_path(), 4), Tokenizer.from_file(tokens.tokenizer_path())
     rng = random.Random(0)
     kinds = "aAbZ09'_ \t\n.,!-éÉßñÑœ–’“ ́漢"
     for text in [*ODD, *["".join(rng.choice(kinds) for _ in range(40)) for _ in range(400)]]:
-        assert np.frombuffer(own(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own(text), "<u4").tolist() == ids and np.frombuffer(tiny(text), "<u4").tolist() == ids, repr(text)
+    assert len(tiny.known) <= 2 and len(tiny.known.older) <= 2
 
 
 def test_token_ids(spark):
