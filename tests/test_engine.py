@@ -141,7 +141,7 @@ def test_admission(spark):
 def test_streaming_admission_equals_batch(spark, tmp_path):
     from docloom.streaming.ratelimit import admit_stream
 
-    df = spark.createDataFrame([(i, "ab"[i % 2], i * 100_000) for i in range(300)], "id long, k string, us long").withColumn("ts", F.timestamp_micros("us"))
+    df = spark.createDataFrame([(i, "ab"[i % 2], i * 100_000) for i in range(300)], "id long, k string, us long").withColumn("ts", F.when(F.col("id") % 50 != 7, F.timestamp_micros("us")))  # some without a time
     for part in range(3):
         df.where((F.col("id") >= part * 100) & (F.col("id") < part * 100 + 100)).coalesce(1).write.parquet(f"{tmp_path}/in/part{part}")
     limits = dict(burst=(3, 1_000_000), minute=(25, 10_000_000))
