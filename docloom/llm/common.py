@@ -42,11 +42,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of a query that ends inside. Only for writes: each plans its query anew and has read all of it at its end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing of it."""
+    """df as a Parquet table in the shared folder: lineage ends here, and lost executors lose nothing of it. Its shuffle files go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,8 +83,7 @@ def clear(spark: SparkSession) -> None:
 
 
 def session_settings(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
-    """For an application over whole texts: lowers the session's Arrow batches to so many rows and bytes (a longer text alone), and has
-    Spark drop a query's shuffle files when it ends, as all that is read again is written as a table.
+    """For an application over whole texts: lowers the session's Arrow batches to so many rows and bytes (a longer text alone).
 
     The operators do not call this themselves, as it holds for all queries of the session; their Python code cuts what it gets
     into slices by bytes in any case."""
@@ -79,7 +93,6 @@ def session_settings(spark: SparkSession, rows: int = 1000, megabytes: int = 4)
         size = int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] if now else 0
         if size <= 0 or size > most:
             spark.conf.set(key, str(shown))
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def row_key(*columns: str) -> Column:

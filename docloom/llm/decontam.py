@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_key, slices, trimmed, word_slices, written
+from docloom.llm.common import release, row_key, slices, trimmed, word_slices, written
 
 SEED = 3
 RARE = 1e-8
@@ -203,10 +203,16 @@ def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
             at = np.flatnonzero(total)
             yield pd.DataFrame({"word": at, "n": total[at]})
 
+    # at most one row for each word of a block of items
+    table = written(docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    found = table.collect()
+    shared.destroy()
     out = np.zeros(items.size, dtype=np.int64)
-    for r in docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in found:
         out[r["word"]] = r["n"]
-    shared.destroy()
+    if out.sum() != (table.agg(F.sum("n")).head()[0] or 0):
+        raise RuntimeError("the counts of the items' words are not whole")
+    release(table)
     return out
 
 

@@ -98,7 +98,10 @@ def _cut(placed: DataFrame, budget: int, passes: int, packet: int) -> Row | None
     stream = copies.select(finish.alias("finish"), "_docloom_key", "source", words.alias("words"))
     dealt = written(stream.repartitionByRange(*_ORDER).withColumn("_docloom_part", F.spark_partition_id()), "stream")
     left, at = budget, None
-    for r in dealt.groupBy("_docloom_part").agg(F.sum("words").alias("n")).orderBy("_docloom_part").toLocalIterator():
+    parts = dealt.groupBy("_docloom_part").agg(F.sum("words").alias("n")).orderBy("_docloom_part").collect()  # a row for each partition
+    if sum(r["n"] for r in parts) != passes * (placed.agg(F.sum("size")).head()[0] or 0):
+        raise RuntimeError("the queue does not hold every word of every pass")
+    for r in parts:
         if left <= r["n"]:
             at = r["_docloom_part"]
             break

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import html_text, media, mixing, queries, sharding
+from docloom.llm import decontam, html_text, media, mixing, queries, sharding
 from tests.duck import connection, same
 
 SF = "/root/testdata/sf0.001"
@@ -372,3 +372,18 @@ def test_language_stage_without_labels_keeps_texts_with_a_letter(spark):
 
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate([*FOREIGN, "x", "1 2 3", "", None, "漢字"])], "doc_id long, text string, lang string")
     assert sorted((r.doc_id, r.lang) for r in p.language(spark, docs, "").collect()) == [(i, None) for i in (0, 1, 2, 3, 4, 8)]
+
+
+def test_no_query_leaves_the_shuffle_clean_up_on(spark):
+    """Written tables drop their shuffle files themselves; counts and cuts are whole each time, and the session's setting stays."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7} w{i % 11} gamma", f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    items = spark.createDataFrame([(1, "alpha beta w1 w2 gamma"), (2, "w3 w4 gamma alpha beta")], "item_id long, text string")
+    block = next(decontam._blocks(items))
+    first = decontam.word_counts(docs, block)
+    assert first.sum() > 0 and first[1] == 300  # "alpha" is the first word of the first item
+    for _ in range(5):
+        assert (decontam.word_counts(docs, block) == first).all()
+        assert mixing.mix_plan(docs).groupBy().agg({"taken": "sum"}).head()[0] == 300 * 5 * 3 // 2
+    assert spark.conf.get(key, None) == before
