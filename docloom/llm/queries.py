@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin calls over whole tables, and their SQL where SQL can say it."""
+"""The registered queries of the operators: thin calls over whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontam, html_text, lang, media, mixing, sharding, simhash, substrings, tokens, toxicity
+from docloom.llm import decontam, dialogue, divergence, html_text, lang, media, mixing, sharding, simhash, substrings, token_counts, tokens, toxicity
 from docloom.llm.common import session_settings
 
 
@@ -55,6 +55,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_decontamination": op2_decontamination,
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_html": op10_html,
+    "op11_dialogue": op11_dialogue,
+    "op12_divergence": op12_divergence,
+    "op13_token_counts": op13_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": mixing.MIX_SQL}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.MIX_SQL, "op11_dialogue": dialogue.REPAIR_SQL, "op12_divergence": divergence.DIVERGENCE_SQL}
