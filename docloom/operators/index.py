@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.buckets import BucketedTable
+
 
 def admitted(items: Column) -> Column:
     """K4: a list without nulls and empty strings; null if nothing is left."""
@@ -39,48 +41,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", by: list[str] | None
     return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(new)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-class VectorIndex:
-    """A table at `path`, versions in sub-folders; `current` names the live one, so a reader never sees half a write."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[int]:
-        fs, p = _fs(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
-        return sorted(v for v in done if fs.exists(_fs(self.spark, f"{self.path}/v{v}/_SUCCESS")[1]))
-
-    def exists(self) -> bool:
-        """V10"""
-        return bool(self.versions())
-
-    def read(self) -> DataFrame:
-        found = self.versions()
-        if not found:
-            raise FileNotFoundError(f"no index at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}")
-
-    def replace(self, df: DataFrame) -> None:
-        found = self.versions()
-        number = found[-1] + 1 if found else 0
-        df.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        for v in found[:-1]:
-            fs, p = _fs(self.spark, f"{self.path}/v{v}")
-            fs.delete(p, True)
-
-    def upsert(self, new: DataFrame, by: list[str] | None = None) -> None:
-        if self.exists():
-            self.replace(upsert(self.read(), new, by=by))
-        else:
-            self.replace(_settled(new, "id", by))
+class VectorIndex(BucketedTable):
+    """The vectors by id; an upsert rewrites the hash buckets that its ids fall into, and readers keep the version that they opened (docloom.operators.buckets)."""
+
+    def upsert(self, new: DataFrame, by: list[str] | None = None) -> dict:
+        """K3: settles repeats in new as `upsert` does and merges it in; returns the manifest of the new version."""
+        settled = _settled(new, self.key, by)
+        return self.merge(settled) if self.exists() else self.replace(settled)
+
+    def delete(self, ids: DataFrame) -> dict:
+        """Rows with an id of ids (id) go; only their buckets are rewritten."""
+        return self.merge(gone=ids.select(self.key).distinct())
 
     def clear(self, confirm: bool = False, namespace: str | None = None) -> int:
         """K5: empties the index, or one namespace; returns the vectors left. Nothing happens on an empty index."""

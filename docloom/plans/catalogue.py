@@ -416,17 +416,37 @@ def encoder_buckets(spark, sf_dir):
     return b.groupBy("item_id", F.col("x.bucket").alias("bucket")).agg(F.sum("x.sign").cast("bigint").alias("weight"))
 
 
-@query("""select vec_id as id, label + 100 as label, 'new' as version from embeddings where vec_id % 3 = 0
-union all select vec_id, label, 'old' from embeddings where vec_id % 3 <> 0 and vec_id % 5 <> 4
-union all select vec_id + 1000000, label, 'new' from embeddings where vec_id % 7 = 0""")
-def upsert_merge(spark, sf_dir):
-    """K3: repeats in the new rows, the last counts; replaced, kept and added ids."""
+_CHANGES_SQL = """select vec_id as id, label + 100 as label, 'new' as version, list_transform(embedding::double[], lambda x: -x) as embedding from embeddings where label < 3
+union all select vec_id, label, 'old', embedding::double[] from embeddings where label >= 3{kept}
+union all select vec_id + 1000000000, label, 'new', embedding::double[] from embeddings"""
+
+
+def _changes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The whole table as old rows; as new ones those of three labels, twice (the later one counts), and the whole table again under other ids."""
     e = table(spark, sf_dir, "embeddings")
-    rows = lambda df, i, label, v, seq: df.select(i.alias("id"), label.alias("label"), F.lit(v).alias("version"), F.lit(seq).alias("seq"))
-    old = rows(e.where("vec_id % 3 = 0 or vec_id % 5 <> 4"), F.col("vec_id"), F.col("label"), "old", 0).drop("seq")
-    third = e.where("vec_id % 3 = 0")
-    new = rows(third, F.col("vec_id"), F.col("label"), "stale", 1).union(rows(third, F.col("vec_id"), F.col("label") + 100, "new", 2)).union(rows(e.where("vec_id % 7 = 0"), F.col("vec_id") + 1000000, F.col("label"), "new", 3))
-    return index.upsert(old, new, by=["seq"])
+    vector = F.col("embedding").cast("array<double>")
+    rows = lambda df, i, label, v, seq, x: df.select(i.alias("id"), label.alias("label"), F.lit(v).alias("version"), x.alias("embedding"), F.lit(seq).alias("seq"))
+    old = rows(e, F.col("vec_id"), F.col("label"), "old", 0, vector).drop("seq")
+    three = e.where("label < 3")
+    stale, last = rows(three, F.col("vec_id"), F.col("label"), "stale", 1, vector), rows(three, F.col("vec_id"), F.col("label") + 100, "new", 2, F.transform(vector, lambda x: -x))
+    return old, stale.union(last).union(rows(e, F.col("vec_id") + 1000000000, F.col("label"), "new", 3, vector))
+
+
+@query(_CHANGES_SQL.format(kept=""))
+def upsert_merge(spark, sf_dir):
+    """K3 as a plan: repeats in the new rows, the last counts; replaced, kept and added ids, with their vectors."""
+    return index.upsert(*_changes(spark, sf_dir), by=["seq"])
+
+
+@query(_CHANGES_SQL.format(kept=" and label <> 9"))
+def index_upsert(spark, sf_dir):
+    """K3, K5, V2 on the bucketed index: made from the whole table, changed and added to, one label deleted; what is read is the last version."""
+    old, new = _changes(spark, sf_dir)
+    ix = index.VectorIndex(spark, scratch(spark, "index"))
+    ix.replace(old)
+    ix.upsert(new, by=["seq"])
+    ix.delete(old.where("label = 9").select("id"))
+    return ix.read()
 
 
 @query("""select text_md5, copies from (select md5(text) as text_md5, count(*) as copies from documents group by 1) where copies > 1""")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import catalog, chunk, crawl, download, html, index, quality, ratelimit, search
+from docloom.operators import buckets, catalog, chunk, crawl, download, html, index, quality, ratelimit, search
 from docloom.operators.encode import HashingEncoder, encode, self_test
 from docloom.sources import files
 
@@ -59,6 +59,56 @@ def test_upsert_and_index(spark, tmp_path):
     assert ix.clear(confirm=True) == 0 and ix.clear() == 0
 
 
+def test_an_upsert_writes_what_it_touches(spark, tmp_path):
+    """Bytes written grow with the new rows and not with the table; keys are looked up in their own buckets."""
+    vectors = lambda lo, hi, v: spark.range(lo, hi).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: (F.hash("id", x) % 1000 + v).cast("float")).alias("embedding"), F.lit(v).alias("v"))
+    ix = index.VectorIndex(spark, f"file://{tmp_path}/ix", buckets=32)
+    whole = ix.replace(vectors(0, 4000, 0))
+    one, few = ix.upsert(vectors(5, 6, 1)), ix.upsert(vectors(10, 14, 2))
+    assert whole["buckets_written"] == 32 and one["buckets_written"] == 1 and 1 < few["buckets_written"] <= 4
+    assert one["bytes_written"] < whole["bytes_written"] / 16 and one["bytes_written"] < few["bytes_written"] < whole["bytes_written"] / 4
+    assert {r.v: r.n for r in ix.read().groupBy("v").agg(F.count("*").alias("n")).collect()} == {0: 3995, 1: 1, 2: 4}
+    assert [(r.id, r.v) for r in ix.get([5, 12, 9999]).orderBy("id").collect()] == [(5, 1), (12, 2)]
+    assert 1 < len({f.rsplit("/", 1)[0] for f in ix.read().inputFiles()}) and len({f.rsplit("/", 1)[0] for f in ix.get([5]).inputFiles()}) == 1
+    again = ix.rebucket(4)
+    assert again["buckets"] == 4 and ix.read().count() == 4000
+
+
+def test_readers_and_writers_of_an_index(spark, tmp_path):
+    """A reader keeps its version, of two writers from one version one must run again, a dead writer leaves nothing visible, deletions and empty buckets."""
+    rows = lambda *ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    ix = index.VectorIndex(spark, f"file://{tmp_path}/ix", buckets=8)
+    ix.replace(rows(1, 2, 3))
+    opened = ix.read()
+    other = index.VectorIndex(spark, f"file://{tmp_path}/ix")
+    publish = ix._publish
+
+    def late(*a, **b):
+        other.upsert(rows(50))  # another writer is faster
+        assert ids(other.read()) == [1, 2, 3, 50]
+        return publish(*a, **b)
+
+    ix._publish = late
+    with pytest.raises(buckets.ConcurrentWrite):
+        ix.upsert(rows(60))
+    ix._publish = publish
+    assert ids(ix.read()) == [1, 2, 3, 50] and ids(opened) == [1, 2, 3]
+    ix.upsert(rows(60))
+    ix.delete(rows(1, 2, 3, 50, 77))
+    assert ids(ix.read()) == [60] and ids(ix.read(0)) == [1, 2, 3] and ids(opened) == [1, 2, 3]
+    ix._publish = lambda *a, **b: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        ix.upsert(rows(80))
+    ix._publish = publish
+    assert ids(index.VectorIndex(spark, f"file://{tmp_path}/ix").read()) == [60]
+    assert ix.vacuum() > 0 and ids(ix.read()) == [60] and len(ix.versions()) == 1
+    ix.delete(rows(60))
+    assert ids(ix.read()) == [] and ids(ix.get([60])) == []
+    ix.upsert(rows(4, 4))
+    assert ids(ix.read()) == [4]
+
+
 def test_filter_language(spark):
     df = spark.createDataFrame([(i, i % 3, i % 2) for i in range(12)], "i int, a int, b int")
     ids = lambda spec: sorted(r.i for r in df.where(search.compile_filter(spec)).collect())
