@@ -45,24 +45,6 @@ def top_k(index: DataFrame, query: Sequence[float], k: int = 10, where: Column |
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), key)))
 
 
-def top_k_each(index: DataFrame, queries: DataFrame, k: int, by: list[str], key: str = "vec_id", vector: str = "embedding", block: int = 1000, folder: str | None = None) -> DataFrame:
-    """V9 for many queries: the k best rows for each query and group. queries (query_id, query) meet all rows in blocks of about `block`,
-    each small enough to be sent out. With a shared folder, each of several blocks is a job of its own that writes its results there."""
-    n = max(1, -(-queries.count() // block))
-    blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else queries for i in range(n)]
-    w = Window.partitionBy("query_id", *by).orderBy(F.col("score").desc(), key)
-
-    def best(part: DataFrame) -> DataFrame:
-        pairs = index.join(F.broadcast(part), how="cross").withColumn("score", dot(F.col(vector), F.col("query")))
-        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("query", vector)
-
-    if folder is None or n == 1:
-        return reduce(DataFrame.unionByName, [best(p) for p in blocks])
-    for p in blocks:
-        best(p).write.mode("append").parquet(folder)
-    return index.sparkSession.read.parquet(folder)
-
-
 def resolve_alias(name: str, aliases: dict = ALIASES) -> str:
     """V6: by upper case, else as written, else unchanged."""
     return aliases.get(name.upper(), aliases.get(name, name))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import catalog, chunk, crawl, download, html, index, lines, quality, ratelimit, search, segment
+from docloom.operators import ann, catalog, chunk, crawl, download, html, index, lines, quality, ratelimit, search, segment
 from docloom.operators.encode import HashingEncoder, word_buckets
 from docloom.plans import pipeline
 from docloom.sources import files
@@ -52,6 +52,12 @@ def _vector(spark, sf_dir, vec_id: int):
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").head()[0]
 
 
+def _twentieth(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All rows, and as queries every row whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings")
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 def _best(found: DataFrame, *more: str) -> DataFrame:
     return found.select("rank", "vec_id", "label", *more, F.round("score", 6).alias("score"))
 
@@ -87,10 +93,9 @@ def vector_filter_language(spark, sf_dir):
   round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score
 from embeddings e, embeddings q where q.vec_id % 20 = 0) where rank <= 3""")
 def vector_topk_per_group(spark, sf_dir):
-    """V9 for every twentieth row and every label, as one plan; the form below writes each block of queries."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    found = search.top_k_each(e, queries, 3, ["label"])
+    """V9 for every twentieth row and every label: products of matrices in tasks, a heap for each query and label, one small shuffle."""
+    e, queries = _twentieth(spark, sf_dir)
+    found = ann.top_k_each(e, queries, 3, ["label"], scratch(spark, "topk"))
     return found.select("query_id", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -99,10 +104,37 @@ def vector_topk_per_group(spark, sf_dir):
   round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score
 from embeddings e, embeddings q where q.vec_id % 20 = 0) where rank <= 3""")
 def vector_topk_per_group_many(spark, sf_dir):
-    """V9 for every twentieth row and every label; the queries grow with the table."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    found = search.top_k_each(e, queries, 3, ["label"], folder=scratch(spark, "topk"))
+    """The same with small blocks of queries (64 KB of vectors), a scan of the index for each."""
+    e, queries = _twentieth(spark, sf_dir)
+    found = ann.top_k_each(e, queries, 3, ["label"], scratch(spark, "topk"), block=1 << 16)
+    return found.select("query_id", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+#: Rows that their codes choose in each list for each query of the approximate index.
+RERANKED = 16
+
+
+def _lists(spark, sf_dir) -> ann.ListIndex:
+    return ann.ListIndex.build(table(spark, sf_dir, "embeddings"), scratch(spark, "lists"))
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """The ten nearest rows for every twentieth row from inverted lists with product-quantised residuals, with exact scores."""
+    _, queries = _twentieth(spark, sf_dir)
+    ix = _lists(spark, sf_dir)
+    found = ix.search(queries, 10, scratch(spark, "ann"), probe=ix.probe, rerank=RERANKED)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("""select query_id, label, vec_id, cast(rank as int) as rank, score from (select q.vec_id as query_id, e.label, e.vec_id,
+  row_number() over (partition by q.vec_id, e.label order by list_inner_product(e.embedding::double[], q.embedding::double[]) desc, e.vec_id) as rank,
+  round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score
+from embeddings e, embeddings q where q.vec_id % 20 = 0) where rank <= 3""")
+def ann_topk_exact(spark, sf_dir):
+    """The exact way through the same lists: all are probed, no codes; so every row is in its list."""
+    _, queries = _twentieth(spark, sf_dir)
+    found = _lists(spark, sf_dir).search(queries, 3, scratch(spark, "ann"), by=("label",))
     return found.select("query_id", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
