@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.tables import written
+
 BURST, MINUTE = (60, 1_000_000), (300, 60_000_000)
 
 
@@ -14,7 +16,7 @@ def limited(path: Column, method: Column) -> Column:
 
 
 class Counters:
-    """The two counters of one key: (window start or -1, hits) each. Shared by the batch and the streaming form."""
+    """The two counters of one key: (window start or -1, hits) each. The streaming form's state; the batch form is held against it."""
 
     def __init__(self, burst=BURST, minute=MINUTE, state: tuple[int, int, int, int] = (-1, 0, -1, 0)):
         self.burst, self.minute, self.state = burst, minute, state
@@ -34,33 +36,90 @@ class Counters:
         return True, 0, self.minute[0] - mc
 
 
+#: Doublings in one plan before the pointers are written.
+DOUBLINGS = 4
+
+
+def _bucket(us: str, length: int) -> Column:
+    """The time divided by the length, rounded down, in integers."""
+    return F.expr(f"({us} - pmod({us}, {length}L)) div {length}L")
+
+
+def _next(nodes: DataFrame, length: int) -> DataFrame:
+    """nodes (k, us), distinct -> (k, us, nxt): the first of the key's times at or past us + length; times without one have no row.
+
+    A time's successor is sought in the next bucket of one window's length, else it is the first time of the next bucket that has any. Buckets are the tasks' unit, so
+    a key with most requests is dealt out; what is windowed by key alone is a row for every 1,024 buckets."""
+    size = F.lit(length)
+    b = nodes.withColumn("b", _bucket("us", length))
+    times = b.select("k", "b", F.col("us").alias("t"), F.lit(None).cast("long").alias("us"))
+    asked = b.select("k", (F.col("b") + 1).alias("b"), (F.col("us") + size).alias("t"), "us")
+    # seen from the latest: the last time before a question is the nearest one at or past it
+    seen = Window.partitionBy("k", "b").orderBy(F.col("t").desc(), F.col("us").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    near = times.unionByName(asked).withColumn("near", F.last(F.when(F.col("us").isNull(), F.col("t")), ignorenulls=True).over(seen)).where("us is not null").select("k", "b", "us", "near")
+    first = b.groupBy("k", "b").agg(F.min("us").alias("first")).withColumn("many", F.floor(F.col("b") / 1024))
+    many = first.groupBy("k", "many").agg(F.min("first").alias("far")).withColumn("far", F.lead("far").over(Window.partitionBy("k").orderBy("many")))
+    after = first.withColumn("after", F.lead("first").over(Window.partitionBy("k", "many").orderBy("b")))
+    after = after.join(many.toDF("k2", "m2", "far"), F.expr("k <=> k2 and many = m2")).select(F.col("k").alias("k2"), F.col("b").alias("b2"), F.coalesce("after", "far").alias("after"), "first")
+    # the question stands in bucket b: of its own bucket nothing was left, so the bucket of its time (b - 1) knows the next one that has any after b
+    out = near.join(after, F.expr("k <=> k2 and b - 1 = b2"))
+    beyond = after.toDF("k3", "b3", "beyond", "first3")
+    out = out.join(beyond, F.expr("k <=> k3 and b = b3"), "left")
+    return out.select("k", "us", F.coalesce("near", F.when(F.col("b3").isNotNull(), F.col("beyond")).otherwise(F.col("after"))).alias("nxt")).where("nxt is not null")
+
+
+def window_starts(times: DataFrame, length: int) -> DataFrame:
+    """times (k, us) -> (k, start): the starts of each key's windows, the first time and then always the first one at or past the last window's end.
+
+    Pointer doubling: with the pointers 2^j windows on, what is reached in 2^j steps becomes what is reached in 2^(j+1), and the pointers are joined
+    to themselves. So rounds grow with the logarithm of the windows of a key, and every join is by key and time."""
+    nodes = written(times.distinct(), "times")
+    jump, reached = written(_next(nodes, length), "jump"), nodes.groupBy("k").agg(F.min("us").alias("us"))
+    n, before = reached.count(), -1
+    while n != before:
+        for _ in range(DOUBLINGS):
+            to = jump.toDF("k2", "us2", "nxt2")
+            reached = reached.unionByName(reached.join(to, F.expr("k <=> k2 and us = us2")).select("k", F.col("nxt2").alias("us")))
+            jump = jump.join(to, F.expr("k <=> k2 and nxt = us2")).select("k", "us", F.col("nxt2").alias("nxt"))
+        before, reached, jump = n, written(reached, "reached"), written(jump, "jump")
+        n = reached.count()
+    return reached.select("k", F.col("us").alias("start"))
+
+
+def counted(rows: DataFrame, length: int, start: str, count: str) -> DataFrame:
+    """rows (k, us, id, ...) with the start of their window and their number in it. Starts are at least a window apart, so a bucket of that length holds one at
+    most, and a row's is in its own bucket or the one before."""
+    starts = written(window_starts(rows.select("k", "us"), length).withColumn("b", _bucket("start", length)), "starts")
+    r = rows.withColumn("b", _bucket("us", length))
+    own, before = starts.toDF("k2", "s2", "b2"), starts.toDF("k3", "s3", "b3")
+    r = r.join(own, F.expr("k <=> k2 and b = b2"), "left").join(before, F.expr("k <=> k3 and b - 1 = b3"), "left")
+    r = r.withColumn(start, F.when(F.col("s2") <= F.col("us"), F.col("s2")).otherwise(F.col("s3"))).drop("b", "k2", "s2", "b2", "k3", "s3", "b3")
+    return r.withColumn(count, F.row_number().over(Window.partitionBy("k", start).orderBy("us", "id")))
+
+
 def admit(requests: DataFrame, key: str, ts: str, order: str, burst: tuple[int, int] = BURST, minute: tuple[int, int] = MINUTE) -> DataFrame:
     """(rate_key, id, allowed, retry_after, remaining). Windows start at a key's first request, and end after their length
     in microseconds; both are (limit, length).
 
     R5: what cannot be counted is let in: a request without a time passes and leaves the counters as they are.
     Over the burst limit a request is denied for 1 s and the minute's counter stays; over the minute's limit it is denied until that
-    window ends. Event time decides, ties by `order`. Rows are dealt by key, sorted, and read as a stream, so a key with many requests
-    needs no more memory than others."""
+    window ends. Event time decides, ties by `order`. The burst's windows do not depend on the minute's, so two passes of `counted` give all
+    decisions: one over all requests, one over those that the burst lets through. A key's windows are dealt out over tasks; none holds a key."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = requests.select(F.col(key).cast("string").alias("rate_key"), us.isNull().alias("no_time"), F.coalesce(us, F.lit(0)).alias("us"), F.col(order).cast("long").alias("id"))
-
-    def run(batches):
-        import pandas as pd
-
-        now, counters = None, None
-        for pdf in batches:
-            out = []
-            for k, lost, t, i in zip(pdf["rate_key"], pdf["no_time"], pdf["us"], pdf["id"]):
-                if lost:
-                    out.append((k, i, True, 0, minute[0]))
-                    continue
-                if counters is None or k != now:
-                    now, counters = k, Counters(burst, minute)
-                out.append((k, i, *counters.hit(int(t))))
-            yield pd.DataFrame(out, columns=["rate_key", "id", "allowed", "retry_after", "remaining"])
-
-    return rows.repartition("rate_key").sortWithinPartitions("rate_key", "us", "id").mapInPandas(run, "rate_key string, id long, allowed boolean, retry_after int, remaining int")
+    rows = written(requests.select(F.col(key).cast("string").alias("k"), us.alias("us"), F.col(order).cast("long").alias("id")), "requests")
+    first = written(counted(rows.where("us is not null"), burst[1], "bs", "bc"), "burst")
+    through = written(counted(first.where(F.col("bc") <= burst[0]), minute[1], "ms", "mc"), "minute")
+    wait = F.greatest(F.lit(1), F.ceil((F.col("ms") + F.lit(minute[1]) - F.col("us")) / 1_000_000))
+    over, left = F.col("mc") > minute[0], lambda n: F.greatest(F.lit(minute[0]) - n, F.lit(0))
+    passed = through.select("k", "id", (~over).alias("allowed"), F.when(over, wait).otherwise(0).alias("retry_after"), left(F.col("mc")).alias("remaining"))
+    # a burst's denied requests see the minute's counter as its last counted request left it
+    last = through.where(F.col("bc") == burst[0]).select(F.col("k").alias("k2"), F.col("bs").alias("bs2"), "ms", "mc")
+    denied = first.where(F.col("bc") > burst[0]).join(last, F.expr("k <=> k2 and bs = bs2"), "left")
+    fresh = F.col("ms").isNull() | (F.col("us") >= F.col("ms") + F.lit(minute[1]))
+    denied = denied.select("k", "id", F.lit(False).alias("allowed"), F.lit(1).alias("retry_after"), left(F.when(fresh, 0).otherwise(F.col("mc"))).alias("remaining"))
+    lost = rows.where("us is null").select("k", "id", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"), F.lit(minute[0]).alias("remaining"))
+    every = passed.unionByName(denied).unionByName(lost)
+    return every.select(F.col("k").alias("rate_key"), "id", "allowed", F.col("retry_after").cast("int").alias("retry_after"), F.col("remaining").cast("int").alias("remaining"))
 
 
 def denial(decisions: DataFrame, minute_limit: int = MINUTE[0], burst_limit: int = BURST[0]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import ann, catalog, chunk, crawl, download, html, index, lines, quality, ratelimit, search, segment
 from docloom.operators.encode import HashingEncoder, word_buckets
+from docloom.operators.tables import scratch
 from docloom.plans import pipeline
 from docloom.sources import files
 
@@ -33,16 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return f"{root.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
-
-
 # ---- search -------------------------------------------------------------------------------------------------------------------
 
 DOT = "round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6)"

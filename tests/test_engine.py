@@ -204,6 +204,28 @@ def test_streaming_admission_equals_batch(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("admitted").collect()) == want
 
 
+def test_admission_of_a_hot_key(spark):
+    """Bursts, quiet spells and ties, one key with most requests and a null key: each decision is that of counters that see the requests one by one."""
+    import random
+
+    rnd, rows, now = random.Random(6), [], 0
+    for i in range(4000):
+        now += rnd.choice([0, 0, 1, 30, 1000, 30_000]) if rnd.random() < 0.995 else rnd.choice([400_000, 5_000_000, 900_000_000])
+        rows.append(("hot", now, i))
+    rows += [(k, rnd.randrange(4_000_000), 10_000 + i) for i, k in enumerate(["cold", "cool", None] * 200)]
+    burst, minute = (5, 50_000), (40, 1_000_000)
+    df = spark.createDataFrame(rows, "k string, us long, id long").select("k", F.timestamp_micros("us").alias("ts"), "id").repartition(6)
+    got = {r["id"]: (r["rate_key"], r["allowed"], r["retry_after"], r["remaining"]) for r in ratelimit.admit(df, "k", "ts", "id", burst, minute).collect()}
+    counters, want = {}, {}
+    for k, us, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i] = (k, *counters.setdefault(k, ratelimit.Counters(burst, minute)).hit(us))
+    assert got == want and {v[1] for v in want.values()} == {True, False} and {v[2] for v in want.values()} >= {0, 1}
+    plan = ratelimit.admit(df, "k", "ts", "id", burst, minute)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    none = spark.createDataFrame([], "k string, ts timestamp, id long")
+    assert ratelimit.admit(none, "k", "ts", "id").collect() == []
+
+
 def test_routes_and_keys(spark):
     rows = [("/health", "GET", False), ("/sse", "POST", False), ("/mcp", "GET", False), ("/mcp/x", "POST", True), ("/", "GET", True), ("/other", "POST", False)]
     df = spark.createDataFrame(rows, "p string, m string, want boolean")
