@@ -292,35 +292,11 @@ def chunk_counters(spark, sf_dir):
     return chunk.counters(_hier(spark, sf_dir))
 
 
-@query()
-def semantic_chunk_records(spark, sf_dir):
-    """Ids, contents and metadata of whole texts."""
-    return chunk.semantic_chunks(_segments(spark, sf_dir))
-
-
 def _segments(spark, sf_dir) -> DataFrame:
     """Whole documents as hierarchical chunks by the parser's rules; _hier above deals lines out by place, as SQL can."""
     return segment.page_segments(lines.typed_lines(pipeline.lines_of_documents(table(spark, sf_dir, "documents"))))
 
 
-@query()
-def context_build_whole(spark, sf_dir):
-    """C4 on whole texts."""
-    return _segments(spark, sf_dir).select("product_id", "chunk_no", chunk.context().alias("c")).select("product_id", "chunk_no", F.md5("c").alias("content_md5"), F.length("c").alias("n"))
-
-
-@query()
-def chunk_ordinals_whole(spark, sf_dir):
-    """C7 on whole texts: numbered before the filter."""
-    return chunk.with_ordinal(_segments(spark, sf_dir)).withColumn("content", chunk.context()).where(F.length("content") >= 20).select("product_id", "chunk_no", "ordinal")
-
-
-@query()
-def chunk_counters_whole(spark, sf_dir):
-    """A7 on whole texts."""
-    return chunk.counters(_segments(spark, sf_dir))
-
-
 # ---- pages, lines, segments ---------------------------------------------------------------------------------------------------
 
 
@@ -353,6 +329,75 @@ typed as (select *, case when regexp_full_match(text, '[0-9]+') or text = 'Help
   when bold and size >= 11.5 then 'topic' when bold and size >= 10.0 then 'section' when bold and size >= 9.0 then 'subheader' else 'body' end as line_type from y)"""
 
 
+_WHOLE_SQL = _TYPED_SQL + """,
+a as (select *, sum(case when line_type in ('topic', 'section', 'subheader') then 1 else 0 end) over w as run,
+  last_value(case when line_type <> 'body' then line_type end ignore nulls) over (partition by product_id, page order by line_no rows between unbounded preceding and 1 preceding) as prev,
+  sum(case when line_type = 'hint' then 1 else 0 end) over w as hint_no from typed window w as (partition by product_id, page order by line_no)),
+b as (select *, case when line_type <> 'body' then line_type when prev = 'hint' then 'in_hint' when prev = 'related' then 'in_related' else 'plain' end as kind from a),
+one_hint as (select product_id, page, run, hint_no, string_agg(text, ' ' order by line_no) as hint from b where kind = 'in_hint' group by all),
+hint_lists as (select product_id, page, run, list(hint order by hint_no) as hints from one_hint group by all),
+runs0 as (select product_id, page, run, max(case when line_type in ('topic', 'section', 'subheader') then line_type end) as type,
+  max(case when line_type in ('topic', 'section', 'subheader') then text end) as title, coalesce(list(text order by line_no) filter (where kind = 'plain'), []) as body,
+  coalesce(list(text order by line_no) filter (where kind = 'footnote'), []) as footnotes,
+  coalesce(list(text order by line_no) filter (where kind = 'in_related' and not starts_with(text, 'TP') and not contains(text, 'Copyright')), []) as related from b group by all),
+runs1 as (select r.*, coalesce(h.hints, []) as hints, case when r.run = 0 then list_filter(range(1, len(r.body) + 1), lambda i: length(r.body[i]) >= 20)[1] end as o from runs0 r left join hint_lists h using (product_id, page, run)),
+runs2 as (select *, body[o] as t, string_split(body[o], '.')[1] as sentence, lead(type) over w as nxt, sum(case when type = 'topic' then 1 else 0 end) over w as seg from runs1 window w as (partition by product_id, page order by run)),
+runs3 as (select *, case when run > 0 then title when length(sentence) > 50 then regexp_replace(substr(sentence, 1, 50), '^\\s+|\\s+$', '', 'g') || '...' else regexp_replace(sentence, '^\\s+|\\s+$', '', 'g') end as name from runs2),
+runs4 as (select *, case when run > 0 then array_to_string(body, ' ') else array_to_string(list_concat(case when contains(t, '.') then [substr(t, length(sentence) + 1)] else [] end,
+  case when name = '' then list_filter(body[o + 1:], lambda x: length(x) >= 20) else body[o + 1:] end), ' ') end as content from runs3),
+whole0 as (select *, last_value(case when type = 'topic' then struct_pack(t := name, b := content) end ignore nulls) over so_far as topic,
+  last_value(case when type = 'section' then struct_pack(t := name, b := content) end ignore nulls) over so_far as section, flatten(list(related) over (partition by product_id, page, seg order by run rows between unbounded preceding and unbounded following)) as related_topics
+  from runs4 window so_far as (partition by product_id, page, seg order by run rows unbounded preceding)),
+whole as (select product_id, cast(row_number() over (partition by product_id order by page, run) - 1 as int) as chunk_no, page as page_start, page as page_end, coalesce(topic.t, '') as topic_title,
+  trim(regexp_replace(coalesce(topic.b, ''), '\\s+', ' ', 'g')) as topic_body, case when type = 'topic' then '' else coalesce(section.t, '') end as section_title,
+  case when type = 'topic' then '' else trim(regexp_replace(coalesce(section.b, ''), '\\s+', ' ', 'g')) end as section_body,
+  case when type is null or type = 'subheader' then name else '' end as subheader_title, case when type is null or type = 'subheader' then trim(regexp_replace(content, '\\s+', ' ', 'g')) else '' end as subheader_body,
+  footnotes, hints, related_topics, run = 0 as orphan from whole0
+  where case when run = 0 then o is not null and (name <> '' or nxt is null or nxt = 'section') when type = 'topic' then nxt is null or nxt = 'topic' when type = 'section' then nxt is null or nxt = 'section' or (nxt = 'topic' and seg > 0) else true end)"""
+_WHOLE_CONTENT_SQL = _WHOLE_SQL + """,
+said as (select *, concat_ws(chr(10) || chr(10), nullif(concat_ws(' > ', nullif(topic_title, ''), nullif(section_title, ''), nullif(subheader_title, '')), ''),
+  nullif(concat_ws(chr(10) || chr(10), nullif(topic_body, ''), nullif(section_body, ''), nullif(subheader_body, '')), ''),
+  case when len(hints) > 0 then array_to_string(list_transform(hints, lambda x: 'Hint: ' || x), chr(10)) end,
+  case when len(related_topics) > 0 then 'Related Topics: ' || array_to_string(related_topics, ', ') end,
+  case when len(footnotes) > 0 then array_to_string(list_transform(footnotes, lambda x: 'Note: ' || x), chr(10)) end) as said from whole),
+good as (select *, regexp_replace(said, '^\\s+|\\s+$', '', 'g') as seen, cast(row_number() over (partition by product_id order by page_start, chunk_no) - 1 as int) as ordinal from said),
+judged as (select *, length(seen) >= 20 and length(regexp_replace(seen, '[^\\p{L}\\p{N}]', '', 'g')) / length(seen) >= 0.3
+  and not (regexp_matches(seen, 'Help Guide|Copyright|Sony Corporation|All rights reserved') and length(seen) < 100) as good from good)"""
+
+
+@query(_WHOLE_CONTENT_SQL + " select product_id, chunk_no, md5(said) as content_md5, cast(length(said) as int) as n from said")
+def context_build_whole(spark, sf_dir):
+    """C4 on whole texts."""
+    return _segments(spark, sf_dir).select("product_id", "chunk_no", chunk.context().alias("c")).select("product_id", "chunk_no", F.md5("c").alias("content_md5"), F.length("c").alias("n"))
+
+
+@query(_WHOLE_CONTENT_SQL + " select product_id, chunk_no, ordinal from good where length(said) >= 20")
+def chunk_ordinals_whole(spark, sf_dir):
+    """C7 on whole texts: numbered before the filter."""
+    return chunk.with_ordinal(_segments(spark, sf_dir)).withColumn("content", chunk.context()).where(F.length("content") >= 20).select("product_id", "chunk_no", "ordinal")
+
+
+@query(_WHOLE_CONTENT_SQL + " select count(distinct product_id) as products, cast(sum(good::int) as bigint) as kept, cast(sum((not good)::int) as bigint) as skipped from judged")
+def chunk_counters_whole(spark, sf_dir):
+    """A7 on whole texts."""
+    return chunk.counters(_segments(spark, sf_dir))
+
+
+_PACKED_SQL = _WHOLE_CONTENT_SQL.replace("with r as", "with recursive r as", 1) + """,
+k as (select *, string_split(said, chr(10) || chr(10)) as paras from judged where good),
+p as (select product_id, chunk_no, unnest(paras) as para, unnest(range(1, len(paras) + 1)) as rn from k where length(said) // 4 > 500),
+packs as (select product_id, chunk_no, rn, 0 as piece, [para] as cur, length(para) // 4 as tok from p where rn = 1
+  union all
+  select s.product_id, s.chunk_no, p.rn, case when s.tok + length(p.para) // 4 > 500 then s.piece + 1 else s.piece end,
+    case when s.tok + length(p.para) // 4 > 500 then (case when length(s.cur[-1]) // 4 < 100 then [s.cur[-1], p.para] else [p.para] end) else list_append(s.cur, p.para) end,
+    case when s.tok + length(p.para) // 4 > 500 then (case when length(s.cur[-1]) // 4 < 100 then length(s.cur[-1]) // 4 else 0 end) + length(p.para) // 4 else s.tok + length(p.para) // 4 end
+  from packs s join p on p.product_id = s.product_id and p.chunk_no = s.chunk_no and p.rn = s.rn + 1),
+pieces as (select product_id, chunk_no, piece, array_to_string(arg_max(cur, rn), chr(10) || chr(10)) as content from packs group by all
+  union all select product_id, chunk_no, 0, said from k where length(said) // 4 <= 500)
+select k.product_id || '_p' || k.page_start || '_c' || (k.ordinal + x.piece) || '_' || substr(md5(x.content), 1, 8) as id, x.content, k.product_id, '' as help_guide_url, k.page_start, k.page_end, k.topic_title, k.topic_body,
+  k.section_title, k.section_body, k.subheader_title, k.subheader_body, k.hints, k.related_topics, k.footnotes, 'help_guide' as type, 'camera_help_guide_pdf' as source from pieces x join k using (product_id, chunk_no)"""
+
+
 @query(_TYPED_SQL + " select product_id, page, line_no, line_type from typed")
 def line_types(spark, sf_dir):
     """P3, P4"""
@@ -408,13 +453,18 @@ def parser_quality(spark, sf_dir):
     return quality.quality_metrics(s).select("total_chunks", "incomplete_chunks", "empty_chunks", F.round("incomplete_percentage", 6).alias("incomplete_percentage"), "page_coverage", "quality_pass")
 
 
-@query()
+@query(_WHOLE_SQL + """, q as (select *, topic_title || section_title || subheader_title <> '' as titled, topic_body || section_body || subheader_body <> '' as bodied,
+  coalesce(nullif(subheader_body, ''), nullif(section_body, ''), topic_body) as first_body from whole),
+m as (select count(*) as total_chunks, cast(coalesce(sum((titled and not bodied)::int), 0) as bigint) as incomplete_chunks, cast(coalesce(sum((not titled and not bodied)::int), 0) as bigint) as empty_chunks,
+  coalesce(avg(length(first_body)) filter (where first_body <> ''), 0.0) as avg_body_length, cast(coalesce(sum(contains(subheader_title, 'FileMaximum')::int), 0) as bigint) as file_maximum_artifacts,
+  cast(coalesce(sum((contains(subheader_title, 'Mode dialDescription') or contains(subheader_title, 'Mode dialExposure'))::int), 0) as bigint) as mode_dial_artifacts, count(distinct page_start) as page_coverage from q)
+select *, incomplete_chunks / total_chunks * 100 as incomplete_percentage, empty_chunks / total_chunks * 100 as empty_percentage, incomplete_chunks / total_chunks * 100 < 5.0 and empty_chunks / total_chunks * 100 < 1.0 as quality_pass from m""")
 def parser_quality_all(spark, sf_dir):
     """A4 on all segments, orphans too, with all columns."""
     return quality.quality_metrics(_segments(spark, sf_dir))
 
 
-@query()
+@query(_WHOLE_SQL + " select * from whole")
 def page_segments_all(spark, sf_dir):
     """P5-P10 with the orphans' own title and body, and which segments are orphans."""
     return _segments(spark, sf_dir)
@@ -426,6 +476,12 @@ def quality_report(spark, sf_dir):
     return quality.report(segment.page_segments(lines.typed_lines(pipeline.lines_of_documents(table(spark, sf_dir, "documents")))))
 
 
+@query(_PACKED_SQL)
+def semantic_chunk_records(spark, sf_dir):
+    """Ids, contents and the fields of the metadata, of whole texts."""
+    return chunk.semantic_chunks(_segments(spark, sf_dir)).select("id", "content", "metadata.*")
+
+
 # ---- vectors ------------------------------------------------------------------------------------------------------------------
 
 
@@ -581,7 +637,7 @@ def pdf_links(spark, sf_dir):
 _BURST, _MINUTE = (3, 3_600_000_000), (10, 21_600_000_000)
 
 
-@query("""with recursive q as (select event_type as k, event_id as id, epoch_us(ts) as us, row_number() over (partition by event_type order by ts, event_id) as rn from events),
+_ADMITTED_SQL = """with recursive q as (select event_type as k, event_id as id, epoch_us(ts) as us, row_number() over (partition by event_type order by ts, event_id) as rn from events),
 s as (select k, id, rn, us as bs, 1::bigint as bc, us as ms, 1::bigint as mc, true as allowed, 0::bigint as retry_after, 9::bigint as remaining from q where rn = 1
   union all
   select k, id, rn, bs2, bc2, case when bc2 > 3 then ms else ms2 end, case when bc2 > 3 then mc else mc2 end, bc2 <= 3 and mc2 <= 10,
@@ -590,7 +646,10 @@ s as (select k, id, rn, us as bs, 1::bigint as bc, us as ms, 1::bigint as mc, tr
   from (select s.k, q.id, q.rn, q.us, s.ms, s.mc, q.us >= s.ms + 21600000000 as fresh,
       case when q.us >= s.bs + 3600000000 then q.us else s.bs end as bs2, case when q.us >= s.bs + 3600000000 then 1 else s.bc + 1 end as bc2,
       case when q.us >= s.ms + 21600000000 then q.us else s.ms end as ms2, case when q.us >= s.ms + 21600000000 then 1 else s.mc + 1 end as mc2
-    from s join q on q.k = s.k and q.rn = s.rn + 1))
+    from s join q on q.k = s.k and q.rn = s.rn + 1))"""
+
+
+@query(_ADMITTED_SQL + """
 select k as rate_key, id, allowed, cast(retry_after as int) as retry_after, cast(remaining as int) as remaining from s""")
 def rate_limit_anchored(spark, sf_dir):
     """Both counters; one and six hours stand in for a second and a minute, as events are sparse."""
@@ -618,7 +677,8 @@ def request_routing(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", ratelimit.limited(path, method).alias("limited"))
 
 
-@query()
+@query(_ADMITTED_SQL + """
+select k as rate_key, id, cast(retry_after as int) as retry_after, 429 as status, case when retry_after = 1 then 'per-second burst' else 'per-minute' end as limit_type, case when retry_after = 1 then 3 else 10 end as "limit", 0 as remaining from s where not allowed""")
 def rate_limit_denials(spark, sf_dir):
     """R4"""
     return ratelimit.denial(ratelimit.admit(table(spark, sf_dir, "events"), "event_type", "ts", "event_id", _BURST, _MINUTE), _MINUTE[0], _BURST[0])
