@@ -204,6 +204,35 @@ def test_streaming_admission_equals_batch(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("admitted").collect()) == want
 
 
+def test_stale_connections_are_evicted(spark, tmp_path):
+    """Late, repeated and unordered beats, a beat that joins two sessions, and a restart from the checkpoint between all batches; as the rule says for all beats at once."""
+    from docloom.streaming.ratelimit import stale_connections
+
+    batches = [
+        [("a", 0), ("a", 4), ("b", 1), ("c", 2), (None, 3), ("d", 0)],
+        [("a", 14), ("a", 4), ("b", 12), ("d", 16)],  # a: exactly ten seconds on, and a repeat; b: eleven, so another session
+        [("d", 9), ("c", 26), ("e", None)],  # d: a late beat joins 0 and 16
+        [("z", 300)],  # all others are behind the watermark
+        [("a", 20), ("z", 301)],  # too late: left out
+        [("z", 900)],
+    ]
+    schema = "connection string, ts timestamp"
+    seen = []
+    for n, batch in enumerate(batches):
+        rows = spark.createDataFrame([(c, t) for c, t in batch], "connection string, s long").select("connection", F.timestamp_micros((F.col("s") + 1000) * 1_000_000).alias("ts"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in/part{n}")
+        stream = stale_connections(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), 10, "30 seconds")
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+        found = spark.read.parquet(f"{tmp_path}/out")
+        seen.append(found.count())
+    got = sorted((r.connection or "", r.o, r.e, r.beats) for r in found.select("connection", F.unix_micros("opened").alias("o"), F.unix_micros("evicted").alias("e"), "beats").collect())
+    second = 1_000_000
+    want = [("", 3, 13, 1), ("a", 0, 24, 4), ("b", 1, 11, 1), ("b", 12, 22, 1), ("c", 2, 12, 1), ("c", 26, 36, 1), ("d", 0, 26, 3), ("z", 300, 311, 2)]
+    assert got == [(c, (1000 + o) * second, (1000 + e) * second, n) for c, o, e, n in want]
+    assert seen[0] == 0 and seen[3] == 7  # nothing goes before the watermark has passed it
+
+
 def test_admission_of_a_hot_key(spark):
     """Bursts, quiet spells and ties, one key with most requests and a null key: each decision is that of counters that see the requests one by one."""
     import random
