@@ -97,9 +97,11 @@ class BucketedTable:
             raise FileNotFoundError(f"no index at {self.path}" if not found else f"no version {version} at {self.path}")
         return json.loads(self.files.text(f"{self.path}/manifest/v{found[-1] if version is None else version}.json"))
 
-    def _publish(self, before: dict | None, folders: dict[str, str], schema: StructType, buckets: int, **told: int) -> dict:
+    def _publish(self, before: dict | None, folders: dict[str, str], schema: StructType, buckets: int, told: dict | None, **cost: int) -> dict:
+        """told: what a writer wants known with this version and all later ones; None keeps what was told before."""
         version = before["version"] + 1 if before else 0
-        out = {"version": version, "buckets": buckets, "key": self.key, "folders": folders, "schema": schema.jsonValue(), **told}
+        told = (before or {}).get("told", {}) if told is None else told
+        out = {"version": version, "buckets": buckets, "key": self.key, "folders": folders, "schema": schema.jsonValue(), "told": told, **cost}
         if not self.files.publish(f"{self.path}/manifest/v{version}.json", json.dumps(out)):
             raise ConcurrentWrite(f"version {version} of {self.path} was published by another writer")
         return out
@@ -132,17 +134,17 @@ class BucketedTable:
         b.repartition("_bucket").sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket").parquet(folder)
         return name, {x.split("=")[1] for x in self.files.names(folder) if x.startswith("_bucket=")}, self.files.size(folder)
 
-    def replace(self, rows: DataFrame, buckets: int | None = None) -> dict:
+    def replace(self, rows: DataFrame, buckets: int | None = None, told: dict | None = None) -> dict:
         """All rows anew (keys must be unique)."""
         before = self.manifest() if self.exists() else None
         n = buckets or (before["buckets"] if before else self.buckets)
         name, made, size = self._write(rows, n)
-        return self._publish(before, {b: name for b in made}, rows.schema, n, bytes_written=size, buckets_written=len(made))
+        return self._publish(before, {b: name for b in made}, rows.schema, n, told, bytes_written=size, buckets_written=len(made))
 
     def rebucket(self, n: int) -> dict:
         return self.replace(self.read(), n)
 
-    def merge(self, new: DataFrame | None = None, gone: DataFrame | None = None) -> dict:
+    def merge(self, new: DataFrame | None = None, gone: DataFrame | None = None, told: dict | None = None) -> dict:
         """Rows of new (unique keys) replace those of their key or are added, keys in gone are deleted. Returns the manifest: bytes_written and
         buckets_written say what the write cost, which grows with the buckets that its rows touch, not with the table."""
         before = self.manifest()
@@ -159,7 +161,7 @@ class BucketedTable:
         kept = old.join(staged.select(self.key), self.key, "left_anti")  # by its file sizes Spark sends a small stage out, so old rows do not move for this
         name, made, size = self._write(kept.select(schema.names).unionByName(staged.where("not _gone").select(schema.names)), n)
         folders = {b: f for b, f in before["folders"].items() if b not in touched} | {b: name for b in made}
-        out = self._publish(before, folders, schema, n, bytes_written=size, buckets_written=len(touched))
+        out = self._publish(before, folders, schema, n, told, bytes_written=size, buckets_written=len(touched))
         self.files.delete(stage)
         return out
 

@@ -44,10 +44,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", by: list[str] | None
 class VectorIndex(BucketedTable):
     """The vectors by id; an upsert rewrites the hash buckets that its ids fall into, and readers keep the version that they opened (docloom.operators.buckets)."""
 
-    def upsert(self, new: DataFrame, by: list[str] | None = None) -> dict:
+    def upsert(self, new: DataFrame, by: list[str] | None = None, told: dict | None = None) -> dict:
         """K3: settles repeats in new as `upsert` does and merges it in; returns the manifest of the new version."""
         settled = _settled(new, self.key, by)
-        return self.merge(settled) if self.exists() else self.replace(settled)
+        return self.merge(settled, told=told) if self.exists() else self.replace(settled, told=told)
 
     def delete(self, ids: DataFrame) -> dict:
         """Rows with an id of ids (id) go; only their buckets are rewritten."""

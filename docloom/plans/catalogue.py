@@ -13,6 +13,7 @@ from docloom.operators.encode import HashingEncoder, word_buckets
 from docloom.operators.tables import scratch
 from docloom.plans import pipeline
 from docloom.sources import files
+from docloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -482,7 +483,16 @@ def semantic_chunk_records(spark, sf_dir):
     return chunk.semantic_chunks(_segments(spark, sf_dir)).select("id", "content", "metadata.*")
 
 
-# ---- vectors ------------------------------------------------------------------------------------------------------------------
+@query(f"select distinct id, product_id, page_start, page_end, content, type, source from ({_PACKED_SQL})")
+def incremental_ingest(spark, sf_dir):
+    """The documents as a stream of micro-batches through chunks and vectors into the bucketed index: what an id says
+    of a chunk (chunks of one id can differ in their titles, and one of them stays)."""
+    schema = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")
+    to_chunks = lambda d: chunk.semantic_chunks(segment.page_segments(lines.typed_lines(pipeline.lines_of_documents(d))))
+    ix = index.VectorIndex(spark, scratch(spark, "ingested"))
+    ingest.ingest_stream(docs, ix, HashingEncoder(64), scratch(spark, "progress"), to_chunks).awaitTermination()
+    return ix.read().select("id", *[f"metadata.{c}" for c in ("product_id", "page_start", "page_end", "content", "type", "source")])
 
 
 @query("""with w as (select item_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as t from benchmark)

@@ -109,6 +109,47 @@ def test_readers_and_writers_of_an_index(spark, tmp_path):
     assert ids(ix.read()) == [4]
 
 
+def test_ingest_counts_every_batch_once(spark, tmp_path):
+    """Killed before a batch is published, killed after it and before the stream knows, and with another writer between: index and totals are those of one run over all files."""
+    import os
+
+    from docloom.streaming import ingest
+
+    encoder, ix = HashingEncoder(16), index.VectorIndex(spark, f"file://{tmp_path}/ix", buckets=4)
+    page = lambda p, n: {"product_id": p, "page_start": n, "page_end": n, "topic_title": f"Title {n}", "topic_body": f"What the {p} does on page {n}, in a few words.", "section_title": "", "section_body": "", "subheader_title": "", "subheader_body": "", "footnotes": [], "hints": [f"hint {n}"], "related_topics": []}
+    os.makedirs(f"{tmp_path}/in")
+    for i, p in enumerate(("X1", "X2", "X3", "X4")):
+        with open(f"{tmp_path}/in/{p}.json", "w") as f:
+            json.dump([page(p, n) for n in range(3 + i)], f)
+
+    def run():
+        q = ingest.ingest_stream(ingest.hierarchical_files(spark, f"{tmp_path}/in", 1), ix, encoder, f"{tmp_path}/cp")
+        q.awaitTermination()
+
+    publish, calls = ix._publish, []
+
+    def fragile(*a, **b):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("killed before")
+        out = publish(*a, **b)
+        if len(calls) == 4:
+            raise OSError("killed after")
+        return out
+
+    ix._publish = fragile
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            run()
+    index.VectorIndex(spark, f"file://{tmp_path}/ix").upsert(ix.read().limit(1))  # another writer; what the stream told stays known
+    ix._publish = publish
+    run()
+    run()
+    whole = chunk.semantic_chunks(files.read_hierarchical(spark, f"{tmp_path}/in/*.json"))
+    assert sorted(r.id for r in ix.read().collect()) == sorted(r.id for r in whole.collect()) and ix.read().count() == 18
+    assert ingest.totals(ix) == {"last": 3, "batches": 4, "products": 4, "chunks": 18, "vectors": 18}
+
+
 def test_filter_language(spark):
     df = spark.createDataFrame([(i, i % 3, i % 2) for i in range(12)], "i int, a int, b int")
     ids = lambda spec: sorted(r.i for r in df.where(search.compile_filter(spec)).collect())
