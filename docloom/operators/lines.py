@@ -20,12 +20,11 @@ def font_lines(glyphs: DataFrame) -> DataFrame:
         *PAGE, "glyph_no", F.round(F.coalesce("top", F.lit(0.0)), 1).alias("y0"), F.coalesce("fontname", F.lit("")).alias("font"),
         F.round(F.coalesce("size", F.lit(0.0)), 1).alias("size"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    # one row for each line holds its glyphs in stream order, so that one shuffle serves text and font
-    line = g.groupBy(*PAGE, "y0").agg(F.array_sort(F.collect_list(F.struct("glyph_no", "text", "font", "size"))).alias("g"))
-    most = """aggregate(array_distinct(transform(g, x -> named_struct('font', x.font, 'size', x.size))), named_struct('n', 0, 'f', named_struct('font', '', 'size', 0D)),
-      (best, f) -> case when size(filter(g, x -> x.font = f.font and x.size = f.size)) > best.n
-        then named_struct('n', size(filter(g, x -> x.font = f.font and x.size = f.size)), 'f', f) else best end, best -> best.f)"""
-    line = line.select(*PAGE, "y0", F.expr(most).alias("f"), F.array_join(F.transform("g", lambda x: x.text), "").alias("text"))
+    # pages are dealt out once: fonts of a line, lines and their numbers all stay within a page
+    fonts = g.repartition(*PAGE).groupBy(*PAGE, "y0", "font", "size").agg(F.count("*").alias("n"), F.min("glyph_no").alias("first"), F.collect_list(F.struct("glyph_no", "text")).alias("g"))
+    most = F.max_by(F.struct("font", "size"), F.struct("n", -F.col("first")))
+    line = fonts.groupBy(*PAGE, "y0").agg(most.alias("f"), F.array_sort(F.flatten(F.collect_list("g"))).alias("g"))
+    line = line.select(*PAGE, "y0", "f", F.array_join(F.transform("g", lambda x: x.text), "").alias("text"))
     line = line.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0")) - 1
     return line.select(*PAGE, number.cast("int").alias("line_no"), "text", F.col("f.font").alias("font"), F.col("f.size").alias("size"), "y0")

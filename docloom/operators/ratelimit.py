@@ -75,14 +75,12 @@ def window_starts(times: DataFrame, length: int) -> DataFrame:
     to themselves. So rounds grow with the logarithm of the windows of a key, and every join is by key and time."""
     nodes = written(times.distinct(), "times")
     jump, reached = written(_next(nodes, length), "jump"), nodes.groupBy("k").agg(F.min("us").alias("us"))
-    n, before = reached.count(), -1
-    while n != before:
+    while not jump.isEmpty():  # no pointer left: every key's chain is shorter than they reach
         for _ in range(DOUBLINGS):
             to = jump.toDF("k2", "us2", "nxt2")
             reached = reached.unionByName(reached.join(to, F.expr("k <=> k2 and us = us2")).select("k", F.col("nxt2").alias("us")))
             jump = jump.join(to, F.expr("k <=> k2 and nxt = us2")).select("k", "us", F.col("nxt2").alias("nxt"))
-        before, reached, jump = n, written(reached, "reached"), written(jump, "jump")
-        n = reached.count()
+        reached, jump = written(reached, "reached"), written(jump, "jump")
     return reached.select("k", F.col("us").alias("start"))
 
 
