@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from docloom.functions.text import blank_to_null, strip
 from docloom.operators.buckets import BucketedTable
 
 
@@ -68,6 +70,57 @@ class VectorIndex(BucketedTable):
         return index_stats(self.read())
 
 
+class CataloguedIndex(VectorIndex):
+    """An index that knows its catalogue (A1-A4): each bucket has the counts of its rows by product, topic and page beside it, written with it.
+
+    A write makes these anew for the buckets that it touches, so rows that it replaces or deletes are taken out without a record of them, and a
+    listing adds up small rows and reads no vector. Counts add up, and distinct topics and pages are the keys; metadata has product_id, topic_title, section_title, page_start and page_end."""
+
+    def _write(self, rows: DataFrame, n: int) -> tuple[str, set[str], int]:
+        name, made, size = super()._write(rows, n)
+        if not made:
+            return name, made, size
+        own = self.spark.read.schema(StructType([*rows.schema.fields, StructField("_bucket", IntegerType())])).parquet(f"{self.path}/data/{name}")
+        title = strip(F.coalesce(blank_to_null(F.col("metadata.topic_title")), F.col("metadata.section_title")))
+        first, last = F.col("metadata.page_start"), F.col("metadata.page_end")
+        pages = F.when(first.isNull() | last.isNull() | (last < first), F.array(first)).otherwise(F.sequence(first, last))
+        by = own.select("_bucket", F.col("metadata.product_id").alias("product_id"), title.alias("topic"), pages.alias("pages"))
+        counts = by.groupBy("_bucket", "product_id", "topic").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"))
+        counts.write.partitionBy("_bucket").parquet(f"{self.path}/catalogue/{name}")
+        return name, made, size + self.files.size(f"{self.path}/catalogue/{name}")
+
+    def partials(self, version: int | None = None) -> DataFrame:
+        """product_id, topic, n, pages: a row for each bucket, product and topic."""
+        m = self.manifest(version)
+        paths = [f"{self.path}/catalogue/{f}/_bucket={b}" for b, f in sorted(m["folders"].items(), key=lambda x: int(x[0]))]
+        schema = "product_id string, topic string, n bigint, pages array<int>"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def entity_counts(self, known: DataFrame) -> DataFrame:
+        """A1: known (product_id, ...) with the number of its rows, 0 without any."""
+        counts = self.partials().groupBy("product_id").agg(F.sum("n").alias("chunk_count"))
+        return known.join(counts, "product_id", "left").fillna(0, ["chunk_count"])
+
+    def topics(self, product: str | None = None) -> DataFrame:
+        """A2: distinct topics in order."""
+        rows = self.partials()
+        return (rows if product is None else rows.where(F.col("product_id") == product)).select("topic").where("topic <> ''").distinct().orderBy("topic")
+
+    def coverage(self) -> DataFrame:
+        """A3, A4: rows, products and distinct pages (a missing start counts as one page) of the whole index, one row."""
+        rows = self.partials()
+        pages = rows.select(F.explode("pages").alias("page")).agg((F.count_distinct("page") + F.coalesce(F.max(F.col("page").isNull().cast("int")), F.lit(0))).alias("page_coverage"))
+        return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_chunks"), F.count_distinct("product_id").alias("total_products")).crossJoin(pages)
+
+    def vacuum(self, keep: int = 1) -> int:
+        gone = super().vacuum(keep)
+        named = set(self.files.names(f"{self.path}/data"))
+        for f in self.files.names(f"{self.path}/catalogue"):
+            if f not in named:
+                self.files.delete(f"{self.path}/catalogue/{f}")
+        return gone
+
+
 def index_stats(index: DataFrame) -> DataFrame:
     """Number of vectors and their dimension."""
     return index.agg(F.count("*").alias("total_vectors"), F.max(F.size("embedding")).alias("dimension"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import ann, catalog, chunk, crawl, download, html, index, lines, quality, ratelimit, search, segment
+from docloom.operators import ann, catalog, chunk, crawl, download, html, index, layout, lines, quality, ratelimit, search, segment
 from docloom.operators.encode import HashingEncoder, word_buckets
 from docloom.operators.tables import scratch
 from docloom.plans import pipeline
@@ -563,6 +563,41 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.search("the thing of and", 10)
 
 
+def _titled(spark, sf_dir) -> DataFrame:
+    """Documents as index rows: (id, metadata), product the language, topic the first line, section the source, a page range by the length."""
+    d = table(spark, sf_dir, "documents")
+    page = F.coalesce("n_chars", F.lit(0)) / 500
+    meta = F.struct(F.col("lang").alias("product_id"), F.split("text", "\n")[0].alias("topic_title"), F.col("source").alias("section_title"), F.floor(page).cast("int").alias("page_start"), F.ceil(page).cast("int").alias("page_end"))
+    return d.select(F.col("doc_id").alias("id"), meta.alias("metadata"))
+
+
+@query("""select doc_id as id, string_split(text, chr(10))[1] as topic_title, source as section_title from documents
+where (string_split(text, chr(10))[1] = 'Re.' or source = 'src3') and lang = 'en'""")
+def topic_scan(spark, sf_dir):
+    """S13, V5, V8 over the table laid out by product and topic: row groups are pruned by their statistics and Bloom filters."""
+    path = scratch(spark, "clustered")
+    layout.write_clustered(_titled(spark, sf_dir), path)
+    where = search.compile_filter({"$and": [{"product_id": "en"}, {"$or": [{"topic_title": "Re."}, {"section_title": "src3"}]}]}, lambda c: F.col(f"metadata.{c}"))
+    return spark.read.parquet(path).where(where).select("id", "metadata.topic_title", "metadata.section_title")
+
+
+_KEPT_UP_SQL = """with d as (select doc_id, lang, string_split(text, chr(10))[1] as topic, source, n_chars from documents where source <> 'src5'
+  union all select doc_id + 1000000000, upper(lang), string_split(text, chr(10))[1], source, n_chars from documents where source = 'src7')
+select lang as product_id, count(*) as chunk_count, count(distinct t) filter (where t <> '') as topics from (select lang, regexp_replace(coalesce(nullif(topic, ''), source), '^\\s+|\\s+$', '', 'g') as t from d) group by lang"""
+
+
+@query(_KEPT_UP_SQL)
+def catalogue_kept_up(spark, sf_dir):
+    """A1-A3 from the partial counts of an index that was made from all documents, lost one source's rows, and got another's again under other products."""
+    rows = _titled(spark, sf_dir)
+    ix = index.CataloguedIndex(spark, scratch(spark, "catalogued"), buckets=16)
+    ix.replace(rows)
+    ix.delete(rows.where("metadata.section_title = 'src5'").select("id"))
+    ix.upsert(rows.where("metadata.section_title = 'src7'").select((F.col("id") + 1000000000).alias("id"), F.col("metadata").withField("product_id", F.upper("metadata.product_id")).alias("metadata")))
+    p = ix.partials()
+    return p.groupBy("product_id").agg(F.sum("n").alias("chunk_count"), F.count_distinct(F.when(F.col("topic") != "", F.col("topic"))).alias("topics"))
+
+
 # ---- html and urls ------------------------------------------------------------------------------------------------------------
 
 
@@ -596,26 +631,31 @@ def url_filename(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_filename(F.col("url")).alias("file"))
 
 
-@query("""with recursive e as (select c_custkey as src, (c_custkey * 3 + 1) % 997 as dst from customer union select c_custkey, (c_custkey * 5) % 997 from customer),
-r as (select 1::bigint as node, 0 as depth union all select distinct e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 40 and e.dst not in (select node from r))
-select node from (select distinct node from r)""")
+def _links(spark, sf_dir) -> DataFrame:
+    """Pages with the root of their host as base, and their links."""
+    root = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*/)", 1)
+    return html.links(table(spark, sf_dir, "pages")).select("url", root.alias("base"), F.col("links").alias("internal_links"))
+
+
+@query("""with recursive l as (select url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as link from pages),
+e as (select distinct url as src, link as dst from l union all select distinct link, url from l),
+r as (select min(url) as node from pages union select e.dst from r join e on e.src = r.node) select node from r""")
 def crawl_closure(spark, sf_dir):
-    """Breadth first over a link table until nothing is new."""
-    c = table(spark, sf_dir, "customer")
-    edges = c.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 3 + 1) % 997).alias("dst")).union(c.select("c_custkey", (F.col("c_custkey") * 5) % 997))
-    return crawl.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")), scratch(spark, "closure")).select("node")
+    """Breadth first over the pages and their links until nothing is new; pages that share a link reach each other."""
+    pages = _links(spark, sf_dir)
+    there = pages.select(F.col("url").alias("src"), F.explode("internal_links").alias("dst"))
+    edges = there.union(there.select("dst", "src"))
+    return crawl.reachable(edges, pages.agg(F.min("url").alias("node")), scratch(spark, "closure")).select("node")
 
 
-@query("""select distinct h.base, 'http://h/' || n.n_regionkey || '/' || n.n_nationkey || '.html' as url from nation n, (select distinct n_regionkey, 'http://h/' || n_regionkey || '/' as base from nation) h
-where h.n_regionkey = n.n_regionkey and n.n_nationkey % 4 <> 0""")
+@query("""with l as (select url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/)', 1) as base, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as link from pages),
+j as (select url, base, case when starts_with(link, '/') then rtrim(base, '/') || link else base || link end as target from l)
+select distinct base, target as url from j where target not in (select target from j where contains(url, '/en/'))""")
 def crawl_frontier(spark, sf_dir):
-    """Relative links are joined to their base; visited ones go."""
-    n = table(spark, sf_dir, "nation")
-    base = F.concat(F.lit("http://h/"), F.col("n_regionkey").cast("string"), F.lit("/"))
-    name = F.concat(F.col("n_nationkey").cast("string"), F.lit(".html"))
-    pages = n.groupBy(base.alias("base")).agg(F.collect_list(name).alias("internal_links"))
-    visited = n.where("n_nationkey % 4 = 0").select(F.concat(base, name).alias("url"))
-    return crawl.next_frontier(pages, visited)
+    """The links of all pages joined to the root of their host; those that English pages hold count as visited."""
+    pages = _links(spark, sf_dir)
+    visited = crawl.join_urls(pages.where(F.col("url").contains("/en/")).select("base", F.explode("internal_links").alias("link")), "base", "link").select("url")
+    return crawl.next_frontier(pages.select("base", "internal_links"), visited)
 
 
 @query("select n_name as model, 'http://guide/' || n_nationkey as url from nation where n_nationkey % 5 <> 0")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import buckets, catalog, chunk, crawl, download, html, index, quality, ratelimit, search
+from docloom.operators import buckets, catalog, chunk, crawl, download, html, index, layout, quality, ratelimit, search
 from docloom.operators.encode import HashingEncoder, encode, self_test
 from docloom.sources import files
 
@@ -150,6 +150,48 @@ def test_ingest_counts_every_batch_once(spark, tmp_path):
     assert ingest.totals(ix) == {"last": 3, "batches": 4, "products": 4, "chunks": 18, "vectors": 18}
 
 
+def test_a_topic_search_reads_few_row_groups(spark, tmp_path):
+    """40,000 rows, a third of one product, in eight files: a topic's rows come from a few of the row groups, and a section's by its Bloom filter; the answers are those of the whole table."""
+    product = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("P"), (F.col("id") % 40).cast("string")))
+    topic, section = F.concat(F.lit("topic "), F.lpad((F.col("id") % 997).cast("string"), 3, "0")), F.concat(F.lit("section "), F.md5(F.floor(F.col("id") / 40).cast("string")))
+    rows = spark.range(40_000).select("id", F.struct(product.alias("product_id"), topic.alias("topic_title"), section.alias("section_title"), F.md5(F.col("id").cast("string")).alias("content")).alias("metadata"))
+    layout.write_clustered(rows, f"{tmp_path}/t", row_group=1 << 17, partitions=8)
+    written, meta = spark.read.parquet(f"{tmp_path}/t"), lambda c: F.col(f"metadata.{c}")
+    either = lambda t: {"$or": [{"topic_title": t}, {"section_title": t}]}
+    name = rows.where("id = 12345").head().metadata
+    for spec in ({"$and": [{"product_id": name.product_id}, either(name.topic_title)]}, {"$and": [{"product_id": "hot"}, either(name.section_title)]}, {"product_id": "P7"}):
+        found = written.where(search.compile_filter(spec, meta)).select("id")
+        assert sorted(r.id for r in found.collect()) == sorted(r.id for r in rows.where(search.compile_filter(spec, meta)).collect()) != []
+        assert layout.rows_scanned(written.where(search.compile_filter(spec, meta)).select("id")) <= 40_000 // 4, spec
+    assert layout.rows_scanned(written.select("id", "metadata.topic_title")) == 40_000
+
+
+def test_catalogue_follows_random_writes(spark, tmp_path):
+    """After each of several random upserts and deletions the partial counts say what a pass over all rows says."""
+    import random
+
+    rnd = random.Random(8)
+    shape = "id long, metadata struct<product_id:string,topic_title:string,section_title:string,page_start:int,page_end:int>"
+    row = lambda i: (i, (rnd.choice(["A", "B", None]), rnd.choice(["T1", " ", "", None, "T2 "]), rnd.choice(["S", ""]), rnd.choice([None, 1, 2, 5]), rnd.choice([None, 3, 5])))
+    ix = index.CataloguedIndex(spark, f"file://{tmp_path}/ix", buckets=4)
+    ix.replace(spark.createDataFrame([row(i) for i in range(60)], shape))
+    known = spark.createDataFrame([("A",), ("B",), ("C",)], "product_id string")
+    for step in range(3):
+        if step:
+            ix.upsert(spark.createDataFrame([row(rnd.randrange(90)) for _ in range(3)], shape))
+            ix.delete(spark.createDataFrame([(rnd.randrange(90),) for _ in range(5)], "id long"))
+        rows = ix.read().select("id", "metadata.*").withColumn("chunk_no", F.col("id"))
+        for kind in ("topic_body", "section_body", "subheader_title", "subheader_body"):
+            rows = rows.withColumn(kind, F.lit(""))
+        assert sorted(ix.entity_counts(known).collect()) == sorted(catalog.entity_counts(known, rows.select("product_id"), "product_id").collect())
+        assert ix.topics().collect() == catalog.topics(rows).collect() and ix.topics("A").collect() == catalog.topics(rows, "A").collect()
+        got, want = ix.coverage().head(), quality.quality_metrics(rows).head()
+        assert (got.total_chunks, got.page_coverage) == (want.total_chunks, want.page_coverage)
+    kept = ix.topics().collect()
+    ix.vacuum()
+    assert ix.topics().collect() == kept
+
+
 def test_filter_language(spark):
     df = spark.createDataFrame([(i, i % 3, i % 2) for i in range(12)], "i int, a int, b int")
     ids = lambda spec: sorted(r.i for r in df.where(search.compile_filter(spec)).collect())
