@@ -32,3 +32,8 @@ def stats(index: DataFrame, per_entity: DataFrame) -> DataFrame:
 def listing_with_flag(known: DataFrame, urls: DataFrame) -> DataFrame:
     """Known entities in order, and whether their URL is known."""
     return known.join(urls.select("model", "url").dropDuplicates(["model"]), "model", "left").select("model", F.col("url").isNotNull().alias("has_url")).orderBy("model")
+
+
+def known_only(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the known ones, each once however often it is known; a null key is not."""
+    return rows.join(known.select(key), key, "left_semi")

@@ -45,9 +45,20 @@ def split_text(text: str, separator: str = "\n\n", limit: int = CHUNK_TOKENS, ov
     return F.when(F.floor(F.length(text) / 4) <= limit, F.array(F.col(text))).otherwise(parts)
 
 
+def numbered(rows: DataFrame, into: str, product: str, page: str, *order: str) -> DataFrame:
+    """rows with their place in the product from 0, by page and order. A page's rows are numbered on their own, and pages begin where the counts of those before end: what is
+    windowed by product alone is a number for each page, so a product that holds a third of all rows is dealt out by page."""
+    count = rows.groupBy(product, page).agg(F.count("*").alias("_rows"))
+    start = F.sum("_rows").over(Window.partitionBy(product).orderBy(page).rowsBetween(Window.unboundedPreceding, -1))
+    count = count.select(F.col(product).alias("_product"), F.col(page).alias("_page"), F.coalesce(start, F.lit(0)).alias("_start"))
+    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy(product, page).orderBy(*order)))
+    placed = inside.join(count, F.expr(f"{product} <=> _product and {page} <=> _page"))
+    return placed.withColumn(into, (F.col("_start") + F.col("_inside") - 1).cast("int")).drop("_product", "_page", "_start", "_inside")
+
+
 def with_ordinal(hier: DataFrame) -> DataFrame:
     """Place of each hierarchical chunk in its product's file, rejected ones counted."""
-    return hier.withColumn("ordinal", (F.row_number().over(Window.partitionBy("product_id").orderBy("page_start", "chunk_no")) - 1).cast("int"))
+    return numbered(hier, "ordinal", "product_id", "page_start", "chunk_no")
 
 
 def semantic_chunks(hier: DataFrame, urls: DataFrame | None = None, product: str | None = None, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import collapse, strip
+from docloom.operators.chunk import numbered
 
 PAGE = ("product_id", "page")
 HEADERS = ("topic", "section", "subheader")
@@ -74,9 +75,8 @@ def page_segments(typed: DataFrame) -> DataFrame:
     )
     lower = F.col("type").isNull() | (F.col("type") == "subheader")
     given = lambda c: F.coalesce(c, F.lit(""))
-    number = F.row_number().over(Window.partitionBy("product_id").orderBy("page", "run")) - 1
-    return runs.where(emitted).select(
-        "product_id", number.cast("int").alias("chunk_no"), F.col("page").alias("page_start"), F.col("page").alias("page_end"),
+    return numbered(runs.where(emitted), "chunk_no", "product_id", "page", "run").select(
+        "product_id", "chunk_no", F.col("page").alias("page_start"), F.col("page").alias("page_end"),
         given(F.col("topic.t")).alias("topic_title"), collapse(given(F.col("topic.b"))).alias("topic_body"),
         F.when(section | lower, given(F.col("section.t"))).otherwise("").alias("section_title"),
         F.when(section | lower, collapse(given(F.col("section.b")))).otherwise("").alias("section_body"),

@@ -206,6 +206,13 @@ def listing_with_flag(spark, sf_dir):
     return catalog.listing_with_flag(n.select(F.col("n_name").alias("model")), n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("model"), F.lit("http://x/").alias("url")))
 
 
+@query("select doc_id, lang, source from documents where doc_id in (select doc_id from labels)")
+def known_only(spark, sf_dir):
+    """Documents that have labels."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return catalog.known_only(d, table(spark, sf_dir, "labels"), "doc_id")
+
+
 # ---- chunking -----------------------------------------------------------------------------------------------------------------
 
 
