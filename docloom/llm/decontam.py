@@ -36,25 +36,32 @@ BLOCK_BYTES = 16 << 20
 _CHUNK = 1 << 18
 _CACHED = 40
 _DROPPED, _OTHER = -1, 0
+_MARKS = ".,;:!?\"'()[]"
+_REST = re.compile(r"[\W_]+")
 
 
 def normal(chunk: str) -> str:
-    return re.sub(r"[\W_]+", "", chunk.lower())
+    """The chunk in lower case with letters and digits alone; those that have nothing else, but for marks at their ends, need no pattern."""
+    word = chunk.lower().strip(_MARKS)
+    return word if word.isalnum() else _REST.sub("", word)
 
 
 class Vocabulary(dict):
     """White-space separated chunk -> number of its word: from 1 for the items' words, else _OTHER, _DROPPED if nothing is left.
 
-    A cache of a task's own: at most `most` chunks of at most _CACHED characters are kept."""
+    A cache of a task's own in two generations of at most `most` chunks of at most _CACHED characters: what a full one was not asked for again goes."""
 
-    def __init__(self, words: dict[str, int], most: int = 100_000):
-        self.words, self.most = words, most
+    def __init__(self, words: dict[str, int], most: int = 200_000):
+        self.words, self.most, self.old = words, most, {}
 
     def __missing__(self, chunk: str) -> int:
-        word = normal(chunk)
-        out = self.words.get(word, _OTHER) if word else _DROPPED
+        out = self.old.get(chunk)
+        if out is None:
+            word = normal(chunk)
+            out = self.words.get(word, _OTHER) if word else _DROPPED
         if len(chunk) <= _CACHED:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = out
         return out
@@ -64,7 +71,7 @@ class Vocabulary(dict):
         for piece in word_slices(text or ""):
             chunks = piece.split()
             parts.append(np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)))
-        out = np.concatenate(parts)
+        out = np.concatenate(parts) if len(parts) > 2 else parts[-1]
         return out[out != _DROPPED]
 
 
