@@ -556,10 +556,21 @@ def metadata_projection(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", index.admitted(items).alias("hints"))
 
 
-@query()
+_FOUND_SQL = f"""with pieces as ({_PACKED_SQL}), c as (select *, row_number() over () as n from pieces),
+t as (select n, unnest(list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) as w from c
+  union all select 0, unnest(string_split('the thing of and', ' '))),
+v as (select n, cast('0x' || substr(md5(w), 1, 8) as bigint) % 768 as bucket, sum(case when substr(md5(w), 9, 1) < '8' then 1 else -1 end)::double as x from t group by all),
+l as (select n, sqrt(sum(x * x)) as norm from v group by n),
+d as (select v.n, sum(v.x * q.x) as dot from v join v q on q.n = 0 and q.bucket = v.bucket where v.n > 0 group by v.n),
+s as (select c.*, coalesce(d.dot / (a.norm * b.norm), 0.0) as score from c left join d on d.n = c.n left join l a on a.n = c.n and a.norm > 0 left join l b on b.n = 0)
+select cast(row_number() over (order by score desc, id) as int) as rank, id, round(score, 5) as score, content, product_id, help_guide_url, page_start, page_end, topic_title, section_title, subheader_title,
+  list_filter(hints, lambda x: x <> '') as hints, list_filter(related_topics, lambda x: x <> '') as related_topics, list_filter(footnotes, lambda x: x <> '') as footnotes from s order by score desc, id limit 10"""
+
+
+@query(_FOUND_SQL)
 def ingest_and_search(spark, sf_dir):
-    """Documents to segments, chunks, vectors, and a search over them."""
-    return flagship(spark, sf_dir)
+    """Documents to segments, chunks, vectors, and a search over them; the metadata's fields as columns."""
+    return flagship(spark, sf_dir).select("rank", "id", F.round("score", 5).alias("score"), "content", "metadata.*")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
