@@ -321,8 +321,15 @@ def test_odd_pages_are_read_as_their_hosts_others(spark):
 @tables
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_whole_tables(spark, name):
-    """One row for each document or page."""
+    """One row for each document, page or conversation; of the divergence, all pairs of the sources of each language."""
     got = queries.QUERIES[name](spark, SF).toPandas()
+    if name == "op11_dialogue":
+        assert sorted(got.conv_id) == [r[0] for r in connection(SF).sql("select distinct conv_id from conversations order by 1").fetchall()]
+        return
+    if name == "op12_divergence":
+        pairs = connection(SF).sql("select distinct a.lang, a.source, b.source from documents a join documents b on a.lang = b.lang and a.source <> b.source").fetchall()
+        assert sorted(got[got.part == "pair"][["lang", "source", "item"]].itertuples(index=False, name=None)) == sorted(pairs)
+        return
     if name == "op2_decontamination":
         assert len(got) and (got.score >= 0.5).all()
         return
