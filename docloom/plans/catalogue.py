@@ -631,6 +631,13 @@ def html_links(spark, sf_dir):
     return html.links(table(spark, sf_dir, "pages")).select("page_id", F.array_join("links", " ").alias("links"))
 
 
+@query("""select url, replace(replace(replace(replace(coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 'Untitled'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as title
+from pages where regexp_matches(html, '(?i)<body')""")
+def html_page_titles(spark, sf_dir):
+    """H1, H2, H6: the titles of the page records, by the parser."""
+    return html.parse_pages(table(spark, sf_dir, "pages")).select("url", "title")
+
+
 @query()
 def html_pages(spark, sf_dir):
     """Records of all pages with main content."""
