@@ -9,9 +9,12 @@ a page that has none, or no host, is read by its own best path. So odd pages are
 As each page has one vote, a host has at most 1 / WINNING winning paths. Votes and winners are small rows; pages stay where they
 are if the winners' table is small enough for Spark to send out, else they are joined on the host, where AQE splits hot hosts.
 
-Parts that are never article text are told by their element or by words in class, id and role. Inside an article a compound name needs
-a strong word for that, and an article or main that is the page's only one is read though a wrapper's name says noise (not
-comments). A noise element inside a line leaves the line whole.
+Parts that are never article text are told by their element or by words in class, id and role. Names are weighed, not just looked up:
+inside an article, main or an element named as one, a compound name says what its last telling word says (`advert-box` is an advert,
+`advert-industry-history` and `menu-description` are not). A form, or a name that layouts share with noise (`widget-area`, `promo-page`), does not hide a
+page: what it holds is read if the page's only article or main stands in it, if it has prose and next to nothing stands outside of noise, or if
+its host's votes say so (a winning path that leads into it). Comments, hidden parts and elements like nav or aside are never read.
+A header stays in an article or main, and in an element named as one if it has a heading. A noise element inside a line leaves the line whole.
 
 Blocks are what block elements and line breaks bound; white space in a block (no-break spaces too) becomes one space. Defined
 results: null, empty and text-free html gives an empty text; unclosed and misnested tags are closed as browsers do where it matters
@@ -33,11 +36,15 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from docloom.llm.common import written
 
 WINNING = 0.05
+#: Characters of a block that is prose and no label of a form.
+PROSE = 100
+#: How many times the text outside of noise must be outweighed before a wrapper is read.
+OUTSIDE = 20
 
 #: Element names of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-NEVER = frozenset("head script style noscript nav footer aside form button select textarea iframe svg math canvas template object audio video dialog menu title xmp noembed noframes datalist".split())
+NEVER = frozenset("head script style noscript nav footer aside button select textarea iframe svg math canvas template object audio video dialog menu title xmp noembed noframes datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Elements that are never article text but stand inside a line: they end no block.
 IN_LINE_NEVER = frozenset("script style noscript template svg math canvas object audio video iframe button select textarea datalist".split())
@@ -49,6 +56,11 @@ CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 STRONG = frozenset("nav navbar navigation menu sidebar footer ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments disqus respond replies cookie cookies consent gdpr newsletter subscribe signup breadcrumb breadcrumbs pagination pager popup modal overlay widget widgets skip".split())
 WEAK = frozenset("header banner masthead toolbar notice notices alert share sharing social related recommended tags byline search login complementary contentinfo".split())
 KEEP = frozenset("article content main entry post story text body".split())
+#: Words that name a place or a shape and say nothing on what stands there.
+SHAPES = frozenset("area bar block body bottom box button buttons card col column container content copy cta desktop footer form frame group header headline holder icon image inline inner item items label large left link links list message mobile outer panel primary right row secondary section side slot small text title top unit view wrap wrapper zone".split())
+#: Words that layouts also give to what wraps a whole page.
+LAYOUT = WEAK | frozenset("widget widgets promo menu skip popup modal overlay".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENTS = frozenset("comment comments disqus respond replies".split())
 BEFORE = frozenset("with has no without".split())
 
@@ -71,39 +83,60 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def is_hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")) is not None
+
+
+def names(attrs: dict[str, str], of: tuple[str, ...] = ("class", "id")) -> Iterator[list[str]]:
+    """The words of every name; those that say what an element has or lacks are not its names."""
+    for name in of:
+        for one in attrs.get(name, "").split():
+            words = [w.lower() for w in _WORDS.findall(one)]
+            if words and words[0] not in BEFORE:
+                yield words
+
+
+def says_noise(words: list[str], in_article: bool, named: bool) -> bool:
+    """Whether a name says that an element is never article text. named: it stands in an element named as an article."""
+    if not STRONG.isdisjoint(words):
+        telling = [w for w in words if len(w) > 1 and w.isalpha() and (w not in SHAPES or w in STRONG)]
+        return not (in_article or named) or not COMMENTS.isdisjoint(words) or telling[-1] in STRONG
+    return not WEAK.isdisjoint(words) and KEEP.isdisjoint(words) and (not in_article or WEAK.issuperset(words))
+
+
+def is_noise(tag: str, attrs: dict[str, str], in_article: bool, named: bool = False) -> bool:
     """Whether an element is never article text."""
-    if tag in NEVER or (tag == "header" and not in_article):
+    if tag in NEVER or tag == "form" or (tag == "header" and not in_article and not named):
         return True
     if tag in ("html", "body", "main", "article"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    for name in ("class", "id", "role"):
-        if name in attrs:
-            for one in attrs[name].split():
-                words = [w.lower() for w in _WORDS.findall(one)]
-                if words and words[0] in BEFORE:
-                    continue
-                if not STRONG.isdisjoint(words) or (not WEAK.isdisjoint(words) and KEEP.isdisjoint(words) and (not in_article or WEAK.issuperset(words))):
-                    return True
-    return False
+    return is_hidden(attrs) or any(says_noise(words, in_article, named) for words in names(attrs, ("class", "id", "role")))
 
 
 def hard_noise(tag: str, attrs: dict[str, str]) -> bool:
     """Whether nothing below an element is ever article text, whatever it is; comments too."""
     words = {w.lower() for name in ("class", "id") for w in _WORDS.findall(attrs.get(name, ""))}
-    return is_noise(tag, {k: v for k, v in attrs.items() if k not in ("class", "id", "role")}, True) or not COMMENTS.isdisjoint(words)
+    return tag in NEVER or is_hidden(attrs) or not COMMENTS.isdisjoint(words)
+
+
+def may_wrap(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether a noise element may be what a whole page stands in: a form, or compound names whose noise words are those of layouts."""
+    said = [words for words in names(attrs, ("class", "id", "role")) if not (STRONG | WEAK).isdisjoint(words)]
+    return tag != "header" and (tag == "form" or bool(said)) and all((STRONG - LAYOUT).isdisjoint(words) and not LAYOUT.issuperset(words) for words in said)
 
 
 class Page:
     """Elements and text blocks of one page."""
 
-    def __init__(self, html: str | None, spared: int = -1):
-        """spared: an element that is text though a wrapper's name says noise."""
+    def __init__(self, html: str | None, spared: frozenset[int] = frozenset()):
+        """spared: elements that are text though their name or that of a wrapper says noise."""
         # of each element: parent, label, path key, tag, noise, noise that no element below ends
         self.parent, self.label, self.key, self.tag, self.noise, self.hard = [-1], [""], [0], ["#"], [False], [False]
-        self._spared = spared
+        self.html, self.spared = html, spared
+        self.wraps: list[int] = []  # noise elements that a whole page may stand in
+        self._own, self._names_article = [False], [False]  # noise by itself; named as an article
+        self._named = [False]  # whether an element or one around it is named as an article
+        self._headers: list[int] = []  # those that only a heading keeps
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._parts: list[str] = []
         self._links = 0
@@ -168,8 +201,16 @@ class Page:
         attrs = attributes(raw) if raw else {}
         up = self._stack[-1]
         inside = any(self.tag[i] in ("article", "main") for i in self._stack)
-        own = is_noise(tag, attrs, inside)
-        noise = (self.noise[up] or own) and len(self.tag) != self._spared
+        own, number = is_noise(tag, attrs, inside, self._named[up]), len(self.tag)
+        noise = (self.noise[up] or own) and number not in self.spared
+        if own and may_wrap(tag, attrs):
+            self.wraps.append(number)
+        if tag == "header" and not inside and not own:
+            self._headers.append(number)
+        article = tag not in ("html", "body") and not own and any(not KEEP.isdisjoint(words) for words in names(attrs))
+        self._own.append(own and number not in self.spared)
+        self._names_article.append(article)
+        self._named.append(not noise and (self._named[up] or article))
         if tag not in INLINE and tag not in IN_LINE_NEVER:
             self._flush()
         classes = sorted({re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split()})
@@ -217,6 +258,17 @@ class Page:
         self._text(html[at:])
         self._close(1)
         self._flush()
+        if self._headers:
+            kept = set()
+            for i in range(1, len(self.tag)):
+                if self.tag[i] in HEADINGS:
+                    while i > 0:
+                        kept.add(i)
+                        i = self.parent[i]
+            for i in self._headers:
+                self.noise[i] = self.noise[i] or i not in kept
+            for i in range(self._headers[0], len(self.tag)):
+                self.noise[i] = self.noise[i] or (self.noise[self.parent[i]] and i not in self.spared)
 
     def lone_article(self) -> int:
         """The only article or main of a page, if it stands below a wrapper that only its name makes noise; else -1."""
@@ -224,6 +276,32 @@ class Page:
         outer = [i for i in found if self.parent[i] not in found]
         return outer[0] if len(outer) == 1 and self.noise[outer[0]] and not self.hard[outer[0]] else -1
 
+    def wrapper(self) -> int:
+        """The noise element that most of the page's prose stands in, though next to nothing stands outside of noise; else -1.
+
+        Prose is text less links, in no other noise below. Some of it must stand in an element named as an article or be a block of at least PROSE characters."""
+        prose, telling, clean = dict.fromkeys(self.wraps, 0), set(), 0
+        if not prose:
+            return -1
+        for node, block, links in self.blocks:
+            if not self.noise[node]:
+                clean += len(block)
+                continue
+            while node > 0 and node not in prose and self.noise[self.parent[node]] and not self._own[node]:
+                node = self.parent[node]
+            if node in prose and not self.hard[node]:
+                prose[node] += len(block) - links
+                if len(block) - links >= PROSE:
+                    telling.add(node)
+        for node in range(len(self.tag)):
+            if self._names_article[node]:
+                up = self.parent[node]
+                while up > 0 and up not in prose and not self._own[up]:
+                    up = self.parent[up]
+                telling.add(up)
+        top = max(self.wraps, key=lambda i: prose[i])
+        return top if top in telling and prose[top] > OUTSIDE * clean else -1
+
     def best(self) -> int:
         """The element with most text less links and noise; the deeper one of equals; -1 without text."""
         n = len(self.tag)
@@ -259,8 +337,21 @@ class Page:
 
 def read_page(html: str | None) -> Page:
     page = Page(html)
-    lone = page.lone_article()
-    return page if lone < 0 else Page(html, lone)
+    while True:  # ends, as every round spares one element more
+        more = page.lone_article()
+        if more < 0:
+            more = page.wrapper()
+        if more < 0 or more in page.spared:
+            return page
+        page = Page(html, page.spared | {more})
+
+
+def text_by_path(page: Page, key: int) -> list[str]:
+    """Blocks in the elements of a host's winning path; the votes outweigh a wrapper's name, as most pages of the host are read so."""
+    blocks = page.text_in(key)
+    if not blocks and (found := [i for i, k in enumerate(page.key) if k == key and page.noise[i] and not page.hard[i]]):
+        blocks = Page(page.html, page.spared.union(found)).text_in(key)
+    return blocks
 
 
 def signed(key: int) -> int:
@@ -307,7 +398,7 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html, keys in zip(batch.column("html").to_pylist(), batch.column("_docloom_paths").to_pylist()):
             page, blocks = read_page(html), []
             for key in keys or []:
-                blocks = page.text_in(key % (1 << 64))
+                blocks = text_by_path(page, key % (1 << 64))
                 if blocks:
                     break
             used.append(bool(blocks))

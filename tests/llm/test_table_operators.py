@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -305,6 +306,85 @@ def test_article_text_stays_and_noise_goes(html, want):
     assert "\n".join(page.text_in(page.key[page.best()])) == want
 
 
+STORY = "<h1>Head</h1><p>" + "A story is told here. " * 8 + "</p>"
+TOLD = "Head\n" + ("A story is told here. " * 8).strip()
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<form><nav>x</nav><div class='content'>{STORY}</div><footer>f</footer></form>", TOLD),
+    (f"<form action='/'>{STORY}<button>Go</button></form>", TOLD),
+    ("<form><label>Name</label><input><label>Your message</label></form>", ""),
+    (f"<div class='widget-area'><div class='content'>{STORY}</div></div>", TOLD),
+    (f"<form><div class='widget-area'><div class='sidebar'>no</div><div class='text'>{STORY}</div></div></form>", TOLD),
+    (f"<div class='promo-page'><div class='text'>{STORY}</div></div>", TOLD),
+    (f"<div class='share-price-report'>{STORY}</div>", TOLD),
+    (f"<article>{STORY}<p class='menu-description'>Of dishes</p><section class='advert-industry-history'>Of adverts</section><div class='advert-box'>no</div></article>", TOLD + "\nOf dishes\nOf adverts"),
+    (f"<div class='post'><header><h1>Title</h1></header>{STORY}<header>no</header></div>", "Title\n" + TOLD),
+    (f"<header><h1>Site</h1></header><div class='post'>{STORY}</div>", TOLD),
+    ("<div class='cookie-notice'><p>" + "We use cookies here. " * 20 + "</p></div>", ""),
+    ("<p>Short one.</p><div class='widget-area'><div class='text'>" + "Another text. " * 4 + "</div></div>", "Short one."),
+    (f"<p>Mine</p><form><div class='comments'><div class='content'>{STORY}</div></div></form>", "Mine"),
+])
+def test_wrappers_do_not_hide_a_page(html, want):
+    page = html_text.read_page("<html><body>" + html + "</body></html>")
+    assert "\n".join(page.text_in(page.key[page.best()]) if page.best() >= 0 else []) == want
+
+
+def test_votes_outweigh_a_name(spark):
+    """Nine pages vote for the content in a wrapper named as noise; in the tenth a longer note stands outside of it, so its own text does not tell."""
+    body = "<body><div class='note'>%s</div><div class='widget-area'><div class='content'><p>%s</p></div></div></body>"
+    rows = [(i, "http://h/a", body % ("", "main text " * 20)) for i in range(9)] + [(9, "http://h/b", body % ("note " * 20, "brief")), (10, "http://k/b", body % ("note " * 20, "brief"))]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("main text " * 20).strip() and got[9] == "brief" and got[10] == ("note " * 20).strip()
+
+
+class Plain(HTMLParser):
+    """The article of a page of the tables by the library's parser: no scores, no paths."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.parts, self.blocks = 0, 0, [], []
+        self.feed(html)
+        self.close()
+        self.end()
+
+    def end(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in html_text.NEVER
+        if tag not in html_text.INLINE:
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag not in html_text.INLINE:
+            self.end()
+        self.depth -= tag == "article"
+        self.skip -= tag in html_text.NEVER
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.parts.append(data)
+
+
+@tables
+def test_pages_equal_a_plain_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: "\n".join(Plain(r.html or "").blocks) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html_text.extract_pages(pages).collect()} == want and all(want.values())
+
+
+def test_long_page(spark):
+    """A page of over a megabyte with thousands of blocks and deep nesting comes out whole."""
+    blocks = [f"Block {i} of a long page" for i in range(40_000)]
+    html = "<body><nav>no</nav>" + "<div>" * 500 + "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>" + "</div>" * 500
+    got = html_text.extract_pages(spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")).collect()
+    assert got[0].text == "\n".join(blocks)
+
+
 def test_odd_pages_are_read_as_their_hosts_others(spark):
     """The first nine pages vote for div.post, as link lists make the body a bad container; the tenth, read alone, would be its whole body."""
     body = "<body><div class='list'>%s</div><div class='post'><p>%s</p></div><div class='box'><p>%s</p></div></body>"
