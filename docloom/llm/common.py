@@ -8,7 +8,7 @@ import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,5 +165,14 @@ def word_shingles(text: str | None, shingle: int, seed: int = 42) -> Iterator[np
         yield np.array([digest(b" ".join(before), seed)], np.uint64)
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The unsigned 64-bit SimHash of hashes that come in parts: a bit is 1 if it is set in over half of them."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones, n = ones + bits.sum(axis=0, dtype=np.int64), n + len(bits)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
+
+
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *word_shingles(text, shingle, seed)])

@@ -14,7 +14,8 @@ the distance is a task of its own. Exact copies share one fingerprint and never
 Defined results: null, empty and blank texts have fingerprint zero, which links like any other; repeated rows get equal results;
 a null doc_id takes part but is never the smallest (a component of null ids only has component_id null); an empty table gives no rows.
 
-keep_one does not use fingerprints: it links by the similarity of whole shingle sets (see overlap).
+keep_one takes the links of this index as candidates that whole shingle sets confirm, and finds the links that fingerprints
+cannot tell (a similarity of 0.8 leaves about ten bits that differ) by an exact join of the rest (see overlap).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import overlap
-from docloom.llm.common import row_key, word_shingles, written
+from docloom.llm.common import majority, row_key, word_shingles, written
 from docloom.llm.components import components
 
 SHINGLE = 4
@@ -42,11 +43,7 @@ _SEED = 42
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of XXH64 hashes of word shingles, repeats included; a long text is folded in slices."""
-    ones, n = np.zeros(64, np.int64), 0
-    for hashes in word_shingles(text, shingle, _SEED):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones, n = ones + bits.sum(axis=0, dtype=np.int64), n + len(bits)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big") if n else 0
+    return majority(word_shingles(text, shingle, _SEED))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", into: str = "fp", shingle: int = SHINGLE) -> DataFrame:
@@ -250,9 +247,9 @@ def near_duplicate_documents(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, similarity: float = overlap.SIMILARITY, shingle: int = overlap.SHINGLE) -> DataFrame:
     """docs with one row of each group of near-copies (texts of Jaccard similarity of at least `similarity` are linked): that of the
-    smallest doc_id (null last), then of the smallest row_key."""
+    smallest doc_id (null last), then of the smallest row_key. Fingerprints of the same shingles bring close copies together without their pairs."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    rows, roots = overlap.near_copies(docs, similarity, shingle)
+    rows, roots = overlap.near_copies(docs, similarity, shingle, links)
     least = rows.groupBy("node").agg(F.min(order).alias("o")).join(roots, "node", "left")
     first = least.groupBy(F.coalesce("root", "node")).agg(F.min("o").alias("o")).select(F.col("o.row_key").alias("_docloom_key"))
     kept = docs.withColumn("_docloom_key", row_key("doc_id", "text")).join(first, "_docloom_key", "left_semi")

@@ -154,6 +154,33 @@ def test_keep_one_links_all_texts_of_similarity_08(spark, monkeypatch, leaders,
     assert sorted(r.doc_id for r in simhash.keep_one(table(spark, texts)).collect()) == sorted(set(label))
 
 
+def test_keep_one_begins_with_fingerprints_and_lists_no_pairs_of_a_group_of_edits(spark, monkeypatch):
+    """300 edits of one text, many less alike than 0.8: pairs that the whole sets are read for stay few."""
+    rng, made, asked = random.Random(8), {}, []
+    base = words(rng, 150, 10**6)
+    df = table(spark, [base, *[edited(rng, base, 1 + i % 12) for i in range(300)]])
+    write, links = overlap.written, simhash.links
+
+    def counted(rows, name):
+        out = write(rows, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(overlap, "written", counted)
+    monkeypatch.setattr(simhash, "links", lambda fps: asked.append(fps.count()) or links(fps))
+    kept = simhash.keep_one(df).count()
+    assert 1 < kept < 301 and asked == [made["fingerprints"]] and made["apart"] + made["stars"] < 3000
+
+
+def test_parities_bound_the_difference_of_two_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 3000):
+        both, one, two = (np.unique(rng.integers(0, 1 << 48, k, dtype=np.uint64)) for k in (200, n, 30))
+        a, b = np.union1d(both, one), np.union1d(both, two)
+        apart = int(np.bitwise_count(overlap.parities(a) ^ overlap.parities(b)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and (n == 3000 or apart >= 0.8 * len(np.setxor1d(a, b)))
+
+
 def test_simhash_of_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "else where now then"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicate_documents(df).collect()), key=repr)
