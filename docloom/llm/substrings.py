@@ -2,6 +2,8 @@
 
 A byte goes if it is in a string of LENGTH bytes that also starts at another place, in the same document or another.
 
+Texts that several rows have go whole, and one row stands for all of them in what follows.
+
 One suffix array of the whole corpus fits no task, so the suffixes are first dealt out by content. Every window of LENGTH bytes
 is filed under its minimiser, the q-gram of least hash in it (the leftmost of equals). Equal windows have the same minimiser at the same offset, so
 they meet; consecutive windows with one minimiser are one segment, and the mean segment files 85 windows with one copy of
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import release, utf8, written
+from docloom.llm.common import release, row_key, utf8, written
 
 LENGTH = 200
 GRAM = 32
@@ -290,9 +292,19 @@ def _compared_by_bytes(filed: DataFrame, hot_rows: int, hot_segments: int) -> Da
     return out
 
 
+def _copies(long: DataFrame) -> DataFrame | None:
+    """(k, first, hi): the rows of whole texts that several rows have, one of them to stand for all, and their bytes; None if there are none."""
+    keyed = long.select("k", row_key("text").alias("key"), F.octet_length("text").alias("hi"))
+    twice = written(keyed.groupBy("key").agg(F.min("k").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", "first"), "copied-texts")
+    return None if twice.isEmpty() else written(keyed.join(twice, "key").select("k", "first", "hi"), "copies")
+
+
 def repeated_ranges(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(k, text) -> (k, lo, hi): byte ranges that cover all repeated windows; they may overlap."""
     long = docs.where(F.octet_length("text") >= LENGTH)
+    copies = _copies(long)
+    if copies is not None:
+        long = long.join(copies.where("k <> first").select("k").distinct(), "k", "left_anti")
     filed = written(long.select("k", "text").mapInPandas(_file, "h long, body long, k long, lo int, hi int, end int, run boolean"), "filed")
     hot_rows = max(hot_rows, filed.count() // _MOST_HOT)
     hot = written(filed.groupBy("h").count().where(F.col("count") > hot_rows).select("h"), "hot-minimisers")
@@ -305,6 +317,8 @@ def repeated_ranges(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, hot_rows:
     found = written(found, "segments")
     release(filed)
     ranges = found.where("whole").select("k", "lo", F.col("end").alias("hi"))
+    if copies is not None:
+        ranges = ranges.unionByName(copies.select("k", F.lit(0).alias("lo"), "hi"))
     wanted = found.where("open").groupBy("k").agg(F.collect_list(F.struct("h", "lo", "hi", "whole", "crowded")).alias("wanted"))
     parts = long.select("k", "text").join(wanted, "k").mapInPandas(_fetch, "h long, k long, lo int, whole boolean, crowded boolean, bytes binary")
     if not found.where("crowded").isEmpty():

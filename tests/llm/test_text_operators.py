@@ -172,6 +172,25 @@ def test_keep_one_begins_with_fingerprints_and_lists_no_pairs_of_a_group_of_edit
     assert 1 < kept < 301 and asked == [made["fingerprints"]] and made["apart"] + made["stars"] < 3000
 
 
+def test_copies_of_a_text_are_filed_once(spark, monkeypatch):
+    rng, made = random.Random(4), {}
+    a, b = words(rng, 300), words(rng, 300)
+    write = substrings.written
+
+    def counted(rows, name):
+        out = write(rows, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "written", counted)
+    left = {}
+    for n in (1, 40):
+        df = table(spark, [*[a] * n, b, a[:900] + b[:900], None, "short"])
+        left[n] = [(r.n_bytes, r.n_removed) for r in substrings.dedupe_digest(df).orderBy("doc_id").collect()]
+        made[n] = made["filed"]
+    assert made[40] == made[1] and all(x == y for x, y in left[40][:40]) and left[40][40:] == left[1][1:] and left[1][1][1] > 0
+
+
 def test_parities_bound_the_difference_of_two_sets():
     rng = np.random.default_rng(3)
     for n in (0, 1, 40, 3000):
