@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSION = 768
+AT_ONCE = 256
 
 
 class Encoder(Protocol):
@@ -44,12 +47,15 @@ def word_buckets(text: str, dimension: int = DIMENSION) -> str:
 
 
 def encode(df: DataFrame, encoder: HashingEncoder, text: str = "content", into: str = "embedding") -> DataFrame:
-    """df with array<float> column `into`: Arrow batches through the encoder's query function, one vector a row."""
+    """df with array<float> column `into`: Arrow batches through the encoder's query function, one vector a row. Vectors leave a task
+    in slices of AT_ONCE rows, as those of a whole batch are far larger than its texts."""
     dimension = encoder.dimension
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = HashingEncoder(dimension)
-        return pd.Series([[*own._query(t or "")] for t in texts])
+        for texts in batches:
+            for lo in range(0, len(texts), AT_ONCE):
+                yield pd.Series([np.array(own._query(t or ""), np.float32) for t in texts.iloc[lo : lo + AT_ONCE]])
 
     return df.withColumn(into, F.pandas_udf(run, "array<float>")(F.col(text)))
 
