@@ -208,14 +208,16 @@ class Quantiser:
         return out
 
 
-def offer(best: Best, model: Quantiser, group: tuple, keys: np.ndarray, x: np.ndarray, codes: np.ndarray, chosen: np.ndarray, own: int, tables: np.ndarray | None, rerank: int | None) -> None:
-    """Rows of list `own` to the queries that probe it: all of them, or for each query the `rerank` rows of best score by their codes."""
-    if tables is None or len(keys) <= rerank:
+def offer(best: Best, model: Quantiser, group: tuple, keys: np.ndarray, x: np.ndarray, codes: np.ndarray, chosen: np.ndarray, own: int, rerank: int | None) -> None:
+    """Rows of list `own` to the queries that probe it: all of them, or for each query the `rerank` rows of best score by their codes. The products of queries with parts
+    are made for a slice of queries at a time: those of a whole block would be 32 KB for each query in every task."""
+    if rerank is None or len(keys) <= rerank:
         best.add(group, keys, x, chosen)
         return
     for lo in range(0, len(chosen), 256):
         some = chosen[lo : lo + 256]
-        rough = (best.queries[some] @ model.lists[own])[:, None] + sum(tables[some, m][:, codes[:, m]] for m in range(codes.shape[1]))
+        tables = model.tables(best.queries[some])
+        rough = (best.queries[some] @ model.lists[own])[:, None] + sum(tables[:, m][:, codes[:, m]] for m in range(codes.shape[1]))
         top = np.argpartition(-rough, rerank - 1, axis=1)[:, :rerank]
         best.exact(group, keys, x, some, top.ravel(), np.repeat(np.arange(len(some)), rerank))
 
@@ -281,9 +283,8 @@ class ListIndex:
             cuts = np.flatnonzero(np.diff(flat[order])) + 1
             for at in np.split(order, cuts):
                 wanted[int(flat[at[0]])] = at // near.shape[1]
-            tables = model.tables(q) if rerank is not None else None
 
-            def look(batches: Iterator[pa.RecordBatch], ids=ids, q=q, wanted=wanted, tables=tables) -> Iterator[pa.RecordBatch]:
+            def look(batches: Iterator[pa.RecordBatch], ids=ids, q=q, wanted=wanted) -> Iterator[pa.RecordBatch]:
                 best, kinds, key_kind = Best(q, k), [], None
                 for batch in batches:
                     key_kind, kinds = batch.schema.field(0).type, [batch.schema.field(1 + i).type for i in range(len(by))]
@@ -295,7 +296,7 @@ class ListIndex:
                         groups.setdefault(g, []).append(i)
                     for (own, *g), at in groups.items():
                         if (chosen := wanted.get(own)) is not None:
-                            offer(best, model, tuple(g), keys[at], x[at], codes[at], chosen, own, tables, rerank)
+                            offer(best, model, tuple(g), keys[at], x[at], codes[at], chosen, own, rerank)
                 if key_kind is not None:
                     yield from _emit(best, ids, by, kinds, key, key_kind)
 

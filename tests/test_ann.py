@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docloom.operators import ann
@@ -57,6 +58,17 @@ def test_rows_that_travel_are_few(spark, vectors, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() <= 5 * 30 * 2
 
 
+def test_tasks_get_no_products_of_a_block(spark, vectors, tmp_path, monkeypatch):
+    """What is sent to each task grows with the queries' vectors alone."""
+    _, df = vectors
+    queries = df.where("embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    ix = ann.ListIndex.build(df, f"{tmp_path}/lists", lists=8)
+    sent, send = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda rows, run, *more: sent.append(len(cloudpickle.dumps(run))) or send(rows, run, *more))
+    assert ix.search(queries, 3, f"{tmp_path}/found", probe=8, rerank=16).count() == 3 * 599
+    assert len(sent) == 1 and sent[0] < 599 * 2048 + (1 << 18)
+
+
 def test_empty_tables(spark, vectors, tmp_path):
     _, df = vectors
     queries = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
