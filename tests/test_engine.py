@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +362,19 @@ def test_html_records(spark):
     assert got["z"].title == "Untitled"
 
 
+def test_records_and_vectors_leave_tasks_in_slices(spark, monkeypatch):
+    """A batch of 1,000 rows in, never 1,000 records or vectors at once out."""
+    taken, texts = {}, pd.DataFrame({"url": [f"u{i}" for i in range(1000)], "html": ["<body><p>ok</p></body>"] * 1000})
+    df = spark.createDataFrame([("u", "a b")], "url string, html string")
+    real_map, real_udf = type(df).mapInPandas, F.pandas_udf
+    monkeypatch.setattr(type(df), "mapInPandas", lambda rows, run, shape: taken.update(pages=run) or real_map(rows, run, shape))
+    monkeypatch.setattr(F, "pandas_udf", lambda run, kind: taken.update(vectors=run) or real_udf(run, kind))
+    html.parse_pages(df)
+    encode(df, HashingEncoder(8), text="html")
+    for out in ([len(x) for x in taken["pages"](iter([texts]))], [len(x) for x in taken["vectors"](iter([texts["html"]]))]):
+        assert sum(out) == 1000 and max(out) <= 256
+
+
 def test_crawl(spark, tmp_path):
     site = {"http://h/a/index.html": ["p.html", "q.html"], "http://h/a/p.html": ["q.html", "index.html", "gone.html"], "http://h/a/q.html": []}
     pages = spark.createDataFrame([(u, "<body>" + "".join(f'<a href="{x}">l</a>' for x in links) + "<p>text</p></body>") for u, links in site.items()], "url string, html string")
