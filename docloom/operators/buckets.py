@@ -1,9 +1,11 @@
 """A keyed table of hash buckets: a write makes only the buckets anew that it touches, and readers see whole versions (K3, K5, V2).
 
     path/data/<write>/_bucket=7/part-*.parquet     what a write made of bucket 7
-    path/manifest/v12.json                         version 12: the folder of each bucket, the number of buckets, the schema
+    path/manifest/v12.json                         version 12: the folder of each bucket (or a list of them), the number of buckets, the schema
 
-A write stages its rows, reads the touched buckets of the version it found, writes them to a folder of its own, and then publishes a manifest by a
+A write stages its rows and reads the keys of the touched buckets of the version it found. A bucket that holds none of them only gets the new rows as one
+more folder; the others, and those of more than PARTS folders, are read and made anew. So a table that grows by new keys is not written again with each write. What was
+made goes to a folder of the write's own, which then publishes a manifest by a
 rename that fails if that version exists. Before the rename nothing of it is visible, so a writer that dies leaves files that no version names. A
 reader keeps the files of the version that it opened; they stay until `vacuum` deletes those that no kept version names. Two writers that
 start from one version cannot both publish: the second one gets ConcurrentWrite and may run again.
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKETS = 64
+#: Folders of a bucket before it is made anew as one.
+PARTS = 64
+#: Keys of a write up to which their hashes are sent to the tasks that look for them: 8 bytes each.
+_SENT = 2_000_000
 
 
 class ConcurrentWrite(RuntimeError):
@@ -78,6 +84,11 @@ def bucket(key: str, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def parts(folders: dict) -> list[tuple[str, str]]:
+    """(bucket, folder) of a manifest's folders."""
+    return [(b, f) for b, own in sorted(folders.items(), key=lambda x: int(x[0])) for f in ([own] if isinstance(own, str) else own)]
+
+
 class BucketedTable:
     def __init__(self, spark: SparkSession, path: str, key: str = "id", buckets: int = BUCKETS):
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
@@ -121,7 +132,7 @@ class BucketedTable:
 
     def _rows(self, m: dict, folders: dict[str, str]) -> DataFrame:
         schema = StructType.fromJson(m["schema"])
-        paths = [f"{self.path}/data/{f}/_bucket={b}" for b, f in sorted(folders.items(), key=lambda x: int(x[0]))]
+        paths = [f"{self.path}/data/{f}/_bucket={b}" for b, f in parts(folders)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     # ---- writing --------------------------------------------------------------------------------------------------------------
@@ -146,7 +157,7 @@ class BucketedTable:
 
     def merge(self, new: DataFrame | None = None, gone: DataFrame | None = None, told: dict | None = None) -> dict:
         """Rows of new (unique keys) replace those of their key or are added, keys in gone are deleted. Returns the manifest: bytes_written and
-        buckets_written say what the write cost, which grows with the buckets that its rows touch, not with the table."""
+        buckets_written say what the write cost, which grows with the new rows and the buckets that held their keys, not with the table."""
         before = self.manifest()
         n, schema = before["buckets"], StructType.fromJson(before["schema"])
         stage = f"{self.path}/stage/{uuid.uuid4().hex}"
@@ -157,20 +168,30 @@ class BucketedTable:
         rows.withColumn("_bucket", bucket(self.key, n)).write.parquet(stage)
         staged = self.spark.read.parquet(stage)
         touched = {str(r[0]) for r in staged.select("_bucket").distinct().collect()}  # at most n numbers
-        old = self._rows(before, {b: f for b, f in before["folders"].items() if b in touched})
+        held = {b: f for b, f in before["folders"].items() if b in touched}
+        anew = {b for b, f in held.items() if not isinstance(f, str) and len(f) >= PARTS} | self._holding(self._rows(before, held), staged, n)
+        old = self._rows(before, {b: f for b, f in held.items() if b in anew})
         kept = old.join(staged.select(self.key), self.key, "left_anti")  # by its file sizes Spark sends a small stage out, so old rows do not move for this
         name, made, size = self._write(kept.select(schema.names).unionByName(staged.where("not _gone").select(schema.names)), n)
-        folders = {b: f for b, f in before["folders"].items() if b not in touched} | {b: name for b in made}
+        folders = {b: f for b, f in before["folders"].items() if b not in anew} | {b: name for b in made}
+        folders |= {b: [*(f for _, f in parts({b: held[b]})), name] for b in made if b in held and b not in anew}
         out = self._publish(before, folders, schema, n, told, bytes_written=size, buckets_written=len(touched))
         self.files.delete(stage)
         return out
 
+    def _holding(self, old: DataFrame, staged: DataFrame, n: int) -> set[str]:
+        """Buckets of old that may hold a key of staged: keys are compared by their hash, so one by chance only makes a bucket anew."""
+        keys = staged.select(F.xxhash64(self.key).alias("_h")).distinct()
+        keys = F.broadcast(keys) if staged.count() <= _SENT else keys
+        found = old.select(F.xxhash64(self.key).alias("_h")).join(keys, "_h", "left_semi")
+        return {str(r[0]) for r in found.select(F.pmod("_h", F.lit(n)).cast("int")).distinct().collect()}
+
     def vacuum(self, keep: int = 1) -> int:
         """Deletes all versions but the last `keep`, and folders that none of these names (a dead writer's too); returns how many folders went.
 
         No writer may be at work, and readers of older versions must have ended."""
         kept = self.versions()[-keep:]
-        named = {f for v in kept for f in self.manifest(v)["folders"].values()}
+        named = {f for v in kept for _, f in parts(self.manifest(v)["folders"])}
         gone = [f for f in self.files.names(f"{self.path}/data") if f not in named]
         for f in gone:
             self.files.delete(f"{self.path}/data/{f}")

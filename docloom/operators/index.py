@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from docloom.functions.text import blank_to_null, strip
-from docloom.operators.buckets import BucketedTable
+from docloom.operators.buckets import BucketedTable, parts
 
 
 def admitted(items: Column) -> Column:
@@ -90,9 +90,9 @@ class CataloguedIndex(VectorIndex):
         return name, made, size + self.files.size(f"{self.path}/catalogue/{name}")
 
     def partials(self, version: int | None = None) -> DataFrame:
-        """product_id, topic, n, pages: a row for each bucket, product and topic."""
+        """product_id, topic, n, pages: a row for each folder of a bucket, product and topic."""
         m = self.manifest(version)
-        paths = [f"{self.path}/catalogue/{f}/_bucket={b}" for b, f in sorted(m["folders"].items(), key=lambda x: int(x[0]))]
+        paths = [f"{self.path}/catalogue/{f}/_bucket={b}" for b, f in parts(m["folders"])]
         schema = "product_id string, topic string, n bigint, pages array<int>"
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 

@@ -362,6 +362,27 @@ def test_html_records(spark):
     assert got["z"].title == "Untitled"
 
 
+def test_new_keys_do_not_write_a_table_again(spark, tmp_path, monkeypatch):
+    """Writes of new keys cost what they bring, replaced and deleted keys count as before, and buckets of many folders are made one again."""
+    t = index.VectorIndex(spark, f"file://{tmp_path}/t", buckets=2)
+    rows = lambda ids, v: spark.createDataFrame([(f"k{i}", v) for i in ids], "id string, v int")
+    t.replace(rows(range(20_000), 0))
+    first = t.manifest()["bytes_written"]
+    costs = [t.upsert(rows(range(20_000 + 100 * i, 20_100 + 100 * i), i))["bytes_written"] for i in range(3)]
+    assert max(costs) < first / 5 and t.read().count() == 20_300
+    t.upsert(rows([5, 20_050, 30_000], 9))
+    t.delete(rows([20_150], 0))
+    want = {f"k{i}": 0 for i in range(20_000)} | {f"k{20_000 + i}": i // 100 for i in range(300)} | {"k5": 9, "k20050": 9, "k30000": 9}
+    want.pop("k20150")
+    assert {r.id: r.v for r in t.read().collect()} == want and t.read().count() == len(want)
+    monkeypatch.setattr(buckets, "PARTS", 2)
+    for i in range(3):
+        t.upsert(rows(range(40_000 + 50 * i, 40_050 + 50 * i), 1))
+    assert all(isinstance(f, str) or len(f) <= 2 for f in t.manifest()["folders"].values()) and t.read().count() == len(want) + 150
+    t.vacuum()
+    assert t.read().count() == len(want) + 150
+
+
 def test_records_and_vectors_leave_tasks_in_slices(spark, monkeypatch):
     """A batch of 1,000 rows in, never 1,000 records or vectors at once out."""
     taken, texts = {}, pd.DataFrame({"url": [f"u{i}" for i in range(1000)], "html": ["<body><p>ok</p></body>"] * 1000})
