@@ -36,8 +36,8 @@ class Counters:
         return True, 0, self.minute[0] - mc
 
 
-#: Doublings in one plan before the pointers are written.
-DOUBLINGS = 4
+#: Stands for a time that no request has.
+_NEVER = (1 << 63) - 1
 
 
 def _bucket(us: str, length: int) -> Column:
@@ -45,43 +45,61 @@ def _bucket(us: str, length: int) -> Column:
     return F.expr(f"({us} - pmod({us}, {length}L)) div {length}L")
 
 
-def _next(nodes: DataFrame, length: int) -> DataFrame:
-    """nodes (k, us), distinct -> (k, us, nxt): the first of the key's times at or past us + length; times without one have no row.
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """nodes (k, b, us) -> (k, b, r, first, past): each key's buckets that have times, numbered from 0; the first time in each, and the first time after bucket b + 1.
 
-    A time's successor is sought in the next bucket of one window's length, else it is the first time of the next bucket that has any. Buckets are the tasks' unit, so
-    a key with most requests is dealt out; what is windowed by key alone is a row for every 1,024 buckets."""
-    size = F.lit(length)
-    b = nodes.withColumn("b", _bucket("us", length))
-    times = b.select("k", "b", F.col("us").alias("t"), F.lit(None).cast("long").alias("us"))
-    asked = b.select("k", (F.col("b") + 1).alias("b"), (F.col("us") + size).alias("t"), "us")
-    # seen from the latest: the last time before a question is the nearest one at or past it
+    What is windowed by key alone is a row for every 1,024 buckets."""
+    w, by_key = Window.partitionBy("k", "many").orderBy("b"), Window.partitionBy("k").orderBy("many")
+    b = nodes.groupBy("k", "b").agg(F.min("us").alias("first")).withColumn("many", F.floor(F.col("b") / 1024))
+    b = b.withColumns({"n": F.row_number().over(w), "b1": F.lead("b").over(w), "f1": F.lead("first").over(w), "f2": F.lead("first", 2).over(w)})
+    g = b.groupBy("k", "many").agg(F.count("*").alias("rows"), F.min("b").alias("gb"), F.min("first").alias("g1"), F.min(F.when(F.col("n") == 2, F.col("first"))).alias("g2"))
+    g = g.select(F.col("k").alias("k2"), F.col("many").alias("m2"), (F.sum("rows").over(by_key) - F.col("rows")).alias("before"), F.lead("gb").over(by_key).alias("gb"),
+                 F.lead("g1").over(by_key).alias("g1"), F.coalesce(F.lead("g2").over(by_key), F.lead("g1", 2).over(by_key)).alias("g2"))
+    after, second = F.coalesce("f1", "g1"), F.when(F.col("f1").isNull(), F.col("g2")).otherwise(F.coalesce("f2", "g1"))
+    past = F.when(F.coalesce("b1", "gb") == F.col("b") + 1, second).otherwise(after)
+    return b.join(g, F.expr("k <=> k2 and many = m2")).select("k", "b", (F.col("before") + F.col("n") - 1).alias("r"), "first", past.alias("past"))
+
+
+def _next(nodes: DataFrame, buckets: DataFrame, length: int) -> DataFrame:
+    """nodes (k, b, us), distinct -> (k, r, us, nxt, head): the first of the key's times at or past us + length or null, us's bucket, and whether us is its first time.
+
+    us + length is in bucket b + 1, and so is its successor, or it is the first time after that bucket, which stands there as a guard."""
+    none = F.lit(None).cast("long")
+    times = nodes.select("k", "b", F.col("us").alias("t"), none.alias("us"), none.alias("r"), none.alias("first"))
+    guards = buckets.select("k", F.col("b") + 1, F.coalesce("past", F.lit(_NEVER)), none, "r", "first")
+    asked = nodes.select("k", F.col("b") + 1, F.col("us") + F.lit(length), "us", none, none)
+    # seen from the latest: the guard is the first row, and the last time before a question is the nearest one at or past it
     seen = Window.partitionBy("k", "b").orderBy(F.col("t").desc(), F.col("us").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    near = times.unionByName(asked).withColumn("near", F.last(F.when(F.col("us").isNull(), F.col("t")), ignorenulls=True).over(seen)).where("us is not null").select("k", "b", "us", "near")
-    first = b.groupBy("k", "b").agg(F.min("us").alias("first")).withColumn("many", F.floor(F.col("b") / 1024))
-    many = first.groupBy("k", "many").agg(F.min("first").alias("far")).withColumn("far", F.lead("far").over(Window.partitionBy("k").orderBy("many")))
-    after = first.withColumn("after", F.lead("first").over(Window.partitionBy("k", "many").orderBy("b")))
-    after = after.join(many.toDF("k2", "m2", "far"), F.expr("k <=> k2 and many = m2")).select(F.col("k").alias("k2"), F.col("b").alias("b2"), F.coalesce("after", "far").alias("after"), "first")
-    # the question stands in bucket b: of its own bucket nothing was left, so the bucket of its time (b - 1) knows the next one that has any after b
-    out = near.join(after, F.expr("k <=> k2 and b - 1 = b2"))
-    beyond = after.toDF("k3", "b3", "beyond", "first3")
-    out = out.join(beyond, F.expr("k <=> k3 and b = b3"), "left")
-    return out.select("k", "us", F.coalesce("near", F.when(F.col("b3").isNotNull(), F.col("beyond")).otherwise(F.col("after"))).alias("nxt")).where("nxt is not null")
+    near = times.union(guards).union(asked).withColumns({"near": F.last(F.when(F.col("us").isNull(), F.col("t")), ignorenulls=True).over(seen), "r": F.first("r").over(seen), "first": F.first("first").over(seen)})
+    return near.where("us is not null").select("k", "r", "us", F.when(F.col("near") < _NEVER, F.col("near")).alias("nxt"), (F.col("us") == F.col("first")).alias("head"))
 
 
 def window_starts(times: DataFrame, length: int) -> DataFrame:
     """times (k, us) -> (k, start): the starts of each key's windows, the first time and then always the first one at or past the last window's end.
 
-    Pointer doubling: with the pointers 2^j windows on, what is reached in 2^j steps becomes what is reached in 2^(j+1), and the pointers are joined
-    to themselves. So rounds grow with the logarithm of the windows of a key, and every join is by key and time."""
-    nodes = written(times.distinct(), "times")
-    jump, reached = written(_next(nodes, length), "jump"), nodes.groupBy("k").agg(F.min("us").alias("us"))
-    while not jump.isEmpty():  # no pointer left: every key's chain is shorter than they reach
-        for _ in range(DOUBLINGS):
-            to = jump.toDF("k2", "us2", "nxt2")
-            reached = reached.unionByName(reached.join(to, F.expr("k <=> k2 and us = us2")).select("k", F.col("nxt2").alias("us")))
-            jump = jump.join(to, F.expr("k <=> k2 and nxt = us2")).select("k", "us", F.col("nxt2").alias("nxt"))
-        reached, jump = written(reached, "reached"), written(jump, "jump")
-    return reached.select("k", F.col("us").alias("start"))
+    Blocks of 2^j of a key's buckets, j = 0, 1, ...: a chain enters a block at a time of its first bucket, or at the first time of its second one, and each such
+    entry knows the first time that its chain has past the block. An even block's entries with the exits of the odd block after it are those of
+    the block twice as long, so a table has half the rows of the one before, and all of them together about twice the times. From the longest block
+    down, each start that is known gives the one in the odd block after its own. Every join is by key and time."""
+    nodes = written(times.distinct().withColumn("b", _bucket("us", length)), "times")
+    buckets = written(_buckets(nodes), "buckets")
+    last = buckets.agg(F.max("r")).head()[0]
+    exits: list[DataFrame] = []
+    for j in range((last or 0).bit_length()):
+        if j == 0:
+            exits.append(written(_next(nodes, buckets, length), "exits"))
+            continue
+        even, odd = exits[-1].where("r % 2 = 0"), exits[-1].where("r % 2 = 1")
+        to = odd.select(F.col("k").alias("k2"), F.col("us").alias("us2"), F.col("nxt").alias("nxt2"))
+        longer = even.join(to, F.expr("k <=> k2 and nxt = us2"), "left").withColumn("nxt", F.when(F.col("us2").isNull(), F.col("nxt")).otherwise(F.col("nxt2"))).select("k", "r", "us", "nxt", "head")
+        if j == 1:  # blocks of one bucket: an entry by the second bucket of two is not one of the first
+            longer = longer.unionByName(odd.where("head"))
+        exits.append(written(longer.withColumn("r", F.floor(F.col("r") / 2)), "exits"))
+    starts = buckets.where("r = 0").select("k", F.col("first").alias("start"))
+    for e in reversed(exits):
+        to = e.where("r % 2 = 0 and nxt is not null").select(F.col("k").alias("k2"), "us", "nxt")
+        starts = starts.join(to, F.expr("k <=> k2 and start = us"), "left").select("k", F.explode(F.array_compact(F.array("start", "nxt"))).alias("start"))
+    return starts.distinct()  # a chain that skips a whole bucket has its next start from the longer blocks too
 
 
 def counted(rows: DataFrame, length: int, start: str, count: str) -> DataFrame:

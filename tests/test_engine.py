@@ -340,6 +340,29 @@ def test_admission_of_a_hot_key(spark):
     assert ratelimit.admit(none, "k", "ts", "id").collect() == []
 
 
+@pytest.mark.parametrize("gap", [0, 3, 2_000])
+def test_window_starts_by_halving_blocks(spark, monkeypatch, gap):
+    """A key with thousands of windows, some of them with nothing in the bucket after, and short keys: the tables of exits halve from one to the next, so all that is written stays near twice the times."""
+    import random
+
+    rnd, rows, now, length = random.Random(7), [], -20_000, 50
+    for i in range(30_000):
+        now += rnd.randrange(11) + (rnd.randrange(gap * length) if gap and i % 97 == 0 else 0)
+        rows.append(("hot", now))
+    rows += [(k, rnd.choice([0, 49, 50, 51, 100, 149, 10_000_000])) for k in ["x", "y", None] for _ in range(4)]
+    many, write = [], ratelimit.written
+    monkeypatch.setattr(ratelimit, "written", lambda df, name: many.append((name, (out := write(df, name)).count())) or out)
+    got = sorted((r.k or "", r.start) for r in ratelimit.window_starts(spark.createDataFrame(rows, "k string, us long"), length).collect())
+    want, last = [], {}
+    for k, us in sorted((k or "", us) for k, us in rows):
+        if k not in last or us >= last[k] + length:
+            last[k] = us
+            want.append((k, us))
+    assert got == want and len(got) > 2_500
+    times = dict(many)["times"]
+    assert sum(n for name, n in many if name != "times") < 2.6 * times
+
+
 def test_routes_and_keys(spark):
     rows = [("/health", "GET", False), ("/sse", "POST", False), ("/mcp", "GET", False), ("/mcp/x", "POST", True), ("/", "GET", True), ("/other", "POST", False)]
     df = spark.createDataFrame(rows, "p string, m string, want boolean")
