@@ -40,6 +40,8 @@ LENGTH = 200
 GRAM = 32
 HOT_SEGMENTS = 1 << 14
 HOT_ROWS = 1000
+#: So many keys of copied rows are broadcast (8 bytes each, 16 MB in a hash table).
+KNOWN_COPIES = 1 << 20
 _MOST_HOT = 1 << 17
 _PIECE = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
@@ -299,12 +301,18 @@ def _copies(long: DataFrame) -> DataFrame | None:
     return None if twice.isEmpty() else written(keyed.join(twice, "key").select("k", "first", "hi"), "copies")
 
 
-def repeated_ranges(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _without_copies(long: DataFrame, copies: DataFrame, most: int) -> DataFrame:
+    """long without the rows that another one stands for. Up to `most` of their keys are broadcast, so that texts stay where they are; above, both sides meet by key."""
+    others = copies.where("k <> first").select("k").distinct()
+    return long.join(F.broadcast(others) if others.count() <= most else others, "k", "left_anti")
+
+
+def repeated_ranges(docs: DataFrame, hot_segments: int = HOT_SEGMENTS, hot_rows: int = HOT_ROWS, known_copies: int = KNOWN_COPIES) -> DataFrame:
     """(k, text) -> (k, lo, hi): byte ranges that cover all repeated windows; they may overlap."""
     long = docs.where(F.octet_length("text") >= LENGTH)
     copies = _copies(long)
     if copies is not None:
-        long = long.join(copies.where("k <> first").select("k").distinct(), "k", "left_anti")
+        long = _without_copies(long, copies, known_copies)
     filed = written(long.select("k", "text").mapInPandas(_file, "h long, body long, k long, lo int, hi int, end int, run boolean"), "filed")
     hot_rows = max(hot_rows, filed.count() // _MOST_HOT)
     hot = written(filed.groupBy("h").count().where(F.col("count") > hot_rows).select("h"), "hot-minimisers")

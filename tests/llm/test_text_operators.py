@@ -191,6 +191,22 @@ def test_copies_of_a_text_are_filed_once(spark, monkeypatch):
     assert made[40] == made[1] and all(x == y for x, y in left[40][:40]) and left[40][40:] == left[1][1:] and left[1][1][1] > 0
 
 
+def test_texts_stay_where_they_are_if_few_are_copies(spark, monkeypatch):
+    """Tables above the threshold of a broadcast, as on large inputs: texts are filed without a shuffle of theirs; above the bound on copies the ranges are the same."""
+    rng, plans, write = random.Random(5), {}, substrings.written
+    a, b = words(rng, 200), words(rng, 200)
+    df = table(spark, [*[a] * 5, b, b, a[:700] + b[:700], words(rng, 90)]).select(F.xxhash64("doc_id", "text").alias("k"), "text")
+    monkeypatch.setattr(substrings, "written", lambda rows, name: plans.setdefault(name, []).append(rows._jdf.queryExecution().executedPlan().toString()) or write(rows, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [sorted(tuple(r) for r in substrings.repeated_ranges(df, **most).collect()) for most in ({}, {"known_copies": 4})]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got[0] == got[1] and len({k for k, _, _ in got[0]}) == 8
+    assert "BroadcastHashJoin" in plans["filed"][0] and "SortMergeJoin" not in plans["filed"][0] and "SortMergeJoin" in plans["filed"][1]
+
+
 def test_parities_bound_the_difference_of_two_sets():
     rng = np.random.default_rng(3)
     for n in (0, 1, 40, 3000):
