@@ -100,11 +100,27 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(salt), *columns)), 16, "0") for salt in ("a", "b"))))
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(module: str) -> dict:
+    """What this Python worker keeps from one task of a module to the next."""
+    return _caches.setdefault(module, {})
+
+
+def _drop_caches(module: str) -> None:
+    """Drops what tasks of other modules have kept."""
+    for other in [m for m in _caches if m != module]:
+        del _caches[other]
+
+
 def trimmed(run):
-    """A generator over a task's batches that gives freed memory back to the system at its end, as Spark keeps idle Python workers."""
+    """A generator over a task's batches that drops other modules' caches and gives freed memory back to the system at its end, as Spark keeps
+    idle Python workers and gives them tasks of any operator."""
 
     @functools.wraps(run)
     def wrapped(batches, *more, **named):
+        _drop_caches(run.__module__)
         yield from run(batches, *more, **named)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim

@@ -244,6 +244,8 @@ def identify(df: DataFrame, model: Filters, text: str = "text") -> DataFrame:
             lang, score, cover = own.predict(series.tolist())
             yield pd.DataFrame({"lang_pred": lang, "score": score, "coverage": cover})
 
+    # else a filter on the result predicts once more, in a Python worker of its own for each task
+    predict = predict.asNondeterministic()
     return df.drop("lang_pred", "score", "coverage").withColumn("_docloom_lang", predict(F.col(text))).select("*", "_docloom_lang.*").drop("_docloom_lang")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import overlap
-from docloom.llm.common import majority, row_key, word_shingles, written
+from docloom.llm.common import majority, row_key, trimmed, word_shingles, written
 from docloom.llm.components import components
 
 SHINGLE = 4
@@ -152,6 +152,7 @@ class GrayIndex:
 
 
 def _links(distance: int):
+    @trimmed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by cell; whole cells are indexed together, as many as fit in _AT_ONCE rows."""
         held: list[pd.DataFrame] = []

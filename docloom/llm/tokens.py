@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import new_path, slices, trimmed, word_slices, written
+from docloom.llm.common import cache, new_path, slices, trimmed, word_slices, written
 
 BLOCK = 512
 PERCENTILE = 90
@@ -240,13 +240,11 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    encoders = cache(__name__)
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 # ---- tables to files and back -------------------------------------------------------------------------------------------------

@@ -454,6 +454,14 @@ def test_language_stage_rejects_texts_in_no_learned_language(spark):
     assert got == sorted(r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect())
 
 
+def test_language_stage_predicts_each_text_once(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog", "en", "s", None) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = p.language(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [predict") == 1
+
+
 def test_language_stage_without_labels_keeps_texts_with_a_letter(spark):
     import corpus_pipeline as p
 

@@ -570,3 +570,21 @@ def test_toxicity(spark):
     none = toxicity.score_documents(docs, marks.limit(0)).select("score").distinct().collect()
     assert [r.score for r in none] == [0.0]
     assert toxicity.score_documents(docs.limit(0), marks).count() == 0
+
+
+def test_a_worker_drops_the_tokenizer_in_other_operators_tasks():
+    from pyspark import cloudpickle
+
+    from docloom.llm import common
+
+    sent = {}
+    for module in (tokens.__name__, simhash.__name__):
+
+        def run(batches):
+            yield from batches
+
+        run.__module__ = module
+        sent[module] = cloudpickle.loads(cloudpickle.dumps(common.trimmed(run)))  # as a worker gets it
+    first = tokens.encoder(tokens.tokenizer_path())
+    assert list(sent[tokens.__name__](iter([1]))) == [1] and tokens.encoder(tokens.tokenizer_path()) is first
+    assert list(sent[simhash.__name__](iter([1]))) == [1] and tokens.encoder(tokens.tokenizer_path()) is not first
